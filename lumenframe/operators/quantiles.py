@@ -14,67 +14,74 @@ def number(name: str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def long_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(column, value)`` with one row per non-null numeric cell."""
-    wide = df.select(*[number(c).alias(c) for c in columns])
-    return wide.unpivot([], columns, "column", "value").filter(F.col("value").isNotNull())
+def numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[number(c).alias(c) for c in columns])
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float],
-                    accuracy: int = ACCURACY, small: int = SMALL_COLUMN) -> DataFrame:
-    """``(column, p, quantile)`` with linear interpolation between the two nearest ranks.
+def summarise(df: DataFrame, columns: list[str], probabilities: list[float] | None = None,
+              accuracy: int = ACCURACY) -> dict:
+    """One pass over all columns: count, moments, range and a bracket for every quantile.
 
-    A first pass brackets every quantile: ``percentile_approx`` has a guaranteed rank error of ``n / accuracy``. A
-    second pass counts what lies below the bracket and keeps only distinct values inside it, about
-    ``6 n / accuracy`` per quantile, so no task ever sees a whole column. Columns of up to ``small`` values skip
-    the bracket.
+    The driver receives one row: ``{column: {n, mean, std, pop, least, most, g1, marks}}``; ``rows`` is the row
+    count under the key ``None``.
     """
     margin = 3.0 / accuracy
-    lows = [max(0.0, p - margin) for p in probabilities]
-    highs = [min(1.0, p + margin) for p in probabilities]
-    wide = df.select(*[number(c).alias(c) for c in columns])
-    sketches = []
+    points = [max(0.0, p - margin) for p in probabilities or []] + [min(1.0, p + margin) for p in probabilities or []]
+    measures = []
     for i, c in enumerate(columns):
-        sketches.append(F.struct(
-            F.lit(c).alias("column"),
-            F.count(c).alias("n"),
-            F.min(c).alias("least"),
-            F.max(c).alias("most"),
-            F.percentile_approx(c, lows + highs, accuracy).alias("marks")).alias(f"_s{i}"))
-    summary = (wide.agg(*sketches)
-               .select(F.explode(F.array(*[F.col(f"_s{i}") for i in range(len(columns))])).alias("s"))
-               .select("s.*").filter(F.col("n") > 0))
+        measures += [F.count(c).alias(f"n_{i}"), F.avg(c).alias(f"mean_{i}"), F.stddev_samp(c).alias(f"std_{i}"),
+                     F.stddev_pop(c).alias(f"pop_{i}"), F.min(c).alias(f"least_{i}"), F.max(c).alias(f"most_{i}"),
+                     F.skewness(c).alias(f"g1_{i}")]
+        if points:
+            measures.append(F.percentile_approx(c, points, accuracy).alias(f"marks_{i}"))
+    row = numbers(df, columns).agg(F.count(F.lit(1)).alias("rows"), *measures).first()
+    names = ["n", "mean", "std", "pop", "least", "most", "g1"] + (["marks"] if points else [])
+    found = {c: {k: row[f"{k}_{i}"] for k in names} for i, c in enumerate(columns)}
+    found[None] = {"rows": row["rows"]}
+    return found
+
+
+def quantile_map(df: DataFrame, columns: list[str], probabilities: list[float], accuracy: int = ACCURACY,
+                 small: int = SMALL_COLUMN, summary: dict | None = None) -> dict:
+    """``{column: {p: quantile}}`` with linear interpolation between the two nearest ranks.
+
+    ``percentile_approx`` has a guaranteed rank error of ``n / accuracy``, so it brackets every quantile. A second
+    pass counts what lies below the bracket and keeps only the distinct values inside it, about
+    ``6 n / accuracy`` per quantile: no task ever sees a whole column. Columns of up to ``small`` values are taken
+    whole. Columns without values are left out.
+    """
+    summary = summary or summarise(df, columns, probabilities, accuracy)
     k = len(probabilities)
-    per_quantile = F.array(*[
-        F.struct(F.lit(float(p)).alias("p"), F.col("marks")[i].alias("lo"), F.col("marks")[k + i].alias("hi"))
-        for i, p in enumerate(probabilities)])
-    rank = (F.col("n") - 1) * F.col("q.p")
-    brackets = (summary.withColumn("q", F.explode(per_quantile))
-                .select("column", F.col("q.p").alias("p"),
-                        F.when(F.col("n") <= small, F.col("least")).otherwise(F.col("q.lo")).alias("lo"),
-                        F.when(F.col("n") <= small, F.col("most")).otherwise(F.col("q.hi")).alias("hi"),
-                        F.floor(rank).alias("below"), F.ceil(rank).alias("above"),
-                        (rank - F.floor(rank)).alias("fraction")))
-    values = wide.unpivot([], columns, "column", "value").filter(F.col("value").isNotNull())
-    kept = (values.join(F.broadcast(brackets.select("column", "p", "lo", "hi")), "column")
+    brackets = []
+    for c in columns:
+        s = summary[c]
+        if not s["n"]:
+            continue
+        for i, p in enumerate(probabilities):
+            rank = (s["n"] - 1) * p
+            whole = s["n"] <= small
+            brackets.append((c, float(p), s["least"] if whole else s["marks"][i],
+                             s["most"] if whole else s["marks"][k + i], int(rank), int(-(-rank // 1)), rank - int(rank)))
+    if not brackets:
+        return {}
+    limits = df.sparkSession.createDataFrame(
+        brackets, "column string, p double, lo double, hi double, below long, above long, fraction double")
+    values = numbers(df, columns).unpivot([], columns, "column", "value").filter(F.col("value").isNotNull())
+    kept = (values.join(F.broadcast(limits.select("column", "p", "lo", "hi")), "column")
             .filter(F.col("value") <= F.col("hi"))
             .groupBy("column", "p", F.when(F.col("value") >= F.col("lo"), F.col("value")).alias("value"))
             .agg(F.count(F.lit(1)).alias("copies")))
     upto = Window.partitionBy("column", "p").orderBy(F.col("value").asc_nulls_first())
-    ranked = kept.withColumn("last", F.sum("copies").over(upto) - 1)
-    placed = (ranked.join(F.broadcast(brackets.drop("lo", "hi")), ["column", "p"])
-              .withColumn("first", F.col("last") - F.col("copies") + 1)
+    first, last = F.col("last") - F.col("copies") + 1, F.col("last")
+    placed = (kept.withColumn("last", F.sum("copies").over(upto) - 1)
+              .join(F.broadcast(limits.drop("lo", "hi")), ["column", "p"])
               .groupBy("column", "p")
               .agg(F.first("fraction").alias("fraction"),
-                   F.max(F.when(F.col("below").between(F.col("first"), F.col("last")), F.col("value"))).alias("a"),
-                   F.max(F.when(F.col("above").between(F.col("first"), F.col("last")), F.col("value"))).alias("b")))
-    return placed.select("column", "p", (F.col("a") + (F.col("b") - F.col("a")) * F.col("fraction"))
-                         .alias("quantile"))
-
-
-def quantile_map(df: DataFrame, columns: list[str], probabilities: list[float], **options) -> dict:
-    """``{column: {p: quantile}}`` on the driver: one number per column and probability."""
-    result: dict = {c: {} for c in columns}
-    for row in exact_quantiles(df, columns, probabilities, **options).collect():
-        result[row["column"]][row["p"]] = row["quantile"]
+                   F.max(F.when(F.col("below").between(first, last), F.col("value"))).alias("a"),
+                   F.max(F.when(F.col("above").between(first, last), F.col("value"))).alias("b")))
+    result: dict = {}
+    for row in placed.collect():
+        if row["a"] is None or row["b"] is None:
+            raise ValueError(f"quantile {row['p']} of {row['column']} lies outside its bracket")
+        result.setdefault(row["column"], {})[row["p"]] = row["a"] + (row["b"] - row["a"]) * row["fraction"]
     return result

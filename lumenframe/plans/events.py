@@ -21,7 +21,7 @@ FROM analytics_events GROUP BY 1, 2"""
 
 ROLLUP_OUT = """SELECT CAST(summary_date AS VARCHAR) AS summary_date, event_type,
   CAST(total_count AS BIGINT) AS total_count, CAST(success_count AS BIGINT) AS success_count,
-  CAST(failure_count AS BIGINT) AS failure_count, ROUND(avg_duration_ms, 6) AS avg_duration_ms,
+  CAST(failure_count AS BIGINT) AS failure_count, ROUND(avg_duration_ms, 8) AS avg_duration_ms,
   strftime(last_event_at, '%Y-%m-%d %H:%M:%S.%f') AS last_event_at"""
 
 WEEK = "summary_date >= (SELECT MAX(summary_date) FROM r) - INTERVAL 7 DAY"
@@ -29,7 +29,7 @@ WEEK = "summary_date >= (SELECT MAX(summary_date) FROM r) - INTERVAL 7 DAY"
 
 def rollup_out(df):
     return df.select(day("summary_date"), "event_type", "total_count", "success_count", "failure_count",
-                     rounded("avg_duration_ms", 6), moment("last_event_at"))
+                     rounded("avg_duration_ms", 8), moment("last_event_at"))
 
 
 def _events(spark, sf):
