@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from lumenframe.functions.text import fixed
 from lumenframe.operators.quantiles import numbers, quantile_map, summarise
 from lumenframe.session import materialise
 
@@ -336,11 +337,11 @@ def _empty_categorical(df: DataFrame) -> DataFrame:
 # Report phrases per language.
 PHRASES = {
     "en": {"head": "I analysed **%s** containing %d rows and %d columns.\n\n", "insights": "**Statistical insights:**\n",
-           "model": "**Best model:** %s (R² = %.2f%%)\n\n",
+           "model": "**Best model:** %s (R² = %s%%)\n\n",
            "found": "**Anomalies detected:** %d suspicious rows found.\n",
            "none": "**Anomalies:** No anomalies detected.\n"},
     "fr": {"head": "J'ai analysé le fichier **%s** contenant %d lignes et %d colonnes.\n\n",
-           "insights": "**Insights statistiques :**\n", "model": "**Meilleur modèle :** %s (R² = %.2f%%)\n\n",
+           "insights": "**Insights statistiques :**\n", "model": "**Meilleur modèle :** %s (R² = %s%%)\n\n",
            "found": "**Anomalies détectées :** %d lignes suspectes trouvées.\n",
            "none": "**Anomalies :** Aucune anomalie détectée.\n"},
 }
@@ -364,7 +365,7 @@ def summary_report(facts: DataFrame, found: DataFrame) -> DataFrame:
         return F.concat(
             F.format_string(words["head"], "file_name", "rows", "columns"),
             F.when(F.size(lines) > 0, bullet).otherwise(""),
-            F.when(has_model, F.format_string(words["model"], F.col("best_model"), F.col("r2") * 100)).otherwise(""),
+            F.when(has_model, F.format_string(words["model"], F.col("best_model"), fixed(F.col("r2") * 100, 2))).otherwise(""),
             F.when(F.col("anomaly_count") > 0, F.format_string(words["found"], "anomaly_count"))
             .otherwise(words["none"]))
 
@@ -380,8 +381,8 @@ def narrative_report(facts: DataFrame, found: DataFrame) -> DataFrame:
     names), anomaly_count, anomaly_rate, high, medium, low.
     """
     lines = F.col("_lines")
-    metric_text = F.array_join(F.transform(F.slice("metrics", 1, 3), lambda m: F.format_string(
-        "%s: %.3f", m["name"], m["value"])), ", ")
+    metric_text = F.array_join(F.transform(F.slice("metrics", 1, 3), lambda m: F.concat(
+        m["name"], F.lit(": "), fixed(m["value"], 3))), ", ")
     parts = F.array(
         F.concat(F.lit("J'ai analysé le fichier **"), F.col("file_name"), F.lit("** contenant "),
                  F.format_number("rows", 0), F.lit(" lignes et "), F.col("columns").cast("string"),
@@ -393,8 +394,8 @@ def narrative_report(facts: DataFrame, found: DataFrame) -> DataFrame:
         F.when(F.size("top_features") > 0, F.concat(
             F.lit("\n**Variables les plus importantes :** "), F.array_join(F.slice("top_features", 1, 3), ", "))),
         F.when(F.col("anomaly_count") > 0, F.format_string(
-            "\n**Anomalies détectées :** %d anomalies (%.1f%% des données) — %d critiques, %d moyennes, %d faibles.",
-            "anomaly_count", "anomaly_rate", "high", "medium", "low"))
+            "\n**Anomalies détectées :** %d anomalies (%s%% des données) — %d critiques, %d moyennes, %d faibles.",
+            F.col("anomaly_count"), fixed(F.col("anomaly_rate"), 1), F.col("high"), F.col("medium"), F.col("low")))
         .otherwise("\n**Anomalies :** Aucune anomalie détectée."))
     return (facts.withColumn("_lines", first_insights(found))
             .withColumn("report", F.array_join(F.filter(parts, lambda p: p.isNotNull()), "\n")).drop("_lines"))

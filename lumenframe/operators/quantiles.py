@@ -66,19 +66,31 @@ def quantile_map(df: DataFrame, columns: list[str], probabilities: list[float],
         return {}
     limits = df.sparkSession.createDataFrame(
         brackets, "column string, p double, lo double, hi double, below long, above long, fraction double")
-    values = numbers(df, columns).unpivot([], columns, "column", "value").filter(F.col("value").isNotNull())
-    kept = (values.join(F.broadcast(limits.select("column", "p", "lo", "hi")), "column")
-            .filter(F.col("value") <= F.col("hi"))
-            .groupBy("column", "p", F.when(F.col("value") >= F.col("lo"), F.col("value")).alias("value"))
+    by_column: dict = {}
+    for c, _, lo, hi, *_ in brackets:
+        by_column.setdefault(c, []).append((lo, hi))
+    zones = df.sparkSession.createDataFrame(
+        [(c, *[x for pair in sorted(pairs) for x in pair]) for c, pairs in by_column.items()],
+        "column string, " + ", ".join(f"lo{i} double, hi{i} double" for i in range(k)))
+    value = F.col("value")
+    zone = sum((F.when(value > F.col(f"hi{i}"), 1).otherwise(0) for i in range(1, k)),
+               F.when(value > F.col("hi0"), 1).otherwise(0))
+    inside = F.lit(False)
+    for i in range(k):
+        inside = inside | value.between(F.col(f"lo{i}"), F.col(f"hi{i}"))
+    values = numbers(df, columns).unpivot([], columns, "column", "value").filter(value.isNotNull())
+    # Values outside every bracket only count; they collapse into one row per gap before the shuffle.
+    kept = (values.join(F.broadcast(zones), "column")
+            .groupBy("column", zone.alias("zone"), F.when(inside, value).alias("value"))
             .agg(F.count(F.lit(1)).alias("copies")))
-    upto = Window.partitionBy("column", "p").orderBy(F.col("value").asc_nulls_first())
+    upto = Window.partitionBy("column").orderBy(F.col("zone"), F.col("value").asc_nulls_first())
     first, last = F.col("last") - F.col("copies") + 1, F.col("last")
     placed = (kept.withColumn("last", F.sum("copies").over(upto) - 1)
-              .join(F.broadcast(limits.drop("lo", "hi")), ["column", "p"])
+              .join(F.broadcast(limits.drop("lo", "hi")), "column")
               .groupBy("column", "p")
               .agg(F.first("fraction").alias("fraction"),
-                   F.max(F.when(F.col("below").between(first, last), F.col("value"))).alias("a"),
-                   F.max(F.when(F.col("above").between(first, last), F.col("value"))).alias("b")))
+                   F.max(F.when(F.col("below").between(first, last), value)).alias("a"),
+                   F.max(F.when(F.col("above").between(first, last), value)).alias("b")))
     result: dict = {}
     for row in placed.collect():
         if row["a"] is None or row["b"] is None:

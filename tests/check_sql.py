@@ -51,8 +51,7 @@ def compare(spark, con, sf_dir, name, query, sql):
     if got_columns != want_columns:
         return False, f"columns {got_columns} want {want_columns}"
     if got != want:
-        extra = [r for r in got if r not in set(want)][:2]
-        missing = [r for r in want if r not in set(got)][:2]
+        extra, missing = sorted(set(got) - set(want))[:2], sorted(set(want) - set(got))[:2]
         return False, f"{len(got)} rows want {len(want)}; extra {str(extra)[:400]} missing {str(missing)[:400]}"
     return True, f"{len(got)} rows"
 
