@@ -132,7 +132,7 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
     """
     columns = numeric_columns(df) if columns is None else columns
     quarters = [0.25, 0.5, 0.75]
-    summary = summarise(df, columns, quarters)
+    summary = summarise(df, columns)
     quantiles = quantile_map(df, columns, quarters, summary=summary)
     columns_left = [c for c in columns if c in quantiles]
     if not columns_left:

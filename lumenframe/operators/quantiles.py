@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ACCURACY = 10_000
 SMALL_COLUMN = 50_000
+COLUMNS_PER_PASS = 10
 
 
 def number(name: str) -> Column:
@@ -18,29 +19,41 @@ def numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[number(c).alias(c) for c in columns])
 
 
-def summarise(df: DataFrame, columns: list[str], probabilities: list[float] | None = None,
-              accuracy: int = ACCURACY) -> dict:
-    """One pass over all columns: count, moments, range and a bracket for every quantile.
+def long_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(column, value)`` with one row per non-null numeric cell."""
+    return numbers(df, columns).unpivot([], columns, "column", "value").filter(F.col("value").isNotNull())
 
-    The driver receives one row: ``{column: {n, mean, std, pop, least, most, g1, marks}}``; ``rows`` is the row
-    count under the key ``None``.
+
+def summarise(df: DataFrame, columns: list[str]) -> dict:
+    """One pass over all columns: ``{column: {n, mean, std, pop, least, most, g1}}`` from one row.
+
+    The row count is under the key ``None``. Few, plain aggregates per column keep the pass inside generated code.
     """
-    margin = 3.0 / accuracy
-    points = [max(0.0, p - margin) for p in probabilities or []] + [min(1.0, p + margin) for p in probabilities or []]
-    measures = []
-    for i, c in enumerate(columns):
-        measures += [F.count(c).alias(f"n_{i}"), F.avg(c).alias(f"mean_{i}"), F.stddev_samp(c).alias(f"std_{i}"),
-                     F.stddev_pop(c).alias(f"pop_{i}"), F.min(c).alias(f"least_{i}"), F.max(c).alias(f"most_{i}"),
-                     F.skewness(c).alias(f"g1_{i}")]
-        if points:
-            measures.append(F.percentile_approx(c, points, accuracy).alias(f"marks_{i}"))
-    row = numbers(df, columns).agg(F.count(F.lit(1)).alias("rows"), *measures).first()
-    names = ["n", "mean", "std", "pop", "least", "most", "g1"] + (["marks"] if points else [])
-    found = {c: {k: row[f"{k}_{i}"] for k in names} for i, c in enumerate(columns)}
-    found[None] = {"rows": row["rows"]}
+    found: dict = {None: {"rows": 0}}
+    for start in range(0, len(columns), COLUMNS_PER_PASS):
+        part = columns[start:start + COLUMNS_PER_PASS]
+        measures = []
+        for i, c in enumerate(part):
+            measures += [F.count(c).alias(f"n_{i}"), F.avg(c).alias(f"mean_{i}"), F.stddev_pop(c).alias(f"pop_{i}"),
+                         F.min(c).alias(f"least_{i}"), F.max(c).alias(f"most_{i}"), F.skewness(c).alias(f"g1_{i}")]
+        row = numbers(df, part).agg(F.count(F.lit(1)).alias("rows"), *measures).first()
+        found[None] = {"rows": row["rows"]}
+        for i, c in enumerate(part):
+            s = {k: row[f"{k}_{i}"] for k in ("n", "mean", "pop", "least", "most", "g1")}
+            s["std"] = s["pop"] * (s["n"] / (s["n"] - 1)) ** 0.5 if s["n"] > 1 else None
+            found[c] = s
     return found
 
 
+def _marks(df: DataFrame, columns: list[str], probabilities: list[float], accuracy: int) -> dict:
+    """Lower and upper bracket per column and probability, from mergeable sketches."""
+    margin = 3.0 / accuracy
+    points = [max(0.0, p - margin) for p in probabilities] + [min(1.0, p + margin) for p in probabilities]
+    row = numbers(df, columns).agg(*[
+        F.percentile_approx(c, points, accuracy).alias(f"m_{i}") for i, c in enumerate(columns)]).first()
+    return {c: row[f"m_{i}"] for i, c in enumerate(columns)}
+
+
 def quantile_map(df: DataFrame, columns: list[str], probabilities: list[float], accuracy: int = ACCURACY,
                  small: int = SMALL_COLUMN, summary: dict | None = None) -> dict:
     """``{column: {p: quantile}}`` with linear interpolation between the two nearest ranks.
@@ -50,8 +63,11 @@ def quantile_map(df: DataFrame, columns: list[str], probabilities: list[float],
     ``6 n / accuracy`` per quantile: no task ever sees a whole column. Columns of up to ``small`` values are taken
     whole. Columns without values are left out.
     """
-    summary = summary or summarise(df, columns, probabilities, accuracy)
+    summary = summary or summarise(df, columns)
+    probabilities = sorted(probabilities)
     k = len(probabilities)
+    large = [c for c in columns if summary[c]["n"] > small]
+    marks = _marks(df, large, probabilities, accuracy) if large else {}
     brackets = []
     for c in columns:
         s = summary[c]
@@ -60,8 +76,8 @@ def quantile_map(df: DataFrame, columns: list[str], probabilities: list[float],
         for i, p in enumerate(probabilities):
             rank = (s["n"] - 1) * p
             whole = s["n"] <= small
-            brackets.append((c, float(p), s["least"] if whole else s["marks"][i],
-                             s["most"] if whole else s["marks"][k + i], int(rank), int(-(-rank // 1)), rank - int(rank)))
+            brackets.append((c, float(p), s["least"] if whole else marks[c][i],
+                             s["most"] if whole else marks[c][k + i], int(rank), int(-(-rank // 1)), rank - int(rank)))
     if not brackets:
         return {}
     limits = df.sparkSession.createDataFrame(
@@ -78,7 +94,7 @@ def quantile_map(df: DataFrame, columns: list[str], probabilities: list[float],
     inside = F.lit(False)
     for i in range(k):
         inside = inside | value.between(F.col(f"lo{i}"), F.col(f"hi{i}"))
-    values = numbers(df, columns).unpivot([], columns, "column", "value").filter(value.isNotNull())
+    values = long_values(df, columns)
     # Values outside every bracket only count; they collapse into one row per gap before the shuffle.
     kept = (values.join(F.broadcast(zones), "column")
             .groupBy("column", zone.alias("zone"), F.when(inside, value).alias("value"))

@@ -20,7 +20,7 @@ def g18_error_ratio_alerts(spark, sf):
 
 def g19_request_p95_points(spark, sf):
     points = al.p95_points(_requests(spark, sf), "ts", F.col("duration_seconds"), REQUEST_BOUNDS, 300, 0.3)
-    return round_columns(points, "p95")
+    return round_columns(points, "p95", digits=8)
 
 
 def g19_request_p95_alerts(spark, sf):
@@ -107,7 +107,7 @@ SQL = {
     "g18_error_ratio_alerts": "WITH " + _steps("http_requests", "ts", {
         "errors": "COUNT(*) FILTER (WHERE status_code BETWEEN 500 AND 599)", "n": "COUNT(*)"}, 300) + ", "
         + _islands("(errors / 300) / GREATEST(n / 300, 0.001) > 0.05", 300),
-    "g19_request_p95_points": f"""WITH {_REQUEST_STEPS} SELECT tick, n AS count, ROUND(p, 4) AS p95
+    "g19_request_p95_points": f"""WITH {_REQUEST_STEPS} SELECT tick, n AS count, ROUND(p, 8) AS p95
 FROM (SELECT *, {_quantile_sql(REQUEST_BOUNDS)} AS p FROM points) WHERE p > 0.3""",
     "g19_request_p95_alerts": f"WITH {_REQUEST_STEPS}, " + _islands(f"({_quantile_sql(REQUEST_BOUNDS)}) > 0.3", 600),
     "g19_task_p95_alerts": f"WITH {_TASK_STEPS}, " + _islands(f"({_quantile_sql(TASK_BOUNDS)}) > 0.4", 900),
