@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from lumenframe.operators.ordered import running_sum
+from lumenframe.operators.ordered import split_row_number
 from lumenframe.operators.profile import present, string_columns, value_counts
 from lumenframe.operators.quantiles import numbers, quantile_map, summarise
 from lumenframe.session import materialise
@@ -43,7 +43,7 @@ def ordinal_codes(df: DataFrame, columns: list[str]) -> DataFrame:
               .groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("edges")))
     cut = (values.join(F.broadcast(sample), "column")
            .withColumn("bucket", F.size(F.filter("edges", lambda e: e <= F.col("value")))).drop("edges"))
-    ranked = running_sum(cut, ["column"], "bucket", ["value"], F.lit(1), "_n")
+    ranked = split_row_number(cut, ["column"], "bucket", ["value"], "_n")
     return ranked.select("column", "value", (F.col("_n") - 1).cast("double").alias("code"))
 
 

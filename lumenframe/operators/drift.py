@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lumenframe.operators.ordered import running_sum
+from lumenframe.operators.ordered import running_sums
 from lumenframe.operators.profile import numeric_columns
 from lumenframe.operators.quantiles import long_values
 
 ALPHA = 0.05
-EDGES = 256
+EDGES = 64
 SERIES_TERMS = 100
 
 
@@ -43,8 +43,7 @@ def ks_distances(baseline: DataFrame, current: DataFrame) -> DataFrame:
     sizes = both.groupBy("column").agg(F.sum("b").alias("n"), F.sum("c").alias("m"))
     cut = (both.join(F.broadcast(edges), "column")
            .withColumn("bucket", F.size(F.filter("edges", lambda e: e <= F.col("value")))).drop("edges"))
-    summed = running_sum(cut, ["column"], "bucket", ["value"], F.col("b"), "fb")
-    summed = running_sum(summed, ["column"], "bucket", ["value"], F.col("c"), "fc")
+    summed = running_sums(cut, ["column"], "bucket", ["value"], {"fb": F.col("b"), "fc": F.col("c")})
     gap = F.abs(F.try_divide(F.col("fb"), F.col("n")) - F.try_divide(F.col("fc"), F.col("m")))
     return (summed.join(F.broadcast(sizes), "column").groupBy("column")
             .agg(F.first("n").alias("n"), F.first("m").alias("m"), F.max(gap).alias("ks_stat")))

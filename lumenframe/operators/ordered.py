@@ -13,26 +13,28 @@ MAX_HOT_GROUPS = 10_000
 PIECES = 64
 
 
-def running_sum(df: DataFrame, keys: list[str], bucket: str, order: list[str], amount: Column,
-                name: str) -> DataFrame:
-    """Inclusive running sum of ``amount`` per ``keys`` over the order ``(bucket, *order)``.
+def running_sums(df: DataFrame, keys: list[str], bucket: str, order: list[str],
+                 amounts: dict[str, Column]) -> DataFrame:
+    """Inclusive running sums per ``keys`` over the order ``(bucket, *order)``, one column per amount.
 
     ``bucket`` must grow with ``order``. The second level sees one row per bucket only.
     """
-    totals = df.groupBy(*keys, bucket).agg(F.sum(amount).alias("_total"))
+    names = list(amounts)
+    totals = df.groupBy(*keys, bucket).agg(*[F.sum(a).alias(f"_t_{n}") for n, a in amounts.items()])
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, bucket, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
+    offsets = totals.select(*keys, bucket, *[
+        F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in names])
     inside = (Window.partitionBy(*keys, bucket).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (df.withColumn("_inside", F.sum(amount).over(inside))
+    kept = df.columns
+    return (df.select(*kept, *[F.sum(a).over(inside).alias(f"_i_{n}") for n, a in amounts.items()])
             .join(offsets, [*keys, bucket])
-            .withColumn(name, F.col("_inside") + F.col("_offset"))
-            .drop("_inside", "_offset"))
+            .select(*kept, *[(F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(n) for n in names]))
 
 
 def split_row_number(df: DataFrame, keys: list[str], bucket: str, order: list[str], name: str) -> DataFrame:
     """``row_number`` per ``keys`` over the order ``(bucket, *order)``, 1-based and without gaps."""
-    return running_sum(df, keys, bucket, order, F.lit(1), name)
+    return running_sums(df, keys, bucket, order, {name: F.lit(1)})
 
 
 def hot_edges(df: DataFrame, keys: list[str], measure: str, hot_rows: int = HOT_ROWS,
