@@ -52,14 +52,15 @@ def i08_stream_progress(spark, sf):
 
 def i09_stream_latest_terminal(spark, sf):
     sink.use_rocks(spark)
-    rows = sink.run_available(ss.stream_latest_terminal(_stream(spark, sf, "task_progress")), label="terminal")
+    rows = sink.run_available(ss.stream_latest_terminal(_stream(spark, sf, "task_progress")), label="terminal",
+                              idle_batches=False)
     return sink.latest_per_key(rows, ["task_id"]).select("task_id", "seq", "status")
 
 
 def i13_stream_heartbeats(spark, sf):
     """Heartbeats of the silences that ended; the last silence of a task is still open."""
     sink.use_rocks(spark)
-    rows = sink.run_available(ss.stream_heartbeats(_stream(spark, sf, "task_progress")), "append", "heartbeats")
+    rows = sink.run_available(ss.stream_heartbeats(_stream(spark, sf, "task_progress")), "append", "heartbeats", idle_batches=False)
     ends = table(spark, sf, "events").groupBy((F.col("event_id") % 50).cast("string").alias("task_id")).agg(
         F.max_by("event_id", F.struct("ts", "event_id")).alias("seq"))
     closed = rows.join(ends, ["task_id", "seq"], "left_anti")

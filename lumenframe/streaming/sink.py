@@ -24,10 +24,11 @@ def use_rocks(spark: SparkSession) -> None:
 
 
 def run_available(stream: DataFrame, mode: str = "update", label: str = "stream",
-                  transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                  transform: Callable[[DataFrame], DataFrame] | None = None, idle_batches: bool = True) -> DataFrame:
     """Process what is there and return all written rows with their ``epoch``.
 
-    Every micro-batch replaces its own folder, so a batch that runs twice is still written once.
+    Every micro-batch replaces its own folder, so a batch that runs twice is still written once. State that lives by
+    the clock asks for batches without data for ever; ``idle_batches=False`` ends such a run with its data.
     """
     spark = stream.sparkSession
     base = scratch_path(spark, label)
@@ -36,8 +37,12 @@ def run_available(stream: DataFrame, mode: str = "update", label: str = "stream"
         rows = transform(batch) if transform else batch
         rows.write.mode("overwrite").parquet(f"{base}/rows/epoch={epoch}")
 
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(idle_batches).lower())
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
              .trigger(availableNow=True).foreachBatch(write).start())
+    spark.conf.set(setting, before)
     query.awaitTermination()
     fields = T.StructType([*stream.schema.fields, T.StructField("epoch", T.IntegerType())])
     if transform is None:
