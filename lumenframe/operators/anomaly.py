@@ -185,8 +185,7 @@ def isolation_trees(matrix: DataFrame, key: str, features: list[str], trees: int
     sample_rows = min(rows, n)
     # A threshold keeps about eight times the wanted rows per tree before anything is shuffled.
     share = min(1.0, 8.0 * sample_rows / n) if n else 1.0
-    span = 2.0 ** 64
-    limit = int(-(2 ** 63) + share * (span - 1))
+    limit = min(2 ** 63 - 1, int(-(2 ** 63) + share * 2.0 ** 64))
     drawn = (matrix.withColumn("tree", F.explode(F.filter(
         F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(F.col(key), t, F.lit(seed)) <= limit)))
         .withColumn("_h", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed))))
