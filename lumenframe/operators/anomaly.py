@@ -19,7 +19,7 @@ MIN_ROWS = 10
 ENSEMBLE_WEIGHT, DISTANCE_WEIGHT = 0.7, 0.3
 BINS, BIN_FLOOR, EDGE_SLACK = 10, 0.1, 1e-9
 NEIGHBOURS = 5
-TREES, TREE_ROWS = 100, 256
+TREES, TREE_ROWS, POOL_ROWS = 100, 256, 65_536
 SMALL_DICTIONARY = 100_000
 EDGE_SAMPLE = 256
 
@@ -37,7 +37,7 @@ def ordinal_codes(df: DataFrame, columns: list[str]) -> DataFrame:
 
     The values are cut at sampled edges, so that a column with very many distinct texts is ranked by many tasks.
     """
-    values = value_counts(df, columns).select("column", "value")
+    values = materialise(value_counts(df, columns).select("column", "value"), "values")
     order = Window.partitionBy("column").orderBy(F.xxhash64("value"), "value")
     sample = (values.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= EDGE_SAMPLE)
               .groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("edges")))
@@ -178,17 +178,23 @@ def average_path(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n
 
 
+def _below(share: float) -> int:
+    """Upper bound of a 64-bit hash that a random ``share`` of the rows stays under."""
+    return min(2 ** 63 - 1, int(-(2 ** 63) + share * 2.0 ** 64))
+
+
 def isolation_trees(matrix: DataFrame, key: str, features: list[str], trees: int = TREES, rows: int = TREE_ROWS,
                     seed: int = 42) -> list[dict]:
     """Random trees, each over its own hash sample of ``rows`` rows. What returns is bounded by ``trees * rows``."""
     n = matrix.count()
     sample_rows = min(rows, n)
-    # A threshold keeps about eight times the wanted rows per tree before anything is shuffled.
-    share = min(1.0, 8.0 * sample_rows / n) if n else 1.0
-    limit = min(2 ** 63 - 1, int(-(2 ** 63) + share * 2.0 ** 64))
-    drawn = (matrix.withColumn("tree", F.explode(F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(F.col(key), t, F.lit(seed)) <= limit)))
-        .withColumn("_h", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed))))
+    # One hash per row keeps a random pool for all trees; each tree then draws from the pool alone.
+    pool = _below(min(1.0, max(trees * rows, POOL_ROWS) / n) if n else 1.0)
+    share = _below(min(1.0, 8.0 * sample_rows / min(n, max(trees * rows, POOL_ROWS))) if n else 1.0)
+    drawn = (matrix.withColumn("_k", F.xxhash64(F.col(key), F.lit(seed))).filter(F.col("_k") <= pool)
+             .withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)),
+                                                    lambda t: F.xxhash64("_k", t) <= share)))
+             .withColumn("_h", F.xxhash64("_k", "tree")))
     rank = Window.partitionBy("tree").orderBy("_h", key)
     drawn = drawn.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= sample_rows)
     depth = math.ceil(math.log2(max(sample_rows, 2)))

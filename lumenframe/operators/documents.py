@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lumenframe.functions.text import blocks, is_blank, sliding_pieces, strip
 
@@ -158,21 +158,25 @@ def embedding_totals(embedded: DataFrame) -> DataFrame:
 
 # Language ------------------------------------------------------------------------------------------------------
 
-def language_scores(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with one count of function words per language, over the whole text and without a shuffle."""
-    words = F.split(F.lower(F.col(text)), r"[^\p{L}]+")
-    scored = df.withColumn("_words", words)
-    for language, listed in FUNCTION_WORDS.items():
-        known = F.array(*[F.lit(w) for w in listed])
-        scored = scored.withColumn(f"score_{language}", F.size(F.filter(
-            "_words", lambda w: F.array_contains(known, w))))
-    return scored.drop("_words")
-
-
-def detect_language(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``language``: en for English, fr for French, blank and everything else."""
-    scored = language_scores(df, text)
-    others = F.greatest(*[F.col(f"score_{x}") for x in FUNCTION_WORDS if x != "en"])
-    english = (F.col("score_en") > 0) & (F.col("score_en") > others)
-    return (scored.withColumn("language", F.when(F.coalesce(english, F.lit(False)), "en").otherwise("fr"))
-            .drop(*[f"score_{x}" for x in FUNCTION_WORDS]))
+def _word_table(spark: SparkSession) -> DataFrame:
+    """One row per function word with a 0/1 flag per language: a fixed, small table."""
+    words = sorted({w for listed in FUNCTION_WORDS.values() for w in listed})
+    rows = [(w, *[int(w in listed) for listed in FUNCTION_WORDS.values()]) for w in words]
+    return spark.createDataFrame(rows, "word string, " + ", ".join(f"{x} int" for x in FUNCTION_WORDS))
+
+
+def language_scores(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``(key, one count of function words per language)`` over whole texts.
+
+    Words meet the word table in a broadcast join and are counted before the shuffle.
+    """
+    words = df.select(key, F.explode_outer(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("word"))
+    return (words.join(F.broadcast(_word_table(df.sparkSession)), "word", "left").groupBy(key)
+            .agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in FUNCTION_WORDS]))
+
+
+def detect_language(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``(key, language)``: en for English, fr for French, blank and everything else."""
+    others = F.greatest(*[F.col(x) for x in FUNCTION_WORDS if x != "en"])
+    english = (F.col("en") > 0) & (F.col("en") > others)
+    return language_scores(df, key, text).select(key, F.when(english, "en").otherwise("fr").alias("language"))

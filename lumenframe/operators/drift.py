@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lumenframe.operators.ordered import running_sums
 from lumenframe.operators.profile import numeric_columns
 from lumenframe.operators.quantiles import long_values
+from lumenframe.session import materialise
 
 ALPHA = 0.05
 EDGES = 64
@@ -34,10 +35,10 @@ def ks_distances(baseline: DataFrame, current: DataFrame) -> DataFrame:
 
     Both distribution functions are running sums over sampled value ranges, so one column is spread over many tasks.
     """
-    both = (baseline.select("column", "value", F.col("copies").alias("b"), F.lit(0).cast("long").alias("c"))
+    both = materialise(baseline.select("column", "value", F.col("copies").alias("b"), F.lit(0).cast("long").alias("c"))
             .unionByName(current.select("column", "value", F.lit(0).cast("long").alias("b"),
                                         F.col("copies").alias("c")))
-            .groupBy("column", "value").agg(F.sum("b").alias("b"), F.sum("c").alias("c")))
+            .groupBy("column", "value").agg(F.sum("b").alias("b"), F.sum("c").alias("c")), "distributions")
     marks = [i / EDGES for i in range(1, EDGES)]
     edges = both.groupBy("column").agg(F.array_distinct(F.percentile_approx("value", marks, 1000)).alias("edges"))
     sizes = both.groupBy("column").agg(F.sum("b").alias("n"), F.sum("c").alias("m"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lumenframe.functions.text import normalise_name
 from lumenframe.operators.events import latest_time
@@ -20,22 +20,22 @@ AUDIT_ROWS = 100
 EXPIRED_DAYS, REVOKED_DAYS = 7, 30
 
 
-def _rule_map(rules: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])
+def _exact_rules(spark: SparkSession) -> DataFrame:
+    """Whole-name rules as a fixed table of some 140 rows."""
+    rows = [(k, "high", v) for k, v in HIGH_EXACT.items()]
+    rows += [(k, "medium", v) for k, v in MEDIUM_EXACT.items() if k not in HIGH_EXACT]
+    return spark.createDataFrame(rows, "_norm string, _risk string, _reason string")
 
 
 def classify_columns(names: DataFrame, column: str = "column_name") -> DataFrame:
     """``names`` with risk, confidence, reason, article and match tier per column name.
 
-    The rules are a few hundred literals, so every row is judged in place without a join. The first match wins:
-    whole name, last token, first token, then any token.
+    Whole names meet a fixed rule table in a broadcast join; tokens are judged in place. The first match wins: whole
+    name, last token, first token, then any token.
     """
-    norm = F.col("_norm")
     tokens = F.split("_norm", "_")
-    last, first = F.element_at(tokens, -1), F.element_at(tokens, 1)
-    high = F.try_element_at(_rule_map(HIGH_EXACT), norm)
-    medium = F.try_element_at(_rule_map(MEDIUM_EXACT), norm)
-    word = F.try_element_at(F.array_sort(F.array_intersect(tokens, F.array(*[F.lit(w) for w in SEMANTIC]))), F.lit(1))
+    last, first = F.element_at("_tokens", -1), F.element_at("_tokens", 1)
+    word = F.array_min(F.array_intersect("_tokens", F.array(*[F.lit(w) for w in SEMANTIC])))
     basic = F.lit(ARTICLE_BASIC)
     quote = lambda text, token: F.concat(F.lit(text + " '"), token, F.lit("'"))
 
@@ -43,11 +43,11 @@ def classify_columns(names: DataFrame, column: str = "column_name") -> DataFrame
         return F.struct(F.lit(risk).alias("risk"), F.lit(confidence).alias("confidence"), reason.alias("reason"),
                         article.alias("article"), F.lit(tier).alias("match_tier"))
 
-    sensitive = F.col("_medium").startswith(SENSITIVE_PREFIX)
+    sensitive = F.col("_reason").startswith(SENSITIVE_PREFIX)
     judged = (
-        F.when(F.col("_high").isNotNull(), verdict("high", 1.0, F.col("_high"), basic, "exact"))
-        .when(F.col("_medium").isNotNull(), verdict(
-            "medium", 1.0, F.col("_medium"), F.when(sensitive, ARTICLE_SENSITIVE).otherwise(ARTICLE_BASIC), "exact"))
+        F.when(F.col("_risk") == "high", verdict("high", 1.0, F.col("_reason"), basic, "exact"))
+        .when(F.col("_risk") == "medium", verdict(
+            "medium", 1.0, F.col("_reason"), F.when(sensitive, ARTICLE_SENSITIVE).otherwise(ARTICLE_BASIC), "exact"))
         .when(last.isin(HIGH_ENDS), verdict(
             "high", 0.85, quote("Identifiant personnel — colonne se terminant par", last), basic, "pattern"))
         .when(first.isin(HIGH_STARTS), verdict(
@@ -61,7 +61,8 @@ def classify_columns(names: DataFrame, column: str = "column_name") -> DataFrame
             "semantic"))
         .otherwise(verdict("safe", 0.0, F.lit("Donnée statistique — Faible risque"), F.lit(""), "none")))
     return (names.withColumn("_norm", normalise_name(F.col(column)))
-            .withColumn("_high", high).withColumn("_medium", medium).withColumn("_word", word)
+            .withColumn("_tokens", tokens).withColumn("_word", word)
+            .join(F.broadcast(_exact_rules(names.sparkSession)), "_norm", "left")
             .withColumn("_verdict", judged)
             .select(*names.columns, F.col("_norm").alias("normalised"), "_verdict.*"))
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ACCURACY = 10_000
 SMALL_COLUMN = 50_000
-COLUMNS_PER_PASS = 10
+COLUMNS_PER_PASS = 6
+CONDITIONS_PER_PASS = 40
 
 
 def number(name: str) -> Column:
@@ -66,50 +67,52 @@ def quantile_map(df: DataFrame, columns: list[str], probabilities: list[float],
     summary = summary or summarise(df, columns)
     probabilities = sorted(probabilities)
     k = len(probabilities)
-    large = [c for c in columns if summary[c]["n"] > small]
+    filled = [c for c in columns if summary[c]["n"]]
+    if not filled:
+        return {}
+    large = [c for c in filled if summary[c]["n"] > small]
     marks = _marks(df, large, probabilities, accuracy) if large else {}
-    brackets = []
-    for c in columns:
+    targets = []
+    for i, c in enumerate(filled):
         s = summary[c]
-        if not s["n"]:
-            continue
-        for i, p in enumerate(probabilities):
-            rank = (s["n"] - 1) * p
-            whole = s["n"] <= small
-            brackets.append((c, float(p), s["least"] if whole else marks[c][i],
-                             s["most"] if whole else marks[c][k + i], int(rank), int(-(-rank // 1)), rank - int(rank)))
-    if not brackets:
-        return {}
+        for j, p in enumerate(probabilities):
+            lo, hi = (marks[c][j], marks[c][k + j]) if c in marks else (s["least"], s["most"])
+            targets.append((i, float(p), lo, hi, (s["n"] - 1) * p))
+    wide = numbers(df, filled)
+    below = _counts(wide, [F.col(filled[i]) < lo for i, _, lo, _, _ in targets])
     limits = df.sparkSession.createDataFrame(
-        brackets, "column string, p double, lo double, hi double, below long, above long, fraction double")
-    by_column: dict = {}
-    for c, _, lo, hi, *_ in brackets:
-        by_column.setdefault(c, []).append((lo, hi))
-    zones = df.sparkSession.createDataFrame(
-        [(c, *[x for pair in sorted(pairs) for x in pair]) for c, pairs in by_column.items()],
-        "column string, " + ", ".join(f"lo{i} double, hi{i} double" for i in range(k)))
+        [(i, p, lo, hi, int(r), int(-(-r // 1)), r - int(r), b) for (i, p, lo, hi, r), b in zip(targets, below)],
+        "i int, p double, lo double, hi double, down long, up long, fraction double, start long")
+    cells = []
+    for i, c in enumerate(filled):
+        inside = F.lit(False)
+        for lo, hi in sorted({(t[2], t[3]) for t in targets if t[0] == i}):
+            inside = inside | F.col(c).between(lo, hi)
+        cells.append(F.when(inside, F.struct(F.lit(i).alias("i"), F.col(c).alias("value"))))
     value = F.col("value")
-    zone = sum((F.when(value > F.col(f"hi{i}"), 1).otherwise(0) for i in range(1, k)),
-               F.when(value > F.col("hi0"), 1).otherwise(0))
-    inside = F.lit(False)
-    for i in range(k):
-        inside = inside | value.between(F.col(f"lo{i}"), F.col(f"hi{i}"))
-    values = long_values(df, columns)
-    # Values outside every bracket only count; they collapse into one row per gap before the shuffle.
-    kept = (values.join(F.broadcast(zones), "column")
-            .groupBy("column", zone.alias("zone"), F.when(inside, value).alias("value"))
-            .agg(F.count(F.lit(1)).alias("copies")))
-    upto = Window.partitionBy("column").orderBy(F.col("zone"), F.col("value").asc_nulls_first())
+    kept = (wide.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*")
+            .groupBy("i", "value").agg(F.count(F.lit(1)).alias("copies"))
+            .join(F.broadcast(limits), "i").filter(value.between(F.col("lo"), F.col("hi"))))
+    upto = Window.partitionBy("i", "p").orderBy("value")
     first, last = F.col("last") - F.col("copies") + 1, F.col("last")
-    placed = (kept.withColumn("last", F.sum("copies").over(upto) - 1)
-              .join(F.broadcast(limits.drop("lo", "hi")), "column")
-              .groupBy("column", "p")
+    placed = (kept.withColumn("last", F.col("start") + F.sum("copies").over(upto) - 1)
+              .groupBy("i", "p")
               .agg(F.first("fraction").alias("fraction"),
-                   F.max(F.when(F.col("below").between(first, last), value)).alias("a"),
-                   F.max(F.when(F.col("above").between(first, last), value)).alias("b")))
+                   F.max(F.when(F.col("down").between(first, last), value)).alias("a"),
+                   F.max(F.when(F.col("up").between(first, last), value)).alias("b")))
     result: dict = {}
     for row in placed.collect():
+        name = filled[row["i"]]
         if row["a"] is None or row["b"] is None:
-            raise ValueError(f"quantile {row['p']} of {row['column']} lies outside its bracket")
-        result.setdefault(row["column"], {})[row["p"]] = row["a"] + (row["b"] - row["a"]) * row["fraction"]
+            raise ValueError(f"quantile {row['p']} of {name} lies outside its bracket")
+        result.setdefault(name, {})[row["p"]] = row["a"] + (row["b"] - row["a"]) * row["fraction"]
     return result
+
+
+def _counts(df: DataFrame, conditions: list[Column]) -> list[int]:
+    """How many rows fulfil each condition."""
+    found: list[int] = []
+    for start in range(0, len(conditions), CONDITIONS_PER_PASS):
+        part = conditions[start:start + CONDITIONS_PER_PASS]
+        found += list(df.agg(*[F.count_if(c).alias(f"c{i}") for i, c in enumerate(part)]).first())
+    return found

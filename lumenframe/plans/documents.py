@@ -100,7 +100,7 @@ def f05_embedding_totals(spark, sf):
 
 
 def f16_language(spark, sf):
-    return dc.detect_language(table(spark, sf, "documents")).select("doc_id", "language")
+    return dc.detect_language(table(spark, sf, "documents"), "doc_id")
 
 
 def _vectors(spark, sf):

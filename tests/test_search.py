@@ -95,13 +95,15 @@ def test_encoder_hook_and_blank_texts(spark):
 
 
 def test_language(spark):
-    df = spark.createDataFrame([("The price of the house is in the table and it is high",),
-                                ("Le prix de la maison est dans le tableau et il est élevé",), ("",), (None,),
-                                ("Der Preis ist nicht auf dem Papier und die Liste",)], "text string")
-    assert [r["language"] for r in dc.detect_language(df).collect()] == ["en", "fr", "fr", "fr", "fr"]
+    texts = ["The price of the house is in the table and it is high",
+             "Le prix de la maison est dans le tableau et il est élevé", "", None,
+             "Der Preis ist nicht auf dem Papier und die Liste"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = {r["id"]: r["language"] for r in dc.detect_language(df, "id").collect()}
+    assert found == {0: "en", 1: "fr", 2: "fr", 3: "fr", 4: "fr"}
 
 
 def test_language_agrees_with_given_labels(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    found = dc.detect_language(df).filter("lang IN ('en', 'fr') AND n_chars > 200")
+    found = dc.detect_language(df, "doc_id").join(df.filter("lang IN ('en', 'fr') AND n_chars > 200"), "doc_id")
     assert found.agg(F.avg(F.when(F.col("lang") == F.col("language"), 1.0).otherwise(0.0))).first()[0] > 0.9
