@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenframe.operators.events import bound_name, bucket_counts
-from lumenframe.operators.ordered import HOT_ROWS, with_neighbour
+from lumenframe.operators.ordered import HOT_ROWS, split_row_number, with_neighbour
 
 STEP_SECONDS = 30
 ERROR_RATIO, MIN_RATE = 0.05, 0.001
@@ -33,10 +33,13 @@ def sliding(rows: DataFrame, ts: str, window_seconds: int, measures: dict[str, C
 
 
 def islands(points: DataFrame, hold_seconds: int, step: int = STEP_SECONDS) -> DataFrame:
-    """Runs of consecutive true points ``tick``; ``firing`` once a run has lasted ``hold_seconds``."""
-    # One row per step of the clock: its size grows with the time span, not with the events.
-    order = Window.partitionBy(F.lit(0)).orderBy("tick")
-    runs = points.withColumn("_run", F.col("tick") - F.row_number().over(order) * step)
+    """Runs of consecutive true points ``tick``; ``firing`` once a run has lasted ``hold_seconds``.
+
+    Points are numbered day by day, so a long history is spread over many tasks.
+    """
+    daily = points.withColumn("_day", F.floor(F.col("tick") / 86_400))
+    runs = (split_row_number(daily, [], "_day", ["tick"], "_n")
+            .withColumn("_run", F.col("tick") - F.col("_n") * step))
     return (runs.groupBy("_run").agg(F.min("tick").alias("since"), F.max("tick").alias("until"),
                                      F.count(F.lit(1)).alias("points"))
             .drop("_run").withColumn("firing", F.col("until") - F.col("since") >= hold_seconds))

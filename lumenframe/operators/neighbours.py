@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from lumenframe.session import materialise
 
 CELL_ROWS = 4_000
-MAX_CELLS = 4_096
+MAX_CELLS = 65_536
 SPLIT_SAMPLE = 50_000
 BLOCK = 1_024
 
@@ -56,6 +56,42 @@ def cell_of(x: np.ndarray, nodes: list[tuple]) -> np.ndarray:
     return found
 
 
+def node_boxes(nodes: list[tuple], low: dict, high: dict, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounding box of every node from the boxes of its cells; an empty cell has an inverted box."""
+    lo, hi = np.full((len(nodes), d), np.inf), np.full((len(nodes), d), -np.inf)
+    for i in reversed(range(len(nodes))):
+        f, cell, left, right = nodes[i]
+        if f < 0:
+            if cell in low:
+                lo[i], hi[i] = low[cell], high[cell]
+        else:
+            lo[i], hi[i] = np.minimum(lo[left], lo[right]), np.maximum(hi[left], hi[right])
+    return lo, hi
+
+
+def near_cells(x: np.ndarray, reach: np.ndarray, nodes: list[tuple], lo: np.ndarray, hi: np.ndarray,
+               home: int) -> list[list[int]]:
+    """Per point the other cells closer than its reach, found by descending the tree of boxes."""
+    rows_found, cells_found = [np.zeros(0, dtype=int)], [np.zeros(0, dtype=int)]
+    waiting = [(0, np.arange(len(x)))]
+    while waiting:
+        i, rows = waiting.pop()
+        gap = np.maximum(np.maximum(lo[i] - x[rows], x[rows] - hi[i]), 0.0)
+        rows = rows[np.sqrt((gap * gap).sum(axis=1)) < reach[rows]]
+        if not len(rows):
+            continue
+        f, cell, left, right = nodes[i]
+        if f >= 0:
+            waiting += [(left, rows), (right, rows)]
+        elif cell != home:
+            rows_found.append(rows)
+            cells_found.append(np.full(len(rows), cell))
+    rows, cells = np.concatenate(rows_found), np.concatenate(cells_found)
+    order = np.argsort(rows, kind="stable")
+    ends = np.searchsorted(rows[order], np.arange(1, len(x)))
+    return [part.tolist() for part in np.split(cells[order], ends)]
+
+
 def smallest(x: np.ndarray, points: np.ndarray, copies: np.ndarray, k: int) -> np.ndarray:
     """Per row of ``x`` its ``k`` smallest distances to ``points``, counting copies; missing ones are infinite."""
     out = np.full((len(x), k), np.inf)
@@ -97,10 +133,12 @@ def neighbour_scores(matrix: DataFrame, key: str, features: list[str], k: int =
     points = materialise(matrix.groupBy(*features).agg(F.count(F.lit(1)).alias("copies"))
                          .withColumn("point", F.xxhash64(*features)), "points")
     distinct = points.count()
-    sample = (points.select(*features).filter(
-        F.pmod(F.col("point"), F.lit(1_000_003)) < max(1, int(1_000_003 * min(1.0, SPLIT_SAMPLE / max(distinct, 1)))))
-        .toPandas().to_numpy(dtype=float))
-    nodes = split_space(sample, max(1, min(MAX_CELLS, distinct // cell_rows))) if len(sample) else [(-1, 0, 0, 0)]
+    cells = max(1, min(MAX_CELLS, distinct // cell_rows))
+    # The cuts come from a sample of bounded size; they decide the balance, never the result.
+    share = min(1.0, max(SPLIT_SAMPLE, 4 * cells) / max(distinct, 1))
+    sample = (points.select(*features).filter(F.pmod(F.col("point"), F.lit(1_000_003)) < max(1, int(1_000_003 * share)))
+              .toPandas().to_numpy(dtype=float))
+    nodes = split_space(sample, cells) if len(sample) else [(-1, 0, 0, 0)]
     shape = ", ".join(f"`{c}` double" for c in features)
 
     def place(batches):
@@ -111,21 +149,15 @@ def neighbour_scores(matrix: DataFrame, key: str, features: list[str], k: int =
                          "cells")
     boxes = placed.groupBy("cell").agg(*[F.min(c).alias(f"lo_{c}") for c in features],
                                        *[F.max(c).alias(f"hi_{c}") for c in features]).toPandas()
-    ids = boxes["cell"].to_numpy()
-    low = boxes[[f"lo_{c}" for c in features]].to_numpy(dtype=float)
-    high = boxes[[f"hi_{c}" for c in features]].to_numpy(dtype=float)
+    low = dict(zip(boxes["cell"], boxes[[f"lo_{c}" for c in features]].to_numpy(dtype=float)))
+    high = dict(zip(boxes["cell"], boxes[[f"hi_{c}" for c in features]].to_numpy(dtype=float)))
+    shared = matrix.sparkSession.sparkContext.broadcast(node_boxes(nodes, low, high, len(features)))
 
     def at_home(pdf: pd.DataFrame) -> pd.DataFrame:
         x, copies = pdf[features].to_numpy(dtype=float), pdf["copies"].to_numpy()
         found = smallest(x, x, copies, k + 1)[:, 1:]
-        reach = found[:, k - 1]
-        home = int(pdf["cell"].iloc[0])
-        targets = []
-        for start in range(0, len(x), BLOCK):
-            part = x[start:start + BLOCK]
-            gap = np.maximum(np.maximum(low[None] - part[:, None], part[:, None] - high[None]), 0.0)
-            near = np.sqrt((gap * gap).sum(axis=2)) < reach[start:start + BLOCK, None]
-            targets += [[int(c) for c in ids[row] if c != home] for row in near]
+        lo, hi = shared.value
+        targets = near_cells(x, found[:, k - 1], nodes, lo, hi, int(pdf["cell"].iloc[0]))
         return pdf.assign(best=list(found), targets=targets)
 
     local = materialise(placed.groupBy("cell").applyInPandas(

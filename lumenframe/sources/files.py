@@ -65,11 +65,12 @@ def detect_encodings(spark: SparkSession, path: str, by=lambda p: p) -> DataFram
 def detect_separators(spark: SparkSession, path: str, by=lambda p: p) -> DataFrame:
     """``(path, separator)``: the candidate that occurs equally often in (nearly) all lines, else a comma."""
     bare = F.regexp_replace("value", '"[^"]*"', "")
-    counts = F.array(*[F.struct(F.lit(i).alias("i"), F.regexp_count(bare, F.lit(p)).alias("n"))
-                       for i, p in enumerate([",", ";", "\t", r"\|"])])
-    per_line = (_lines(spark, path).filter(F.col("value") != "")
-                .select(by(F.col("path")).alias("path"), F.explode(counts).alias("c")).select("path", "c.i", "c.n"))
-    spread = per_line.groupBy("path", "i", "n").agg(F.count(F.lit(1)).alias("lines"))
+    counts = [F.regexp_count("bare", F.lit(p)).alias(f"n{i}") for i, p in enumerate([",", ";", "\t", r"\|"])]
+    # Equal lines meet as one row per task before anything is shuffled.
+    shapes = (_lines(spark, path).filter(F.col("value") != "").select(by(F.col("path")).alias("path"), bare.alias("bare"))
+              .select("path", *counts).groupBy("path", "n0", "n1", "n2", "n3").agg(F.count(F.lit(1)).alias("lines")))
+    spread = (shapes.select("path", "lines", F.posexplode(F.array("n0", "n1", "n2", "n3")).alias("i", "n"))
+              .groupBy("path", "i", "n").agg(F.sum("lines").alias("lines")))
     usual = spread.groupBy("path", "i").agg(F.sum("lines").alias("total"),
                                             F.max_by(F.struct("n", "lines"), F.struct("lines", "n")).alias("top"))
     fits = (F.col("top.n") > 0) & (F.col("top.lines") >= REGULAR_SHARE * F.col("total"))
