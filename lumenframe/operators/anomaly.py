@@ -124,7 +124,15 @@ def distance_scores(df: DataFrame, key: str, columns: list[str], name: str = "di
 
 def histogram_scores(matrix: DataFrame, key: str, features: list[str], bins: int = BINS,
                      name: str = "histogram_score") -> DataFrame:
-    """Minus the summed log density of the row's bin in each column, over ``bins`` equal-width bins."""
+    return with_histogram_score(matrix, features, bins, name).select(key, name)
+
+
+def with_histogram_score(matrix: DataFrame, features: list[str], bins: int = BINS,
+                         name: str = "histogram_score") -> DataFrame:
+    """Minus the summed log density of the row's bin in each column, over ``bins`` equal-width bins.
+
+    Added to the matrix as a plain expression: no join.
+    """
     s = summarise(matrix, features)
     n = s[None]["rows"]
     positions, widths = {}, {}
@@ -135,14 +143,14 @@ def histogram_scores(matrix: DataFrame, key: str, features: list[str], bins: int
         widths[c] = (high - low) / bins
         # A value on an edge belongs to the upper bin, whatever the rounding of the scaled value.
         positions[c] = F.least(F.floor((F.col(c) - low) / widths[c] + EDGE_SLACK), F.lit(bins - 1)).cast("int")
-    binned = matrix.select(key, *[positions[c].alias(c) for c in features])
+    binned = matrix.select(*[positions[c].alias(c) for c in features])
     counted = (binned.unpivot([], features, "feature", "bin").groupBy("feature", "bin")
                .agg(F.count(F.lit(1)).alias("n")).collect())
     score = F.lit(0.0)
     for c in features:
         table = {r["bin"]: math.log2(r["n"] / (n * widths[c]) + BIN_FLOOR) for r in counted if r["feature"] == c}
-        score = score - F.array(*[F.lit(float(table.get(b, math.log2(BIN_FLOOR)))) for b in range(bins)])[F.col(c)]
-    return binned.select(key, score.alias(name))
+        score = score - F.array(*[F.lit(float(table.get(b, math.log2(BIN_FLOOR)))) for b in range(bins)])[positions[c]]
+    return matrix.withColumn(name, score)
 
 
 def min_max(scores: DataFrame, names: list[str]) -> DataFrame:
@@ -233,10 +241,14 @@ def isolation_trees(matrix: DataFrame, key: str, features: list[str], trees: int
 
 def isolation_scores(matrix: DataFrame, key: str, features: list[str], trees: int = TREES, rows: int = TREE_ROWS,
                      seed: int = 42, name: str = "isolation_score") -> DataFrame:
-    """``2^(-mean depth / c)`` per row: near 1 for rows that random cuts isolate early."""
+    return with_isolation_score(matrix.select(key, *features), key, features, trees, rows, seed, name).select(key, name)
+
+
+def with_isolation_score(matrix: DataFrame, key: str, features: list[str], trees: int = TREES, rows: int = TREE_ROWS,
+                         seed: int = 42, name: str = "isolation_score") -> DataFrame:
+    """``2^(-mean depth / c)`` per row: near 1 for rows that random cuts isolate early. No shuffle of the rows."""
     forest = isolation_trees(matrix, key, features, trees, rows, seed)
     shared = matrix.sparkSession.sparkContext.broadcast(forest)
-    key_type = matrix.schema[key].dataType.simpleString()
 
     def score(batches):
         grown = shared.value
@@ -253,9 +265,9 @@ def isolation_scores(matrix: DataFrame, key: str, features: list[str], trees: in
                     open_rows = open_rows[tree["feature"][at[open_rows]] >= 0]
                 total += tree["path"][at]
             usual = average_path(grown[0]["rows"]) or 1.0
-            yield pd.DataFrame({key: pdf[key], name: 2.0 ** (-(total / len(grown)) / usual)})
+            yield pdf.assign(**{name: 2.0 ** (-(total / len(grown)) / usual)})
 
-    return matrix.select(key, *features).mapInPandas(score, f"`{key}` {key_type}, {name} double")
+    return matrix.mapInPandas(score, T.StructType([*matrix.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 # Ensemble ------------------------------------------------------------------------------------------------------
@@ -270,15 +282,16 @@ def anomaly_scores(df: DataFrame, key: str, contamination: float = CONTAMINATION
     if not features:
         raise ValueError("no usable columns")
     matrix = scaled_matrix(df, key, features)
-    makers = {
-        "isolation": lambda: isolation_scores(matrix, key, features, seed=seed),
-        "histogram": lambda: histogram_scores(matrix, key, features),
-        "neighbour": lambda: neighbour_scores(matrix, key, features, k),
-    }
+    # Two models only add a column; the neighbours and the robust distance come by one join each.
+    scores = matrix
+    if "histogram" in models:
+        scores = with_histogram_score(scores, features)
+    if "isolation" in models:
+        scores = with_isolation_score(scores, key, features, seed=seed)
+    scores = scores.drop(*features)
+    if "neighbour" in models:
+        scores = scores.join(neighbour_scores(matrix, key, features, k), key)
     numeric = [c for c in features if c not in string_columns(df)]
-    scores = matrix.select(key)
-    for model in models:
-        scores = scores.join(makers[model](), key)
     if numeric:
         scores = scores.join(distance_scores(df, key, numeric), key)
     else:

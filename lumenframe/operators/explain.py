@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lumenframe.operators.models import clean_table, fit_clean_model
 from lumenframe.session import scratch_path
@@ -100,8 +100,9 @@ def path_contributions(x: np.ndarray, leaves: list[tuple]) -> tuple[np.ndarray,
     return phi, base
 
 
-def tree_contributions(model, table: DataFrame, key: str, features: list[str], output: int = 1) -> DataFrame:
-    """``(key, x, phi, base, prediction)`` for a tree ensemble; ``output`` picks the class of a random forest."""
+def tree_contributions(model, table: DataFrame, key: str, features: list[str], output: int = 1,
+                       keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, keep..., x, phi, base, prediction)`` for a tree ensemble; ``output`` picks the class of a forest."""
     trees, weights = tree_nodes(model)
     forest_classes = "RandomForestClassif" in type(model).__name__ or "DecisionTreeClassif" in type(model).__name__
     leaves = []
@@ -111,7 +112,10 @@ def tree_contributions(model, table: DataFrame, key: str, features: list[str], o
             value = tree["classes"][:, output] / tree["classes"].sum(axis=1)
         leaves.append(leaf_paths(tree, value * weight))
     shared = table.sparkSession.sparkContext.broadcast(leaves)
-    key_type = table.schema[key].dataType.simpleString()
+    carried = [key, *keep]
+    out = T.StructType([*[table.schema[c] for c in carried],
+                        T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("phi", T.ArrayType(T.DoubleType())),
+                        T.StructField("base", T.DoubleType()), T.StructField("prediction", T.DoubleType())])
 
     def explain(batches):
         for pdf in batches:
@@ -121,11 +125,9 @@ def tree_contributions(model, table: DataFrame, key: str, features: list[str], o
                 part, start = path_contributions(x, one)
                 phi += part
                 base += start
-            yield pd.DataFrame({key: pdf[key], "x": list(x), "phi": list(phi), "base": base,
-                                "prediction": phi.sum(axis=1) + base})
+            yield pdf[carried].assign(x=list(x), phi=list(phi), base=base, prediction=phi.sum(axis=1) + base)
 
-    return table.select(key, *features).mapInPandas(
-        explain, f"`{key}` {key_type}, x array<double>, phi array<double>, base double, prediction double")
+    return table.select(*dict.fromkeys([*carried, *features])).mapInPandas(explain, out)
 
 
 # Summaries -----------------------------------------------------------------------------------------------------

@@ -25,6 +25,7 @@ from lumenframe.session import materialise
 FOLDS = 5
 TRIALS = 30
 HOLDOUT = 0.2
+MAX_CLASSES = 1_000
 MODELS = ["random_forest", "lightgbm", "xgboost", "logistic_regression"]
 
 
@@ -102,7 +103,9 @@ def preparation(df: DataFrame, features: list[str]) -> TablePreparation:
 def with_label(df: DataFrame, target: str) -> tuple[DataFrame, list]:
     """``df`` without rows lacking the target, and a ``label`` number: position of the class in sorted order."""
     known = df.filter(F.col(target).isNotNull())
-    classes = [r[0] for r in known.select(target).distinct().orderBy(target).collect()]
+    classes = [r[0] for r in known.select(target).distinct().orderBy(target).limit(MAX_CLASSES + 1).collect()]
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
     label = F.lit(None).cast("double")
     for i, c in enumerate(classes):
         label = F.when(F.col(target) == F.lit(c), F.lit(float(i))).otherwise(label)

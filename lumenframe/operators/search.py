@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -9,7 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenframe.functions.text import fixed
-from lumenframe.functions.vectors import cosine
+from lumenframe.functions.vectors import dot, norm
 from lumenframe.session import scratch_path
 
 TOP_K = 5
@@ -30,7 +32,9 @@ def search(vectors: DataFrame, query: list[float], k: int = TOP_K, condition: Co
     """The ``k`` vectors nearest to ``query`` by cosine. A condition applies before ranking and reaches the scan."""
     rows = vectors if condition is None else vectors.filter(condition)
     target = F.array(*[F.lit(float(x)) for x in query])
-    ranked = rows.withColumn("similarity", cosine(F.col("embedding"), target))
+    length = math.sqrt(sum(float(x) * float(x) for x in query))
+    ranked = rows.withColumn("similarity", F.try_divide(dot(F.col("embedding"), target),
+                                                        norm(F.col("embedding")) * F.lit(length)))
     return (ranked.filter(F.col("similarity").isNotNull())
             .orderBy(F.round("similarity", 9).desc(), "id").limit(k)
             .withColumn("similarity", F.round("similarity", 4)))

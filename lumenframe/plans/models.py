@@ -82,20 +82,13 @@ def d07_linear_contributions(spark, sf):
                         F.round("prediction", 8).alias("prediction"))
 
 
-def _trees(spark, sf):
-    return ex.explain_model(_lines(spark, sf), "id", REGRESSION, "l_extendedprice", "RandomForestRegressor",
-                            trees=TREES, depth=5)
-
-
 def d08_tree_additivity(spark, sf):
     """Base plus contributions against the model's own prediction, for every row."""
-    found = _trees(spark, sf)
-    own = ex.predictions(found["model"], found["table"], REGRESSION).select(
-        *[F.col(c) for c in ["id", *REGRESSION]], F.col("prediction").alias("own"))
-    pairs = found["contributions"].select(
-        "id", *[F.col("x")[i].alias(c) for i, c in enumerate(REGRESSION)], "prediction").distinct()
-    both = own.distinct().join(pairs, ["id", *REGRESSION])
-    return both.select("id", (F.abs(F.col("own") - F.col("prediction")) < 1e-6).alias("additive")).distinct()
+    table = md.clean_table(_lines(spark, sf), "id", REGRESSION, "l_extendedprice", "regression")
+    model = md.fit_clean_model(table, REGRESSION, "RandomForestRegressor", "regression", trees=TREES, depth=5)
+    own = ex.predictions(model, table, REGRESSION).drop("features").withColumnRenamed("prediction", "own")
+    found = ex.tree_contributions(model, own, "id", REGRESSION, keep=("own",))
+    return found.select("id", (F.abs(F.col("own") - F.col("prediction")) < 1e-6).alias("additive"))
 
 
 def d09_importance(spark, sf):
@@ -183,7 +176,7 @@ SQL = {
     "d06_holdout": f"WITH {_POS} SELECT doc_id, p <= ROUND(n * 0.2) AS held_out FROM pos",
     "d07_linear_contributions": f"WITH {_LINEAR} SELECT id, " + ", ".join(
         f"ROUND(p_{c}, 8) AS {c}" for c in WEIGHTS) + ", ROUND(prediction, 8) AS prediction FROM phi",
-    "d08_tree_additivity": "SELECT DISTINCT id, true AS additive FROM regression",
+    "d08_tree_additivity": "SELECT id, true AS additive FROM regression",
     "d09_importance": f"WITH {_IMP} SELECT CAST(rank AS INTEGER) AS rank, feature, importance, importance_percentage FROM imp",
     "d10_local_explanations": f"WITH {_LOC} SELECT * FROM loc",
     "d12_importance_summary": f"""WITH {_IMP} SELECT COUNT(*) AS total_features, ROUND(AVG(importance), 4) AS mean_importance,

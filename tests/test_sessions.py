@@ -125,3 +125,12 @@ def test_time_filter_reaches_the_scan(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     plan = ev.recent(df, "ts", 7).select("event_id")._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(ts" in plan
+
+
+def test_consent_intervals_of_hot_users(spark):
+    """Timestamps as cut points: the same intervals when every user counts as hot."""
+    rows = [(i, i % 2, "rag_indexing", True, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i // 3)) for i in range(600)]
+    log = spark.createDataFrame(rows, "id long, user_id long, purpose string, granted boolean, granted_at timestamp_ntz")
+    hot, plain = pv.consent_intervals(log, hot_rows=10), pv.consent_intervals(log)
+    assert sorted(map(str, hot.collect())) == sorted(map(str, plain.collect()))
+    assert hot.filter("revoked_at IS NULL").count() == 2
