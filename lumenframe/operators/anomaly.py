@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lumenframe.operators.ordered import split_row_number
 from lumenframe.operators.profile import present, string_columns, value_counts
-from lumenframe.operators.quantiles import numbers, quantile_map, summarise
+from lumenframe.operators.quantiles import quantile_map, summarise
 from lumenframe.session import materialise
 
 HIGH, MEDIUM = 0.7, 0.4

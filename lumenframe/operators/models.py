@@ -14,9 +14,9 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from lumenframe.operators.anomaly import _deviation, impute, ordinal_codes, encode
+from lumenframe.operators.anomaly import _deviation, encode, impute
 from lumenframe.operators.ordered import split_row_number
 from lumenframe.operators.profile import categorical_profile, string_columns
 from lumenframe.operators.quantiles import numbers, quantile_map, summarise
