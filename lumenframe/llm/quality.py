@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from lumenframe.llm.common import column, whole_text
+from lumenframe.session import materialise
 
 FEATURES = 256
 GAMMA = 0.05
@@ -172,17 +173,21 @@ def fold(id: str) -> Column:
     return F.pmod(F.crc32(F.coalesce(column(id).cast("string"), F.lit("")).cast("binary")), F.lit(4))
 
 
-def labelled_statistics(df: DataFrame, id: str, text: str, labels: DataFrame, label: str, held_out: int = 2,
+def _statistics_table(df: DataFrame, id: str, text: str) -> DataFrame:
+    return df.select(column(id).alias("id"), fold(id).alias("fold"), statistics(whole_text(text)).alias("stats"))
+
+
+def labelled_statistics(table: DataFrame, labels: DataFrame, id: str, label: str, held_out: int = 2,
                         calibrate: int = 3) -> DataFrame:
-    """Statistics and labels of the rows that may be learnt from. Repeated labels of an id are averaged."""
+    """``table``: id, fold, stats. Statistics and labels of the rows that may be learnt from. Repeated labels of an id are
+    averaged. The join moves statistics, never texts."""
     known = (labels.select(column(id).alias("id"), column(label).cast("double").alias("label"))
              .filter(F.col("label").isNotNull()).groupBy("id").agg(F.avg("label").alias("label")))
-    rows = df.select(column(id).alias("id"), whole_text(text).alias("text"), fold(id).alias("fold"))
-    return (rows.filter(F.col("fold") != held_out).join(known, "id")
-            .select(statistics("text").alias("stats"), "label", (F.col("fold") == calibrate).alias("calibrate")))
+    return (table.filter(F.col("fold") != held_out).join(known, "id")
+            .select("stats", "label", (F.col("fold") == calibrate).alias("calibrate")))
 
 
-def scorer(model: QualityModel):
+def text_scorer(model: QualityModel):
     @F.pandas_udf(DoubleType())
     def score(texts: pd.Series) -> pd.Series:
         if not len(texts):
@@ -191,8 +196,13 @@ def scorer(model: QualityModel):
     return score
 
 
-def train(df: DataFrame, id: str, text: str, labels: DataFrame, label: str = "quality") -> QualityModel:
-    return fit(labelled_statistics(df, id, text, labels, label))
+def statistics_scorer(model: QualityModel):
+    @F.pandas_udf(DoubleType())
+    def score(stats: pd.Series) -> pd.Series:
+        if not len(stats):
+            return pd.Series([], dtype=float)
+        return pd.Series(model.score(np.stack(stats.to_numpy())))
+    return score
 
 
 def score_documents(df: DataFrame, id: str, text: str, labels: DataFrame, label: str = "quality",
@@ -201,15 +211,16 @@ def score_documents(df: DataFrame, id: str, text: str, labels: DataFrame, label:
 
     Only texts feed the score. Rows of fold 2 are never learnt from, those of fold 3 set the scale. Null texts are
     empty; empty texts get the score of their statistics (zeros). Without labels every text scores 1. Repeated rows
-    get the same score; an empty table gives an empty result.
+    get the same score; an empty table gives an empty result. Texts are read once: their statistics are written.
     """
-    score = scorer(train(df, id, text, labels, label))
-    scored = df.select(column(id).alias(id), (fold(id) == 2).alias("held_out"), score(whole_text(text)).alias("score"))
+    table = materialise(_statistics_table(df, id, text), "text-statistics")
+    score = statistics_scorer(fit(labelled_statistics(table, labels, id, label)))
+    scored = table.select(F.col("id").alias(id), (F.col("fold") == 2).alias("held_out"), score("stats").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= accept).cast("int"))
 
 
 def accepted(df: DataFrame, id: str, text: str, labels: DataFrame, label: str = "quality",
              accept: float = ACCEPT) -> DataFrame:
     """The rows of ``df`` that score at least ``accept``."""
-    score = scorer(train(df, id, text, labels, label))
+    score = text_scorer(fit(labelled_statistics(_statistics_table(df, id, text), labels, id, label)))
     return df.filter(score(whole_text(text)) >= accept)
