@@ -23,12 +23,12 @@ from lumenframe.session import materialise
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 900_000
 LONGEST_CACHED = 64
-MARKS = ".,;:!?"
+MARKS = "!#$%&()*+,-./:;=?@[]^_`{}~"
 #: White space for Python's split() that the tokenizer takes for symbols.
 ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
-_WORDS: dict[str, dict[str, bytes]] = {}
+_WORDS: dict[str, "WordIds"] = {}
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -43,56 +43,74 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def _ids(path: str, texts: list[str]) -> list[bytes]:
-    return [array("I", e.ids).tobytes() for e in _tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+def _ids(path: str, text: str) -> bytes:
+    return array("I", _tokenizer(path).encode(text, add_special_tokens=False).ids).tobytes()
 
 
-def _plain_letter(c: str) -> bool:
-    """A letter that stays one letter in the tokenizer's normal form."""
-    return c.isalpha() and c < "\u0250" and c != "\u0130"
+def _plain(letters: str) -> bool:
+    """Letters that stay single letters in the tokenizer's normal form and in lower case."""
+    return letters.isascii() or max(letters) < "\u0250" and "\u0130" not in letters
 
 
-def _learn(path: str, words: list[str], known: dict[str, bytes]) -> None:
-    """Add words to ``known``. Letters and the marks after them are separate words for the tokenizer, which lower-cases."""
-    parts = {}
-    for w in words:
-        core = w.rstrip(MARKS)
-        if len(core) < len(w) and _plain_letter(core[-1:]):
-            marks = w[len(core):]
-        else:
-            core, marks = w, ""
-        parts[w] = (core.lower() if core.isascii() and core.isalpha() else core), marks
-    new = [p for p in {p for pair in parts.values() for p in pair if p} if p not in known]
-    known.update(zip(new, _ids(path, new)))
-    for w, (core, marks) in parts.items():
-        if w not in known:
-            known[w] = known[core] + known[marks] if marks else known[core]
+@lru_cache(maxsize=1)
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: visible bytes for themselves, others from 256."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-def encode_words(path: str, texts: list[str]) -> list[bytes]:
-    """Token ids of each text as little-endian unsigned 32-bit numbers.
+class WordIds(dict):
+    """Ids of words as bytes, computed when first asked for.
 
-    The tokenizer splits at white space, so a text's ids are those of its words in turn; words seen before come from a
-    bounded table. Texts with control characters that only Python takes for white space go through whole.
+    A word is cut into letters and the marks after them, which the tokenizer takes for words of their own and
+    lower-cases; letters in their normal form go to its model directly, all else through the whole tokenizer. The table
+    is bounded: when it is full it becomes the older half, from which words in use come back.
     """
-    known = _WORDS.setdefault(path, {})
-    out = []
-    for text in texts:
-        if any(c in text for c in ODD_SPACES):
-            out += _ids(path, [text])
-            continue
-        words = text.split()
-        new = {w for w in words if w not in known}
-        if new:
-            if len(known) > CACHED_WORDS:
-                known.clear()
-                new = set(words)
-            _learn(path, list(new), known)
-        out.append(b"".join([known[w] for w in words]))
-        for w in new:
-            if len(w) > LONGEST_CACHED:
-                known.pop(w, None)
-    return out
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.path, self.older, self.model = path, {}, _tokenizer(path).model
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            if word.isalpha():
+                lower = word if word.islower() else word.lower()
+                if lower != word:
+                    ids = self[lower] if _plain(word) else _ids(self.path, word)
+                elif word.isascii():
+                    ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+                elif _plain(word):
+                    letters = word.encode("utf-8").decode("latin-1").translate(_byte_letters())
+                    ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+                else:
+                    ids = _ids(self.path, word)
+            else:
+                core = word.rstrip(MARKS)
+                if len(core) < len(word) and core[-1:].isalpha() and _plain(core[-1]):
+                    ids = self[core] + self[word[len(core):]]
+                else:
+                    ids = _ids(self.path, word)
+        if len(word) <= LONGEST_CACHED:
+            if len(self) >= CACHED_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+def encode_text(path: str, text: str) -> bytes:
+    """Token ids as little-endian unsigned 32-bit numbers.
+
+    The tokenizer splits at white space, so a text's ids are those of its words in turn. Texts with control characters
+    that only Python takes for white space go through whole.
+    """
+    if any(c in text for c in ODD_SPACES):
+        return _ids(path, text)
+    if path not in _WORDS:
+        _WORDS[path] = WordIds(path)
+    return b"".join(map(_WORDS[path].__getitem__, text.split()))
 
 
 def _piece_maker(path: str, capacity: int, end_id: int) -> Callable:
@@ -102,12 +120,11 @@ def _piece_maker(path: str, capacity: int, end_id: int) -> Callable:
         seen = np.zeros(capacity + 1, dtype=np.int64)
         part = TaskContext.get().partitionId()
         for batch in batches:
-            step = 256
-            for at in range(0, len(batch), step):
-                rows = batch.iloc[at:at + step]
+            for at in range(0, len(batch), 1024):
+                rows = batch.iloc[at:at + 1024]
                 out = []
-                for doc, no_id, ids in zip(rows["id"], rows["no_id"], encode_words(path, rows["text"].tolist())):
-                    ids += end
+                for doc, no_id, text in zip(rows["id"], rows["no_id"], rows["text"]):
+                    ids = encode_text(path, text) + end
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[start:start + 4 * capacity]
                         n = len(own) // 4
@@ -272,7 +289,7 @@ def pack(df: DataFrame, id: str, text: str, capacity: int = CAPACITY, tokenizer:
     where = places(plan_sequences(counts, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    ranked = pieces.join(starts, ["length", "part"]).select(
+    ranked = pieces.join(starts.hint("merge"), ["length", "part"]).select(
         "id", "no_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank")).alias("rank"))
     placed = ranked.mapInPandas(_placer(where), "id long, no_id boolean, piece int, start long, length long, ids_crc32 long, "
                                                 "sequence_id long, offset long")

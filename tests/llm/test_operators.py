@@ -259,12 +259,17 @@ def test_pack(frame, request):
 def test_words_alone_give_the_tokenizer_s_ids():
     rng = random.Random(1)
     letters = ["a", "B", "é", "É", "́", "ß", "Σ", "İ", "7", "٣", "'", "'s", ".", ",", "!!", "|", "　", " ",
-               " ", "\n", "\t", "\x1c", "\x85", "中", "😀", "<|endoftext|>", "<|startoftext|>", "_", "-", "K", "ﬁ", "가", "ᄀ"]
+               " ", "\n", "\t", "\x1c", "\x85", "中", "😀", "<|endoftext|>", "<|startoftext|>", "_", "-", "K", "ﬁ", "가", "ᄀ", "ǀ", "ª", "ǅ", "%", "***"]
     texts = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(3000)]
     path = packing.tokenizer_path()
     tokenizer = Tokenizer.from_file(path)
     want = [array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
-    assert packing.encode_words(path, texts) == want
+    assert [packing.encode_text(path, t) for t in texts] == want
+    known = packing.WordIds(path)
+    some = sorted({w for t in texts for w in t.split() if len(w) < 9 and not any(c in w for c in packing.ODD_SPACES)})[:500]
+    packing.CACHED_WORDS, size = 20, packing.CACHED_WORDS
+    assert [known[w] for w in some * 2] == [packing._ids(path, w) for w in some * 2] and len(known) <= 20
+    packing.CACHED_WORDS = size
 
 
 def test_plan_uses_each_piece_once():
