@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenframe.llm.common import ROW, SPACES, column, packed, whole_text, word_count
+from lumenframe.session import materialise
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 10_000
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """One row per source: source, source_size, source_rows, target.
+    """One row per source: source, source_size, target.
 
     ``sizes``: source, size. Sources by code point, null last, have the weights in turn. Together they get ``share`` of
     all sizes by weight; a target stops at ``most`` times its source's size and the rest goes to the others by weight.
@@ -22,7 +23,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     place = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights)))
-    per = (sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
+    per = (sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
            .withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), place + 1))
            .withColumn("limit", F.lit(float(most)) * F.col("source_size")))
     everything = Window.partitionBy(F.lit(0))
@@ -36,29 +37,31 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     per = per.withColumn("final", first["rate"])
     target = F.when(F.col("final").isNull() | (F.col("limit") <= F.col("weight") * F.col("final")), F.col("limit")
                     ).otherwise(F.col("weight") * F.col("final"))
-    return per.select("source", "source_size", "source_rows", target.alias("target"))
+    return per.select("source", "source_size", target.alias("target"))
 
 
 def _with_taken(rows: DataFrame, targets: DataFrame, order: list[Column]) -> DataFrame:
     """Add source_size, target and taken to rows with source, size and key.
 
-    The key is uniform, so its leading part cuts each source into buckets of about ``BUCKET_ROWS`` rows; sums run
-    inside a bucket, and a frame with one row per bucket carries them on.
+    The key is uniform, so its leading part cuts each source into buckets of at most about ``BUCKET_ROWS`` rows; sums run
+    inside a bucket, and a frame with one row per bucket carries them on. Targets join that frame, never the rows: a
+    join on the source alone would bring a hot source's rows together.
     """
-    named = targets.withColumnRenamed("source", "_source")
-    joined = rows.join(named, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    buckets = max(1, -(-rows.count() // BUCKET_ROWS))
     lead = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(float(2 ** 32))
-    joined = joined.withColumn("bucket", F.floor(lead * F.ceil(F.col("source_rows") / F.lit(BUCKET_ROWS))))
+    cut = rows.withColumn("bucket", F.floor(lead * F.lit(buckets)))
     group = [F.col("source").isNull(), F.coalesce("source", F.lit(""))]
-    totals = joined.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"),
-                           F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("bucket_start"))
+    starts = cut.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")).withColumn(
+        "bucket_start", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))).drop("bucket_size")
+    named = targets.withColumnRenamed("source", "_source")
+    starts = (starts.withColumnsRenamed({"source": "_named", "bucket": "_bucket"})
+              .join(named, F.col("_named").eqNullSafe(F.col("_source")), "left").drop("_source"))
     inside = (Window.partitionBy(*group, "bucket").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    run = joined.withColumn("upto", F.sum("size").over(inside))
-    placed = run.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")),
-                      "left").drop("_source", "_bucket")
+    run = cut.withColumn("upto", F.sum("size").over(inside))
+    placed = run.join(starts, F.col("source").eqNullSafe(F.col("_named")) & (F.col("bucket") == F.col("_bucket")),
+                      "left").drop("_named", "_bucket")
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     begin = F.col("bucket_start") + F.col("upto") - F.col("size")
@@ -77,6 +80,7 @@ def mix(df: DataFrame, id: str, text: str, source: str, weights=WEIGHTS, share:
     """
     sizes = df.select(column(id).alias("id"), column(source).alias("source"), word_count(whole_text(text)).alias("size"),
                       F.md5(F.coalesce(column(id).cast("string"), F.lit(""))).alias("key"))
+    sizes = materialise(sizes, "sizes")
     taken = _with_taken(sizes, source_targets(sizes, weights, share, most), [F.col("key"), F.col("id"), F.col("size")])
     return taken.select(F.col("id").alias(id), "size", "source_size", "target", "taken")
 
