@@ -20,7 +20,7 @@ BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHED_WORDS = 400_000
 LONGEST_CACHED = 64
-_COUNTS: dict[str, dict[str, tuple[int, int]]] = {}
+_COUNTS: dict[str, "WordCounts"] = {}
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -57,27 +57,33 @@ class Counter:
     def count(self, word: str) -> tuple[int, int]:
         """Number of pieces and of unknown ones among them."""
         n = len(word)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(word):
-            ends[end].append(match)
-        best, pieces, unknowns, last = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        single, best, pieces, unknowns, last = self.single, [0.0], [0], [0], [False]
+        matches = self.automaton.iter(word)
+        match = next(matches, None)
         for end in range(n):
-            at = end + 1
-            found, top, start = False, 0.0, 0
-            for size, score in sorted(ends[end], reverse=True):
-                value = score + best[at - size]
-                if not found or value > top:
-                    found, top, start = True, value, at - size
-            is_unknown = False
-            if word[end] not in self.single:
+            top, start = None, 0
+            own = []
+            while match is not None and match[0] == end:
+                own.append(match[1])
+                match = next(matches, None)
+            if len(own) > 1:
+                own.sort(reverse=True)  # the longest piece starts earliest
+            for size, score in own:
+                value = score + best[end + 1 - size]
+                if top is None or value > top:
+                    top, start = value, end + 1 - size
+            if word[end] not in single:
                 value = self.unknown + best[end]
-                if not found or value > top:
-                    found, top, start, is_unknown = True, value, end, True
-            best[at] = top
-            new = not (is_unknown and last[start])
-            pieces[at] = pieces[start] + new
-            unknowns[at] = unknowns[start] + (is_unknown and new)
-            last[at] = is_unknown
+                if top is None or value > top:
+                    best.append(value)
+                    pieces.append(pieces[end] + (not last[end]))
+                    unknowns.append(unknowns[end] + (not last[end]))
+                    last.append(True)
+                    continue
+            best.append(top)
+            pieces.append(pieces[start] + 1)
+            unknowns.append(unknowns[start])
+            last.append(False)
         return pieces[n], unknowns[n]
 
 
@@ -86,23 +92,34 @@ def _counter(path: str) -> Counter:
     return Counter(vocabulary(path))
 
 
+class WordCounts(dict):
+    """Counts of words as one number (pieces, and unknown ones above 32 bits), made when first asked for. The table is
+    bounded: when it is full it becomes the older half, from which words in use come back."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.counter, self.older = _counter(path), {}
+
+    def __missing__(self, word: bytes) -> int:
+        both = self.older.get(word)
+        if both is None:
+            pieces, unknown = self.counter.count(BLANK + word.decode("utf-8"))
+            both = pieces + (unknown << 32)
+        if len(word) <= LONGEST_CACHED:
+            if len(self) >= CACHED_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = both
+        return both
+
+
 def count_text(path: str, text: str) -> tuple[int, int, int]:
-    """Words, pieces and unknown pieces of a text. Pieces don't cross white space, so words are counted alone; counts of
-    words seen before come from a bounded table."""
-    known, counter = _COUNTS.setdefault(path, {}), _counter(path)
+    """Words, pieces and unknown pieces of a text. Pieces don't cross white space, so words are counted alone."""
+    if path not in _COUNTS:
+        _COUNTS[path] = WordCounts(path)
     words = text.encode("utf-8").split()
-    pieces = unknown = 0
-    for w in words:
-        got = known.get(w)
-        if got is None:
-            got = counter.count(BLANK + w.decode("utf-8"))
-            if len(known) > CACHED_WORDS:
-                known.clear()
-            if len(w) <= LONGEST_CACHED:
-                known[w] = got
-        pieces += got[0]
-        unknown += got[1]
-    return len(words), pieces, unknown
+    both = sum(map(_COUNTS[path].__getitem__, words))
+    return len(words), both & 0xFFFFFFFF, both >> 32
 
 
 def count_tokens(df: DataFrame, id: str, text: str, model: str | None = None) -> DataFrame:
