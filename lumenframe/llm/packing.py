@@ -23,7 +23,7 @@ from lumenframe.session import materialise
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS = 900_000
+CACHED_WORDS = 600_000
 LONGEST_CACHED = 64
 MARKS = "!#$%&()*+,-./:;=?@[]^_`{}~"
 #: White space for Python's split() that the tokenizer takes for symbols.
@@ -131,6 +131,8 @@ def _piece_maker(path: str, capacity: int, end_id: int) -> Callable:
                         out.append((doc, no_id, piece, start // 4, n, zlib.crc32(own), part, seen[n]))
                         seen[n] += 1
                 yield pd.DataFrame(out, columns=["id", "no_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
+        if path in _WORDS:
+            _WORDS[path].older = {}  # the worker process lives on and may run other work
     return pieces
 
 

@@ -135,6 +135,8 @@ def count_tokens(df: DataFrame, id: str, text: str, model: str | None = None) ->
             counts = np.array([count_text(path, t) for t in batch["text"]], dtype=np.int64).reshape(-1, 3)
             yield batch[["id", "no_id"]].assign(n_words=counts[:, 0], n_tokens=counts[:, 1],
                                                 n_unknown=counts[:, 2])
+        if path in _COUNTS:
+            _COUNTS[path].older = {}  # the worker process lives on and may run other work
 
     rows = df.select(*without_null(id), whole_text(text).alias("text"))
     counted = rows.mapInPandas(run, "id long, no_id boolean, n_words long, n_tokens long, n_unknown long")
