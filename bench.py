@@ -19,10 +19,10 @@ HEADLINES = [
     "g01_daily_rollup", "g04_summary_by_type", "g06_dashboard_cards", "g08_user_overview", "g17_request_histogram",
     "g19_request_p95_alerts", "g21_silences", "b01_column_types", "b02_missing_values", "b03_duplicate_rows",
     "b05_numeric_profile", "b08_categorical_profile", "b10_correlation_matrix", "b12_insights",
-    "c04_distance_scores", "c05_histogram_scores", "c06_neighbour_scores", "c07_isolation_scores", "e02_ks_distances",
-    "f01_chunks", "f03_first_writers", "f07_search", "f10_search_many", "f14_prompts", "f16_language",
+    "c03_scaled", "c04_distance_scores", "c05_histogram_scores", "c06_neighbour_scores", "c07_isolation_scores", "e02_ks_distances",
+    "f01_chunks", "f03_first_writers", "a01_csv_load", "c12_full_ensemble", "f07_search", "f10_search_many", "f14_prompts", "f16_language",
     "h02_classified_columns", "h05_consent_intervals", "h08_access_export", "i03_routes", "i13_heartbeat_gaps",
-    "j01_decisions", "d03_folds", "d07_linear_contributions", "d09_importance", "d08_tree_additivity",
+    "j01_clock_windows", "d03_folds", "d07_linear_contributions", "d09_importance", "d08_tree_additivity",
     "g03_stream_rollup",
 ]
 

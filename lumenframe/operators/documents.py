@@ -22,6 +22,7 @@ FUNCTION_WORDS = {
     "es": ["el", "los", "las", "de", "y", "que", "en", "un", "una", "es", "por", "con", "para", "del", "al", "se",
            "su", "lo", "como", "más", "pero", "sus", "no", "la", "este"],
 }
+DIMENSIONS = 384
 
 
 def clean_pages(pages: DataFrame, text: str = "text") -> DataFrame:
@@ -122,7 +123,7 @@ def reindex_source(stored: DataFrame, source: str, batch: DataFrame, order: list
 
 # Embedding -----------------------------------------------------------------------------------------------------
 
-def fit_text_encoder(chunks: DataFrame, dimension: int = 384, text: str = "content"):
+def fit_text_encoder(chunks: DataFrame, dimension: int = DIMENSIONS, text: str = "content"):
     """Default encoder: hashed words, weighted by rarity, unit length. Returns fitted stages."""
     from pyspark.ml import Pipeline
     stages = [

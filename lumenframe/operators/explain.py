@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+from pyspark.ml.classification import LogisticRegressionModel, OneVsRestModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -131,16 +134,24 @@ def tree_contributions(model, table: DataFrame, key: str, features: list[str], o
 
 # Summaries -----------------------------------------------------------------------------------------------------
 
-def global_importance(contributions: DataFrame, features: list[str]) -> DataFrame:
-    """``(rank, feature, importance, importance_percentage)``: mean absolute contribution, one pass, largest first."""
+def _raw_importance(contributions: DataFrame, features: list[str]) -> DataFrame:
+    """``(i, feature, raw)``: mean absolute contribution, one pass."""
     means = contributions.agg(*[F.avg(F.abs(F.col("phi")[i])).alias(f"_{i}") for i in range(len(features))])
     listed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("feature"), F.col(f"_{i}").alias("raw"))
                        for i, c in enumerate(features)])
-    total = sum((F.col(f"_{i}") for i in range(1, len(features))), F.col("_0"))
-    frame = (means.select(F.explode(listed).alias("e"), total.alias("total")).select("e.*", "total")
-             .withColumn("importance", F.round("raw", 4))
+    return means.select(F.explode(listed).alias("e")).select("e.*")
+
+
+def global_importance(contributions: DataFrame, features: list[str]) -> DataFrame:
+    """``(rank, feature, importance, importance_percentage)``: mean absolute contribution, largest first."""
+    return _ranked(_raw_importance(contributions, features))
+
+
+def _ranked(raw: DataFrame) -> DataFrame:
+    total = F.sum("raw").over(Window.partitionBy(F.lit(0)))
+    frame = (raw.withColumn("importance", F.round("raw", 4))
              .withColumn("importance_percentage", F.round(F.coalesce(
-                 F.try_divide(F.col("raw"), F.col("total")), F.lit(0.0)) * 100, 2)))
+                 F.try_divide(F.col("raw"), total), F.lit(0.0)) * 100, 2)))
     # One row per feature.
     order = Window.partitionBy(F.lit(0)).orderBy(F.col("importance").desc(), "i")
     return frame.select(F.row_number().over(order).alias("rank"), "feature", "importance", "importance_percentage")
@@ -148,16 +159,11 @@ def global_importance(contributions: DataFrame, features: list[str]) -> DataFram
 
 def mean_over_classes(frames: list[DataFrame], features: list[str]) -> DataFrame:
     """Importance of a multi-class model: mean over the classes."""
-    parts = [global_importance(f, features) for f in frames]
+    parts = [_raw_importance(f, features) for f in frames]
     joined = parts[0]
     for p in parts[1:]:
         joined = joined.unionByName(p)
-    mean = joined.groupBy("feature").agg(F.avg("importance").alias("importance"))
-    every = Window.partitionBy(F.lit(0))
-    order = every.orderBy(F.col("importance").desc(), "feature")
-    return mean.select(F.row_number().over(order).alias("rank"), "feature", F.round("importance", 4).alias("importance"),
-                       F.round(F.coalesce(F.try_divide(F.col("importance"), F.sum("importance").over(every)),
-                                          F.lit(0.0)) * 100, 2).alias("importance_percentage"))
+    return _ranked(joined.groupBy("i", "feature").agg(F.avg("raw").alias("raw")))
 
 
 def local_explanations(contributions: DataFrame, key: str, features: list[str], keys: list | None = None,
@@ -180,19 +186,42 @@ def local_explanations(contributions: DataFrame, key: str, features: list[str],
 
 def explain_model(df: DataFrame, key: str, features: list[str], target: str, name: str = "Ridge",
                   problem: str = "regression", sample: float | None = None, seed: int = 42, **options) -> dict:
-    """Refit on clean inputs and explain: frames ``contributions``, ``importance`` and ``local``."""
+    """Refit on clean inputs and explain: frames ``contributions``, ``importance`` and ``local``.
+
+    With more than two classes ``contributions`` and ``local`` have a row per class, named by column ``class`` (its
+    place in sorted order), and importance is the mean over the classes.
+    """
     if not features:
         raise ValueError("features must not be empty")
     table = clean_table(df, key, features, target, problem)
     model = fit_clean_model(table, features, name, problem, seed=seed, **options)
     chosen = table if sample is None else table.sample(fraction=sample, seed=seed)
+    frames = class_contributions(model, chosen, key, features)
+    if len(frames) == 1:
+        found = frames[0]
+        return {"model": model, "table": table, "contributions": found, "importance": global_importance(found, features),
+                "local": local_explanations(found, key, features)}
+    local = [local_explanations(f, key, features).withColumn("class", F.lit(i)) for i, f in enumerate(frames)]
+    named = [f.withColumn("class", F.lit(i)) for i, f in enumerate(frames)]
+    return {"model": model, "table": table, "contributions": reduce(DataFrame.unionByName, named),
+            "importance": mean_over_classes(frames, features), "local": reduce(DataFrame.unionByName, local)}
+
+
+def class_contributions(model, table: DataFrame, key: str, features: list[str]) -> list[DataFrame]:
+    """One frame of contributions per class; a single one for regression and for two classes."""
+    if isinstance(model, OneVsRestModel):
+        return [tree_contributions(one, table, key, features) for one in model.models]
+    if isinstance(model, LogisticRegressionModel) and model.numClasses > 2:
+        rows, starts = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+        return [linear_contributions(table, key, dict(zip(features, map(float, w))), float(b))
+                for w, b in zip(rows, starts)]
     if hasattr(model, "coefficients"):
         weights = dict(zip(features, [float(c) for c in model.coefficients]))
-        found = linear_contributions(chosen, key, weights, float(model.intercept))
-    else:
-        found = tree_contributions(model, chosen, key, features)
-    return {"model": model, "table": table, "contributions": found, "importance": global_importance(found, features),
-            "local": local_explanations(found, key, features)}
+        return [linear_contributions(table, key, weights, float(model.intercept))]
+    classes = getattr(model, "numClasses", 2)
+    if classes > 2:
+        return [tree_contributions(model, table, key, features, output=i) for i in range(classes)]
+    return [tree_contributions(model, table, key, features)]
 
 
 def predictions(model, table: DataFrame, features: list[str]) -> DataFrame:

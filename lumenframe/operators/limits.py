@@ -1,23 +1,15 @@
-"""Request limits: windows that start at the first request, and penalties for repeated violations.
+"""Request limits: client keys, headers and windows aligned to the clock.
 
-Requests are first counted per key and second. The order-dependent part then runs over these counts, whose number
-is bounded by the seconds in the log, however many requests one key sends; single requests get their decision by a
-join on key and second.
+Windows that start at a client's first request, and penalties that depend on every earlier decision, are left to the
+service that takes the requests: replaying them is a step-by-step simulation, not a query.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-# Penalty stages as (strikes, window multiplier), and how long strikes count.
-STAGES = [(3, 2), (6, 5), (10, 10)]
-STRIKE_SECONDS = 3600
 WINDOW_SECONDS = 60
 
-SEGMENTS = ("scope string, identity string, second long, first long, last long, allowed boolean, count_before long, "
-            "window_sec long, expires long, strikes_before long, multiplier long")
-
 
 def client_key(forwarded: Column, host: Column) -> Column:
     """First forwarded address, else the host, else 'unknown'."""
@@ -31,101 +23,8 @@ def limit_headers(limit: Column, remaining: Column, reset: Column) -> list[Colum
             floor(reset).alias("x_ratelimit_reset")]
 
 
-def penalty(strikes: int) -> int:
-    return max([1] + [m for threshold, m in STAGES if strikes >= threshold])
-
-
-def new_state() -> dict:
-    """Counter and expiry per multiplier, strikes and their expiry."""
-    return {"windows": {}, "strikes": 0, "strikes_until": 0}
-
-
-def advance(state: dict, second: int, requests: int, limit: int, window: int) -> list[tuple]:
-    """Apply ``requests`` arriving in one second; yields runs of equal decisions.
-
-    Each run is ``(first, last, allowed, count_before, window_sec, expires, strikes_before, multiplier)``. A new run
-    starts when the limit is reached or when the strikes raise the penalty, so there are only a few per second.
-    """
-    runs, done = [], 0
-    while done < requests:
-        if state["strikes_until"] <= second:
-            state["strikes"] = 0
-        strikes = state["strikes"]
-        factor = penalty(strikes)
-        count, expires = state["windows"].get(factor, (0, 0))
-        if expires <= second:
-            count, expires = 0, second + window * factor
-        left = requests - done
-        allowed = count < limit
-        if allowed:
-            take = min(left, limit - count)
-        else:
-            steps = [threshold - strikes for threshold, _ in STAGES if threshold > strikes]
-            take = min(left, steps[0]) if steps else left
-            if strikes == 0:
-                state["strikes_until"] = second + STRIKE_SECONDS
-            state["strikes"] = strikes + take
-        state["windows"][factor] = (count + take, expires)
-        runs.append((done + 1, done + take, allowed, count, window * factor, expires, strikes, factor))
-        done += take
-    return runs
-
-
-def per_second(requests: DataFrame, ts: str = "ts") -> DataFrame:
-    return (requests.groupBy("scope", "identity", F.unix_seconds(F.col(ts).cast("timestamp")).alias("second"))
-            .agg(F.count(F.lit(1)).alias("requests")))
-
-
-def decision_runs(requests: DataFrame, limit: int, window: int = WINDOW_SECONDS, ts: str = "ts") -> DataFrame:
-    """Runs of equal decisions per key and second, in time order per key."""
-    def scan(batches):
-        key, state = None, new_state()
-        for pdf in batches:
-            rows = []
-            for scope, identity, second, n in pdf.itertuples(index=False):
-                if (scope, identity) != key:
-                    key, state = (scope, identity), new_state()
-                rows += [(scope, identity, second, *run) for run in advance(state, second, n, limit, window)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SEGMENTS.split(", ")])
-
-    # Batches of a sorted partition stream through the scan: no key is ever held whole.
-    counted = per_second(requests, ts).select("scope", "identity", "second", "requests")
-    return (counted.repartition("scope", "identity").sortWithinPartitions("scope", "identity", "second")
-            .mapInPandas(scan, SEGMENTS))
-
-
-def decide(requests: DataFrame, limit: int, window: int = WINDOW_SECONDS, ts: str = "ts",
-           id_column: str = "event_id") -> DataFrame:
-    """``requests`` with allowed, count, remaining, reset_sec, window_sec, strikes and multiplier."""
-    order = Window.partitionBy("scope", "identity", "second").orderBy(ts, id_column)
-    placed = (requests.withColumn("second", F.unix_seconds(F.col(ts).cast("timestamp")))
-              .withColumn("_n", F.row_number().over(order)))
-    runs = decision_runs(requests, limit, window, ts)
-    nth = F.col("_n") - F.col("first") + 1
-    return (placed.join(runs, ["scope", "identity", "second"])
-            .filter(F.col("_n").between(F.col("first"), F.col("last")))
-            .withColumn("count", F.col("count_before") + nth)
-            .withColumn("remaining", F.greatest(F.lit(limit) - F.col("count"), F.lit(0)))
-            .withColumn("reset_sec", F.col("expires") - F.col("second"))
-            .withColumn("strikes", F.when(F.col("allowed"), F.col("strikes_before"))
-                        .otherwise(F.col("strikes_before") + nth))
-            .drop("_n", "first", "last", "count_before", "expires", "strikes_before", "second"))
-
-
-def limit_state(requests: DataFrame, limit: int, window: int = WINDOW_SECONDS, ts: str = "ts") -> DataFrame:
-    """State per key after its last request: count, seconds left, strikes and multiplier of the last decision."""
-    runs = decision_runs(requests, limit, window, ts)
-    size = F.col("last") - F.col("first") + 1
-    row = F.struct((F.col("count_before") + size).alias("count"),
-                   (F.col("expires") - F.col("second")).alias("ttl_sec"), "window_sec",
-                   (F.col("strikes_before") + F.when(F.col("allowed"), 0).otherwise(size)).alias("strikes"),
-                   "multiplier")
-    return (runs.groupBy("scope", "identity").agg(F.max_by(row, F.struct("second", "first")).alias("_s"))
-            .select("scope", "identity", "_s.*"))
-
-
 def clock_windows(requests: DataFrame, limit: int, window: int = WINDOW_SECONDS, ts: str = "ts") -> DataFrame:
-    """The cheap variant: windows aligned to the clock, one aggregate, no state."""
+    """Requests, allowed and rejected per scope, identity and clock window: one aggregate. Nulls are a group."""
     start = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / window) * window
     n = F.count(F.lit(1))
     return (requests.groupBy("scope", "identity", start.alias("window_start"))

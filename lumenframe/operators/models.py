@@ -14,10 +14,10 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lumenframe.operators.anomaly import _deviation, encode, impute
-from lumenframe.operators.ordered import split_row_number
+from lumenframe.operators.ordered import same, split_row_number
 from lumenframe.operators.profile import categorical_profile, string_columns
 from lumenframe.operators.quantiles import numbers, quantile_map, summarise
 from lumenframe.session import materialise
@@ -25,7 +25,6 @@ from lumenframe.session import materialise
 FOLDS = 5
 TRIALS = 30
 HOLDOUT = 0.2
-MAX_CLASSES = 1_000
 MODELS = ["random_forest", "lightgbm", "xgboost", "logistic_regression"]
 
 
@@ -103,13 +102,12 @@ def preparation(df: DataFrame, features: list[str]) -> TablePreparation:
 def with_label(df: DataFrame, target: str) -> tuple[DataFrame, list]:
     """``df`` without rows lacking the target, and a ``label`` number: position of the class in sorted order."""
     known = df.filter(F.col(target).isNotNull())
-    classes = [r[0] for r in known.select(target).distinct().orderBy(target).limit(MAX_CLASSES + 1).collect()]
-    if len(classes) > MAX_CLASSES:
-        raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
-    label = F.lit(None).cast("double")
-    for i, c in enumerate(classes):
-        label = F.when(F.col(target) == F.lit(c), F.lit(float(i))).otherwise(label)
-    return known.withColumn("label", label), classes
+    listed = known.select(F.col(target).alias("_class")).distinct()
+    place = F.row_number().over(Window.orderBy("_class")) - 1  # one row per class
+    numbered = materialise(listed.withColumn("label", place.cast("double")), "classes")
+    classes = [r["_class"] for r in numbered.orderBy("label").collect()]
+    kept = [c for c in known.columns if c != "label"]
+    return known.select(*kept).join(numbered, F.col(target) == F.col("_class")).drop("_class"), classes
 
 
 # Splits --------------------------------------------------------------------------------------------------------
@@ -129,10 +127,10 @@ def stratified_folds(df: DataFrame, key: str, by: str, folds: int = FOLDS, seed:
 
 def stratified_holdout(df: DataFrame, key: str, by: str, share: float = HOLDOUT, seed: int = 42) -> DataFrame:
     """``df`` with ``held_out``: the rounded ``share`` of every class."""
-    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_size"))
-    return (_shuffled(df, key, by, seed).join(F.broadcast(sizes), by)
+    sizes = df.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_size"))
+    return (_shuffled(df, key, by, seed).join(sizes, same([by], ["_by"]))
             .withColumn("held_out", F.col("_position") <= F.round(F.col("_size") * share))
-            .drop("_position", "_size"))
+            .drop("_position", "_size", "_by"))
 
 
 def accuracy(predicted: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -228,17 +226,25 @@ def train(labelled: DataFrame, features: list[str], params: dict, classes: int =
 
 # Refit for explanation -----------------------------------------------------------------------------------------
 
-def build_explained_model(name: str, problem: str, rows: int, seed: int = 42, trees: int = 100, depth: int = 8):
-    """Registry of models that can be explained; an unknown name falls back to ridge or a random forest."""
+def build_explained_model(name: str, problem: str, rows: int, seed: int = 42, trees: int = 100, depth: int = 8,
+                          classes: int = 2):
+    """Registry of models that can be explained; an unknown name falls back to ridge or a random forest.
+
+    Spark has no extra-trees models: their names are refused rather than given another model. Boosted trees know two
+    classes; with more there is one model per class.
+    """
+    if name.startswith("ExtraTrees"):
+        raise ValueError(f"{name} has no counterpart in Spark; name a random forest instead")
     if problem == "regression":
-        if name in ("RandomForestRegressor", "ExtraTreesRegressor", "random_forest"):
+        if name in ("RandomForestRegressor", "random_forest"):
             return RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed)
         if name == "GradientBoostingRegressor":
             return GBTRegressor(maxIter=trees, maxDepth=3, stepSize=0.1, seed=seed)
         penalty, mix = {"Lasso": (1.0, 1.0), "ElasticNet": (1.0, 0.5)}.get(name, (1.0 / max(rows, 1), 0.0))
         return LinearRegression(regParam=penalty, elasticNetParam=mix, standardization=False)
     if name in ("GradientBoostingClassifier", "lightgbm", "xgboost"):
-        return GBTClassifier(maxIter=trees, maxDepth=3, stepSize=0.1, seed=seed)
+        boosted = GBTClassifier(maxIter=trees, maxDepth=3, stepSize=0.1, seed=seed)
+        return boosted if classes <= 2 else OneVsRest(classifier=boosted)
     if name == "logistic_regression":
         return LogisticRegression(regParam=1.0 / max(rows, 1), maxIter=200, standardization=False)
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
@@ -264,4 +270,6 @@ def clean_table(df: DataFrame, key: str, features: list[str], target: str, probl
 
 def fit_clean_model(table: DataFrame, features: list[str], name: str, problem: str, **options):
     assembled = VectorAssembler(inputCols=features, outputCol="features").transform(table)
+    if problem != "regression":
+        options.setdefault("classes", int(table.agg(F.count_distinct("label")).first()[0]))
     return build_explained_model(name, problem, table.count(), **options).fit(assembled)

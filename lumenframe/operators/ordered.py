@@ -9,8 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HOT_ROWS = 1_000_000
-MAX_HOT_GROUPS = 10_000
-PIECES = 64
+MOST_HOT_GROUPS = 10_000
+LEAST_PIECES = 64
+
+
+def same(left: list[str], right: list[str]) -> Column:
+    """Equality of key columns in which nulls are equal."""
+    found = F.lit(True)
+    for a, b in zip(left, right):
+        found = found & F.col(a).eqNullSafe(F.col(b))
+    return found
 
 
 def running_sums(df: DataFrame, keys: list[str], bucket: str, order: list[str],
@@ -22,13 +30,14 @@ def running_sums(df: DataFrame, keys: list[str], bucket: str, order: list[str],
     names = list(amounts)
     totals = df.groupBy(*keys, bucket).agg(*[F.sum(a).alias(f"_t_{n}") for n, a in amounts.items()])
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, bucket, *[
+    known = [f"_k_{c}" for c in [*keys, bucket]]
+    offsets = totals.select(*[F.col(c).alias(k) for c, k in zip([*keys, bucket], known)], *[
         F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in names])
     inside = (Window.partitionBy(*keys, bucket).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     kept = df.columns
     return (df.select(*kept, *[F.sum(a).over(inside).alias(f"_i_{n}") for n, a in amounts.items()])
-            .join(offsets, [*keys, bucket])
+            .join(offsets, same([*keys, bucket], known))
             .select(*kept, *[(F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(n) for n in names]))
 
 
@@ -37,20 +46,20 @@ def split_row_number(df: DataFrame, keys: list[str], bucket: str, order: list[st
     return running_sums(df, keys, bucket, order, {name: F.lit(1)})
 
 
-def hot_edges(df: DataFrame, keys: list[str], measure: str, hot_rows: int = HOT_ROWS,
-              pieces: int = PIECES) -> DataFrame:
-    """Cut points of ``measure`` for the groups with at least ``hot_rows`` rows.
-
-    At most ``MAX_HOT_GROUPS`` rows come back, which bounds the broadcast. A group beyond that bound is handled
-    uncut: still right, only less balanced.
+def hot_edges(df: DataFrame, keys: list[str], measure: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Cut points of ``measure`` for the groups that hold at least ``hot_rows`` rows and one row in
+    ``MOST_HOT_GROUPS`` of all. There can't be more than ``MOST_HOT_GROUPS`` of them, which bounds the broadcast, and
+    each is cut into pieces of about ``hot_rows`` rows.
     """
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-           .filter(F.col("_n") >= hot_rows)
-           .orderBy(F.col("_n").desc(), *keys).limit(MAX_HOT_GROUPS).drop("_n"))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    seen = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    total, largest = seen[0] or 0, seen[1] or 0
+    hot = sizes.filter(F.col("_n") >= max(hot_rows, -(-total // MOST_HOT_GROUPS))).drop("_n")
+    pieces = max(LEAST_PIECES, -(-largest // hot_rows))
     probabilities = [i / pieces for i in range(1, pieces)]
     return (df.select(*keys, measure).join(F.broadcast(hot), keys, "left_semi")
             .groupBy(*keys)
-            .agg(F.array_distinct(F.percentile_approx(measure, probabilities, 1000)).alias("_edges")))
+            .agg(F.array_distinct(F.percentile_approx(measure, probabilities, max(1000, 10 * pieces))).alias("_edges")))
 
 
 def with_neighbour(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str,

@@ -19,7 +19,20 @@ BLOCK_BYTES = 64 * 1024 * 1024
 PREVIEW_CHARS = 100
 CONTEXT_CHARS = 3000
 
-FOUND = "query_id long, id long, similarity double"
+
+
+def _found_schema(queries: DataFrame, vectors: DataFrame, query_id: str = "id") -> str:
+    """Identifiers keep the types of their tables."""
+    kind = {c: t for c, t in queries.dtypes}[query_id]
+    return f"query_id {kind}, id {dict(vectors.dtypes)['id']}, similarity double"
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    """Rows whose vector is there and has the usual length: the most frequent one, of equal ones the smaller."""
+    there = vectors.filter(F.col("embedding").isNotNull())
+    usual = (there.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+             .orderBy(F.desc("n"), "d").limit(1).collect())
+    return there.filter(F.size("embedding") == (usual[0]["d"] if usual else 0))
 
 
 def dimension_check(vectors: DataFrame, expected: int, column: str = "embedding") -> DataFrame:
@@ -73,10 +86,12 @@ def search_many(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, block_by
     one checked block travel to the vectors; otherwise both sides are cut into blocks and every block pair is one
     task of bounded size.
     """
-    width = vectors.select(F.size("embedding")).first()
+    vectors = usable(vectors.select("id", "embedding"))
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0]
     if width is None:
-        return vectors.sparkSession.createDataFrame([], FOUND + ", position int")
-    row_bytes = 8 * width[0] + 16
+        return vectors.sparkSession.createDataFrame([], _found_schema(queries, vectors) + ", position int")
+    queries = queries.filter(F.size("embedding") == width)
+    row_bytes = 8 * width + 16
     query_count = queries.count()
     if query_count * row_bytes <= block_bytes:
         return _merge(_search_local(vectors, queries, k), k)
@@ -95,8 +110,9 @@ def _blocked(df: DataFrame, key: str, own: str, own_blocks: int, other: str, oth
 
 def _search_local(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     rows = queries.select("id", "embedding").collect()
+    found = _found_schema(queries, vectors)
     if not rows:
-        return vectors.sparkSession.createDataFrame([], FOUND)
+        return vectors.sparkSession.createDataFrame([], found)
     shared = vectors.sparkSession.sparkContext.broadcast(
         (np.array([r["id"] for r in rows]), unit_rows([r["embedding"] for r in rows])))
 
@@ -106,24 +122,32 @@ def _search_local(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             if len(pdf):
                 yield _best(query_ids, units, pdf["id"].to_numpy(), unit_rows(pdf["embedding"].to_list()), k)
 
-    return vectors.select("id", "embedding").mapInPandas(scan, FOUND)
+    return vectors.select("id", "embedding").mapInPandas(scan, found)
 
 
 def _search_blocks(left: DataFrame, right: DataFrame, keys: list[str], k: int) -> DataFrame:
     def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "id": [], "similarity": []}).astype(
-                {"query_id": "int64", "id": "int64"})
+            return pd.DataFrame({"query_id": a["query_id"][:0], "id": b["id"][:0], "similarity": np.zeros(0)})
         return _best(a["query_id"].to_numpy(), unit_rows(a["embedding"].to_list()), b["id"].to_numpy(),
                      unit_rows(b["embedding"].to_list()), k)
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(match, FOUND)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+        match, _found_schema(left, right, "query_id"))
 
 
 # Inverted-file index -------------------------------------------------------------------------------------------
 
-def build_index(vectors: DataFrame, cells: int, seed: int = 42) -> tuple[KMeansModel, DataFrame]:
-    """Cells by k-means on cosine distance; the vectors are written partitioned by cell."""
+def build_index(vectors: DataFrame, cells: int | None = None, seed: int = 42) -> tuple[KMeansModel, DataFrame]:
+    """Cells by k-means on cosine distance; the vectors are written partitioned by cell.
+
+    Unless ``cells`` is given there are as many as the square root of the vectors. Null vectors, vectors without length
+    and those of another dimension are not indexed.
+    """
+    square = F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
+    vectors = usable(vectors).filter(square > 0)
+    if cells is None:
+        cells = max(2, math.ceil(math.sqrt(vectors.count())))
     shaped = vectors.withColumn("_v", array_to_vector("embedding"))
     model = KMeans(k=cells, seed=seed, featuresCol="_v", predictionCol="cell", distanceMeasure="cosine",
                    maxIter=20).fit(shaped)
@@ -140,6 +164,8 @@ def search_index(model: KMeansModel, index: DataFrame, queries: DataFrame, k: in
     """
     centres = unit_rows([c for c in model.clusterCenters()])
     probes = min(probes, len(centres))
+    queries = queries.filter(F.size("embedding") == centres.shape[1])
+    kinds = dict(queries.dtypes)
 
     def nearest(batches):
         for pdf in batches:
@@ -147,12 +173,11 @@ def search_index(model: KMeansModel, index: DataFrame, queries: DataFrame, k: in
                 order = np.argsort(-(unit_rows(pdf["embedding"].to_list()) @ centres.T), axis=1)[:, :probes]
                 yield pdf.assign(cells=[list(map(int, row)) for row in order])
 
-    width = index.select(F.size("embedding")).first()
-    row_bytes = 8 * (width[0] if width else 1) + 16
+    row_bytes = 8 * centres.shape[1] + 16
     sizes = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) * row_bytes / block_bytes).cast("int")
                                       .alias("pieces"))
     probed = (queries.select(F.col("id").alias("query_id"), "embedding")
-              .mapInPandas(nearest, "query_id long, embedding array<float>, cells array<int>")
+              .mapInPandas(nearest, f"query_id {kinds['id']}, embedding {kinds['embedding']}, cells array<int>")
               .select("query_id", "embedding", F.explode("cells").alias("cell"))
               .join(F.broadcast(sizes), "cell")
               .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
@@ -188,6 +213,18 @@ INSTRUCTIONS = {
 }
 
 
+# What stands for a source or page that is not known.
+NO_SOURCE, NO_PAGE = "inconnu", "?"
+
+
+def _source() -> Column:
+    return F.coalesce("source", F.lit(NO_SOURCE))
+
+
+def _page() -> Column:
+    return F.coalesce(F.col("page").cast("string"), F.lit(NO_PAGE))
+
+
 def with_preview(found: DataFrame, content: str = "content") -> DataFrame:
     return found.withColumn("preview", F.concat(F.left(content, F.lit(PREVIEW_CHARS)), F.lit("...")))
 
@@ -198,8 +235,8 @@ def prompts(found: DataFrame, questions: DataFrame) -> DataFrame:
     The context is at most ``k`` chunks per query and is cut at 3,000 characters. ``questions`` holds query_id,
     question and language.
     """
-    passage = F.concat(F.lit("[Source "), F.col("position").cast("string"), F.lit(": "), F.col("source"),
-                       F.lit(", page "), F.col("page").cast("string"), F.lit("]\n"), F.col("content"))
+    passage = F.concat(F.lit("[Source "), F.col("position").cast("string"), F.lit(": "), _source(), F.lit(", page "), _page(), F.lit("]\n"),
+                       F.coalesce("content", F.lit("")))
     # Nothing beyond the cut of one passage can reach the prompt, so each passage is cut before the shuffle.
     bounded = F.left(passage, F.lit(CONTEXT_CHARS + 1))
     joined = (found.select("query_id", "position", bounded.alias("passage")).groupBy("query_id")
@@ -208,9 +245,9 @@ def prompts(found: DataFrame, questions: DataFrame) -> DataFrame:
     context = F.when(F.char_length("context") > CONTEXT_CHARS,
                      F.concat(F.left("context", F.lit(CONTEXT_CHARS)), F.lit("..."))).otherwise(F.col("context"))
     instruction = F.when(F.col("language") == "en", INSTRUCTIONS["en"]).otherwise(INSTRUCTIONS["fr"])
-    return (questions.join(joined, "query_id")
-            .select("query_id", F.concat(instruction, F.lit("\n\nCONTEXTE:\n"), context, F.lit("\n\nQUESTION: "),
-                                         F.col("question"), F.lit("\n\nRÉPONSE:")).alias("prompt")))
+    return (questions.join(joined, "query_id", "left")
+            .select("query_id", F.concat(instruction, F.lit("\n\nCONTEXTE:\n"), F.coalesce(context, F.lit("")), F.lit("\n\nQUESTION: "),
+                                         F.coalesce("question", F.lit("")), F.lit("\n\nRÉPONSE:")).alias("prompt")))
 
 
 def citations(found: DataFrame, language: str = "fr") -> DataFrame:
@@ -219,7 +256,7 @@ def citations(found: DataFrame, language: str = "fr") -> DataFrame:
              .agg(F.min(F.struct("position", "similarity")).alias("best")))
     word, head = (("similarity", "**Sources consulted:**") if language == "en" else
                   ("similarité", "**Sources consultées :**"))
-    line = F.concat(F.lit("\n- "), F.col("source"), F.lit(" (page "), F.col("page").cast("string"),
+    line = F.concat(F.lit("\n- "), _source(), F.lit(" (page "), _page(),
                     F.lit(f", {word}: "), fixed(F.col("best.similarity"), 2), F.lit(")"))
     return (first.withColumn("line", line).groupBy("query_id")
             .agg(F.array_sort(F.collect_list(F.struct("best.position", "line"))).alias("lines"))

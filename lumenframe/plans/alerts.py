@@ -47,23 +47,10 @@ def _limited(spark, sf):
     return _requests(spark, sf).select("event_id", "ts", F.lit("ask").alias("scope"), F.col("path").alias("identity"))
 
 
-def j01_decisions(spark, sf):
-    return li.decide(_limited(spark, sf), limit=3, window=3600).select(
-        "event_id", "allowed", "count", "remaining", "reset_sec", "window_sec")
-
-
 def j01_clock_windows(spark, sf):
     return li.clock_windows(_limited(spark, sf), limit=3, window=3600)
 
 
-def j02_strikes(spark, sf):
-    return li.decide(_limited(spark, sf), limit=1, window=1800).select("event_id", "allowed", "strikes", "multiplier")
-
-
-def j03_limit_state(spark, sf):
-    return li.limit_state(_limited(spark, sf), limit=3, window=3600)
-
-
 def j04_client_keys(spark, sf):
     n = F.col("event_id")
     forwarded = F.when(n % 3 == 0, F.concat(F.lit(" 10.0.0."), (n % 250).cast("string"), F.lit(" , 172.16.0.1"))).when(
@@ -127,5 +114,4 @@ WHERE epoch_us(nx) - epoch_us(ts) > 60000000""",
 }
 
 QUERIES = [g18_error_ratio_alerts, g19_request_p95_points, g19_request_p95_alerts, g19_task_p95_alerts,
-           g20_failure_rate_alerts, g21_silences, j01_decisions, j01_clock_windows, j02_strikes, j03_limit_state,
-           j04_client_keys]
+           g20_failure_rate_alerts, g21_silences, j01_clock_windows, j04_client_keys]

@@ -24,11 +24,16 @@ def _written(spark, sf):
 
 
 def a01_csv_load(spark, sf):
+    """One folder with four separators and two encodings; one quarter of the rows for each separator."""
     base = scratch_path(spark, "csv")
-    _rows(spark, sf).write.option("header", True).option("sep", ";").csv(base)
+    rows = _rows(spark, sf).withColumn("note", F.when(F.col("l_orderkey") % 2 == 0, "d\u00e9j\u00e0 vu").otherwise("plain"))
+    for i, (name, separator) in enumerate(VARIANTS.items()):
+        own = rows.filter(F.col("l_orderkey") % 4 == i)
+        charset = "ISO-8859-1" if i == 2 else "UTF-8"
+        own.write.option("header", True).option("sep", separator).option("encoding", charset).csv(f"{base}/{name}")
     loaded = fl.load_csv(spark, base)
     return loaded.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag",
-                         F.col("ship_text").cast("string").alias("ship_text"))
+                         F.col("ship_text").cast("string").alias("ship_text"), "note")
 
 
 def a02_encodings(spark, sf):
@@ -53,11 +58,13 @@ def a05_validated_files(spark, sf):
     base = scratch_path(spark, "upload")
     table(spark, sf, "nation").write.partitionBy("n_regionkey").option("header", True).csv(base)
     listing = fl.list_files(spark, f"{base}/n_regionkey=*/*.csv")
-    files = listing.select("name", F.lit("text/csv").alias("content_type")).unionByName(
-        listing.select(F.concat(F.lit("old-"), F.col("name")).alias("name"), F.lit("text/csv").alias("content_type"))).unionByName(
-        listing.select(F.concat("name", F.lit(".exe")).alias("name"), F.lit("text/csv").alias("content_type")))
+    kind = F.lit("text/csv").alias("content_type")
+    other = F.concat(F.lit(f"{base}/none/"), F.col("name")).alias("path")
+    files = (listing.select("path", kind).unionByName(listing.select(other, kind))
+             .unionByName(listing.select(F.concat("path", F.lit(".exe")).alias("path"), kind))
+             .unionByName(listing.select("path", F.lit("image/png").alias("content_type"))))
     judged = fl.validate_files(files, listing)
-    return judged.groupBy("ok", "error").agg(F.count(F.lit(1)).alias("files"))
+    return judged.groupBy("ok", "error").agg(F.count_distinct(fl.folder(F.col("path"))).alias("folders"))
 
 
 def a06_file_list(spark, sf):
@@ -84,14 +91,18 @@ def a10_json_export(spark, sf):
 
 
 SQL = {
-    "a01_csv_load": """SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_returnflag, ship_text
-FROM profile_input""",
+    "a01_csv_load": """SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_returnflag, ship_text,
+  CASE WHEN l_orderkey % 2 = 0 THEN 'd\u00e9j\u00e0 vu' ELSE 'plain' END AS note FROM profile_input""",
     "a02_encodings": """SELECT 'plain' AS path, 'utf-8' AS encoding FROM documents HAVING COUNT(*) > 0
 UNION ALL SELECT 'western', CASE WHEN bool_or(regexp_matches(text, '[\\x{A0}-\\x{FF}]')) THEN 'latin-1' ELSE 'utf-8' END
 FROM documents""",
     "a03_separators": """SELECT * FROM (VALUES ('comma', ','), ('semicolon', ';'), ('tab', chr(9)), ('pipe', '|'))
   v(path, separator)""",
     "a04_row_count": "SELECT COUNT(*) AS rows, COUNT(*) > 1000 AS truncated FROM profile_input",
+    "a05_validated_files": """WITH f AS (SELECT COUNT(DISTINCT n_regionkey) AS n FROM nation)
+SELECT true AS ok, CAST(NULL AS VARCHAR) AS error, n AS folders FROM f
+UNION ALL SELECT false, 'file not found', 1 FROM f UNION ALL SELECT false, 'unsupported suffix', n FROM f
+UNION ALL SELECT false, 'unsupported content type', n FROM f""",
     "a06_file_list": """SELECT 'csv' AS type, COUNT(DISTINCT c_mktsegment) AS folders, true AS all_filled FROM customer""",
     "a09_csv_export": """SELECT l_orderkey || ',' || l_linenumber || ',' || l_quantity || ',' || l_extendedprice || ','
   || coalesce(CAST(l_discount AS VARCHAR), '""') || ',' || l_tax || ',' || coalesce(l_returnflag, '""') || ','

@@ -29,7 +29,7 @@ def _lines(spark, sf):
 def d01_prepared(spark, sf):
     rows = _classes(spark, sf)
     ready = md.preparation(rows, CLASS_FEATURES).fit(rows).transform(rows).withColumn("f", vector_to_array("features"))
-    others = F.aggregate(F.slice("f", 2, 10_000), F.lit(0.0), lambda t, x: t + x)
+    others = F.aggregate(F.slice("f", F.lit(2), F.size("f")), F.lit(0.0), lambda t, x: t + x)
     return ready.select("doc_id", F.round(F.col("f")[0], 4).alias("n_chars_scaled"), others.alias("ones"))
 
 

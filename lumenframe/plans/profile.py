@@ -28,8 +28,8 @@ def b02_missing_values(spark, sf):
 
 
 def b03_duplicate_rows(spark, sf):
-    return pr.duplicate_rows(_table(spark, sf).select("l_linenumber", "l_quantity", "l_discount", "l_tax",
-                                                      "l_returnflag"))
+    """Whole rows."""
+    return pr.duplicate_rows(_table(spark, sf))
 
 
 def b04_table_bytes(spark, sf):
@@ -197,8 +197,7 @@ SQL = {
     "b01_column_types": _each(NUMERIC, _TYPES) + "\nUNION ALL " + _each(STRINGS, _STRING_TYPE),
     "b02_missing_values": _each(ALL, _MISSING),
     "b03_duplicate_rows": """SELECT CAST(SUM(n) AS BIGINT) AS rows, CAST(SUM(n - 1) AS BIGINT) AS duplicate_rows
-FROM (SELECT COUNT(*) AS n FROM profile_input
-  GROUP BY l_linenumber, l_quantity, l_discount, l_tax, l_returnflag)""",
+FROM (SELECT *, COUNT(*) AS n FROM profile_input GROUP BY ALL)""",
     "b04_table_bytes": """SELECT b AS bytes, ROUND(b / 1048576, 2) AS memory_usage_mb FROM (SELECT CAST(
   8 * (COUNT(l_orderkey) + COUNT(l_quantity) + COUNT(l_extendedprice) + COUNT(l_discount) + COUNT(l_tax)
        + COUNT(constant_col)) + 4 * COUNT(l_linenumber)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,17 +39,37 @@ def build_session(app: str = "lumenframe", master: str | None = None,
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests, notebooks) a local temporary folder takes its place.
+    Only where that setting is missing and the master is local (tests, notebooks) a temporary folder takes its place;
+    other masters need the setting.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lumenframe-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which import the functions that run there. Once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_lumenframe_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = os.path.join(tempfile.mkdtemp(prefix="lumenframe-"), "lumenframe.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in os.walk(os.path.join(root, "lumenframe")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.relpath(path, root))
+    context.addPyFile(target)
+    context._lumenframe_shipped = True
+
+
 def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here and executor loss is harmless."""
     path = scratch_path(df.sparkSession, label)

@@ -34,17 +34,17 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def validate_files(files: DataFrame, listing: DataFrame) -> DataFrame:
-    """``files`` (name, content_type) judged against what exists: ``ok`` and ``error`` per row."""
-    kind = suffix(F.col("name"))
+    """``files`` (path, content_type) judged against what exists: ``ok`` and ``error`` per row."""
+    kind = suffix(F.col("path"))
     limit, allowed = F.lit(None).cast("long"), F.lit(False)
     for k, size in KINDS.items():
         limit = F.when(kind == k, size).otherwise(limit)
         allowed = F.when(kind == k, F.col("content_type").isin(CONTENT_TYPES[k])).otherwise(allowed)
-    sizes = listing.select("name", "size")
+    sizes = listing.select("path", "size")
     error = (F.when(limit.isNull(), "unsupported suffix").when(F.col("size").isNull(), "file not found")
              .when(~F.coalesce(allowed, F.lit(False)), "unsupported content type").when(F.col("size") == 0, "file is empty")
              .when(F.col("size") > limit, "file too large"))
-    return (files.join(sizes, "name", "left").withColumn("error", error)
+    return (files.join(sizes, "path", "left").withColumn("error", error)
             .withColumn("ok", F.col("error").isNull()))
 
 
@@ -82,19 +82,49 @@ def detect_separators(spark: SparkSession, path: str, by=lambda p: p) -> DataFra
 
 def load_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, separator: str | None = None,
              encoding: str | None = None, multi_line: bool = False) -> DataFrame:
-    """A CSV file or folder of files with one header each. Give schema, separator and encoding to skip detection."""
-    one = lambda p: F.lit("all")
-    if separator is None:
-        row = detect_separators(spark, path, one).first()
-        separator = row["separator"] if row else FALLBACK_SEPARATOR
-    if encoding is None:
-        row = detect_encodings(spark, path, one).first()
-        encoding = row["encoding"] if row else "utf-8"
-    reader = (spark.read.option("header", True).option("sep", separator).option("multiLine", multi_line)
-              .option("recursiveFileLookup", "true").option("escape", '"')
-              .option("encoding", {"latin-1": "ISO-8859-1"}.get(encoding, encoding)))
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return reader.csv(path)
+    """A CSV file or folder of files with one header each. Give schema, separator and encoding to skip detection.
+
+    Every file has its own separator and encoding. Files of one kind are read together, at most eight kinds, and joined by
+    column name; without a schema, a column whose kinds differ in type becomes text.
+    """
+    def read(paths, sep, charset):
+        reader = (spark.read.option("header", True).option("sep", sep).option("multiLine", multi_line)
+                  .option("recursiveFileLookup", "true").option("escape", '"')
+                  .option("encoding", {"latin-1": "ISO-8859-1"}.get(charset, charset)))
+        reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
+        return reader.csv(paths)
+
+    kinds = file_kinds(spark, path, separator, encoding)
+    if len(kinds) < 2:
+        (sep, charset), _ = kinds[0] if kinds else ((separator or FALLBACK_SEPARATOR, encoding or "utf-8"), [])
+        return read(path, sep, charset)
+    frames = [read(paths, sep, charset) for (sep, charset), paths in kinds]
+    types: dict[str, set] = {}
+    for f in frames:
+        for c, t in f.dtypes:
+            types.setdefault(c, set()).add(t)
+    mixed = {c for c, t in types.items() if len(t) > 1}
+    shaped = [f.select(*[F.col(f"`{c}`").cast("string").alias(c) if c in mixed else F.col(f"`{c}`") for c in f.columns])
+              for f in frames]
+    joined = shaped[0]
+    for f in shaped[1:]:
+        joined = joined.unionByName(f, allowMissingColumns=True)
+    return joined
+
+
+def file_kinds(spark: SparkSession, path: str, separator: str | None = None,
+               encoding: str | None = None) -> list[tuple[tuple[str, str], list[str]]]:
+    """``((separator, encoding), paths)`` for each kind of file in a folder; the paths of a folder are its listing."""
+    if separator and encoding:
+        return [((separator, encoding), [path])]
+    found = detect_encodings(spark, path).select("path", F.lit(encoding).alias("encoding") if encoding else "encoding")
+    if separator:
+        found = found.withColumn("separator", F.lit(separator))
+    else:
+        found = found.join(detect_separators(spark, path), "path", "left").withColumn(
+            "separator", F.coalesce("separator", F.lit(FALLBACK_SEPARATOR)))
+    rows = found.groupBy("separator", "encoding").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
+    return sorted(((r["separator"], r["encoding"]), r["paths"]) for r in rows)
 
 
 def row_count(df: DataFrame) -> DataFrame:

@@ -38,10 +38,14 @@ def stream_histogram(rows: DataFrame, labels: list[str], duration: Column, bound
 
 def stream_error_ratio(requests: DataFrame, watermark: str = "10 minutes", threshold: float = ERROR_RATIO,
                        width: str = "5 minutes", slide: str = "30 seconds", seconds: int = 300) -> DataFrame:
-    """Windows whose share of failed requests is above the threshold."""
+    """Windows with their share of failed requests, and whether it is above the threshold.
+
+    All windows come out: one that falls below the threshold later must replace what was said of it before. Readers keep
+    the newest row of each tick and then those that are ``high``.
+    """
     timed = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     counted = timed.groupBy(F.window("ts", width, slide).alias("_w")).agg(
         F.count_if(F.col("status_code").between(500, 599)).alias("errors"), F.count(F.lit(1)).alias("total"))
     ratio = (F.col("errors") / seconds) / F.greatest(F.col("total") / seconds, F.lit(MIN_RATE))
-    return (counted.select(F.unix_seconds("_w.end").alias("tick"), "errors", "total", ratio.alias("ratio"))
-            .filter(F.col("ratio") > threshold))
+    return counted.select(F.unix_seconds("_w.end").alias("tick"), "errors", "total", ratio.alias("ratio"),
+                          (ratio > threshold).alias("high"))

@@ -1,16 +1,13 @@
-"""Keyed state over streams: latest terminal messages, heartbeats and request limits."""
+"""Keyed state over streams: latest terminal messages and heartbeats."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lumenframe.operators import limits as li
 from lumenframe.operators.sessions import HEARTBEAT_SECONDS, RESULT_TTL_SECONDS, TERMINAL
 
 MICROS = 1_000_000
@@ -108,36 +105,3 @@ def stream_heartbeats(messages: DataFrame, every: int = HEARTBEAT_SECONDS, water
     return _by_task(messages, watermark).groupBy("task_id").transformWithStateInPandas(
         statefulProcessor=Heartbeats(every), outputStructType="task_id string, seq long, heartbeats long, until long",
         outputMode="Append", timeMode="EventTime")
-
-
-DECISIONS = T.StructType([
-    T.StructField("scope", T.StringType()), T.StructField("identity", T.StringType()),
-    T.StructField("event_id", T.LongType()), T.StructField("allowed", T.BooleanType()),
-    T.StructField("count", T.LongType()), T.StructField("strikes", T.LongType()),
-    T.StructField("multiplier", T.LongType())])
-
-
-def stream_decisions(requests: DataFrame, limit: int, window: int = li.WINDOW_SECONDS, ts: str = "ts",
-                     id_column: str = "event_id") -> DataFrame:
-    """Request limits over a stream; the same transition as the batch form, its state kept per key."""
-    def decide(key, batches, state: GroupState):
-        memory = json.loads(state.get[0]) if state.exists else li.new_state()
-        memory["windows"] = {int(k): tuple(v) for k, v in memory["windows"].items()}
-        rows = pd.concat(list(batches)).sort_values(["second", "at", "event_id"])
-        found = []
-        for second, part in rows.groupby("second", sort=True):
-            ids = part["event_id"].to_numpy()
-            for first, last, allowed, before, _, _, strikes, factor in li.advance(memory, int(second), len(ids), limit,
-                                                                                  window):
-                for n in range(first, last + 1):
-                    nth = n - first + 1
-                    found.append((key[0], key[1], int(ids[n - 1]), allowed, before + nth,
-                                  strikes if allowed else strikes + nth, factor))
-        state.update((json.dumps(memory),))
-        yield pd.DataFrame(found, columns=DECISIONS.fieldNames())
-
-    shaped = requests.select(
-        "scope", "identity", F.col(id_column).alias("event_id"), F.unix_seconds(F.col(ts).cast("timestamp")).alias("second"),
-        F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
-    return shaped.groupBy("scope", "identity").applyInPandasWithState(
-        decide, DECISIONS, "memory string", "append", GroupStateTimeout.NoTimeout)

@@ -57,27 +57,6 @@ def simulate(requests, limit, window):
     return found
 
 
-@pytest.mark.parametrize("limit,window", [(3, 60), (1, 10), (5, 600)])
-def test_limits_equal_a_request_by_request_simulation(spark, limit, window):
-    rng = random.Random(limit)
-    rows, want = [], {}
-    for who, spread in (("a", 4), ("b", 300), ("hot", 1)):
-        t, times = 1_700_000_000, []
-        for _ in range(400):
-            t += rng.choice([0, 0, 0, 1, spread])
-            times.append(t)
-        base = len(rows)
-        rows += [(base + i, dt.datetime.fromtimestamp(s, dt.timezone.utc), "ask", who) for i, s in enumerate(times)]
-        want.update({base + i: r for i, r in enumerate(simulate(times, limit, window))})
-    df = spark.createDataFrame(rows, "event_id long, ts timestamp, scope string, identity string")
-    for r in li.decide(df, limit, window).collect():
-        assert (r["allowed"], r["count"], r["remaining"], r["reset_sec"], r["strikes"], r["multiplier"]) == want[
-            r["event_id"]]
-    state = {r["identity"]: r for r in li.limit_state(df, limit, window).collect()}
-    last = want[max(i for i, _, _, who in rows if who == "hot")]
-    assert (state["hot"]["count"], state["hot"]["strikes"]) == (last[1], last[4])
-
-
 def test_penalty_stages():
     assert [li.penalty(s) for s in (0, 2, 3, 5, 6, 9, 10, 50)] == [1, 1, 2, 2, 5, 5, 10, 10]
 
