@@ -57,10 +57,6 @@ def simulate(requests, limit, window):
     return found
 
 
-def test_penalty_stages():
-    assert [li.penalty(s) for s in (0, 2, 3, 5, 6, 9, 10, 50)] == [1, 1, 2, 2, 5, 5, 10, 10]
-
-
 def test_drift_is_seen_and_absence_reported(spark):
     rng = np.random.default_rng(1)
     base = spark.createDataFrame([(float(a), float(b)) for a, b in zip(rng.normal(size=800), rng.normal(size=800))],
