@@ -239,6 +239,41 @@ def isolation_trees(matrix: DataFrame, key: str, features: list[str], trees: int
             for r in sorted(grown, key=lambda r: r["tree"])]
 
 
+def joined_trees(trees: list[dict]) -> dict:
+    """All trees in one set of arrays. A leaf leads to itself, so that every row can take the same number of steps."""
+    starts = np.cumsum([0, *[len(t["path"]) for t in trees]])[:-1]
+    leaf = [t["feature"] < 0 for t in trees]
+    own = [start + np.arange(len(t["path"])) for start, t in zip(starts, trees)]
+
+    def lined(parts: list) -> np.ndarray:
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    return {"rows": trees[0]["rows"] if trees else 0, "starts": starts.astype(np.intp),
+            "steps": math.ceil(math.log2(max(trees[0]["rows"], 2))) if trees else 0,
+            "feature": lined([np.where(end, 0, t["feature"]) for end, t in zip(leaf, trees)]).astype(np.intp),
+            "cut": lined([np.where(end, np.inf, t["cut"]) for end, t in zip(leaf, trees)]),
+            "left": lined([np.where(end, i, start + t["left"]) for end, i, start, t in zip(leaf, own, starts, trees)])
+            .astype(np.intp),
+            "right": lined([np.where(end, i, start + t["right"]) for end, i, start, t in zip(leaf, own, starts, trees)])
+            .astype(np.intp),
+            "path": lined([t["path"] for t in trees])}
+
+
+def mean_depth(x: np.ndarray, forest: dict, block: int = 512) -> np.ndarray:
+    """Mean path of each row over all trees, which are walked together, a block of rows at a time."""
+    found = np.zeros(len(x))
+    for start in range(0, len(x), block):
+        part = x[start:start + block]
+        row = np.arange(len(part))[:, None] * part.shape[1]
+        at = np.broadcast_to(forest["starts"], (len(part), len(forest["starts"])))
+        values = part.ravel()
+        for _ in range(forest["steps"]):
+            low = values.take(row + forest["feature"].take(at)) <= forest["cut"].take(at)
+            at = np.where(low, forest["left"].take(at), forest["right"].take(at))
+        found[start:start + block] = forest["path"].take(at).mean(axis=1)
+    return found
+
+
 def isolation_scores(matrix: DataFrame, key: str, features: list[str], trees: int = TREES, rows: int = TREE_ROWS,
                      seed: int = 42, name: str = "isolation_score") -> DataFrame:
     return with_isolation_score(matrix.select(key, *features), key, features, trees, rows, seed, name).select(key, name)
@@ -247,25 +282,13 @@ def isolation_scores(matrix: DataFrame, key: str, features: list[str], trees: in
 def with_isolation_score(matrix: DataFrame, key: str, features: list[str], trees: int = TREES, rows: int = TREE_ROWS,
                          seed: int = 42, name: str = "isolation_score") -> DataFrame:
     """``2^(-mean depth / c)`` per row: near 1 for rows that random cuts isolate early. No shuffle of the rows."""
-    forest = isolation_trees(matrix, key, features, trees, rows, seed)
+    forest = joined_trees(isolation_trees(matrix, key, features, trees, rows, seed))
     shared = matrix.sparkSession.sparkContext.broadcast(forest)
 
     def score(batches):
-        grown = shared.value
         for pdf in batches:
-            x = pdf[features].to_numpy(dtype=float)
-            total = np.zeros(len(x))
-            for tree in grown:
-                at = np.zeros(len(x), dtype=int)
-                open_rows = np.flatnonzero(tree["feature"][at] >= 0)
-                while len(open_rows):
-                    nodes = at[open_rows]
-                    low = x[open_rows, tree["feature"][nodes]] <= tree["cut"][nodes]
-                    at[open_rows] = np.where(low, tree["left"][nodes], tree["right"][nodes])
-                    open_rows = open_rows[tree["feature"][at[open_rows]] >= 0]
-                total += tree["path"][at]
-            usual = average_path(grown[0]["rows"]) or 1.0
-            yield pdf.assign(**{name: 2.0 ** (-(total / len(grown)) / usual)})
+            depth = mean_depth(pdf[features].to_numpy(dtype=float), shared.value)
+            yield pdf.assign(**{name: 2.0 ** (-depth / (average_path(shared.value["rows"]) or 1.0))})
 
     return matrix.mapInPandas(score, T.StructType([*matrix.schema.fields, T.StructField(name, T.DoubleType())]))
 

@@ -13,6 +13,10 @@ from lumenframe.operators.models import clean_table, fit_clean_model
 from lumenframe.session import scratch_path
 
 LOCAL_ROWS = 3
+#: Leaves of up to so many features get a table of contributions; one has ``2 ** TABLE_FEATURES`` rows at most.
+TABLE_FEATURES = 6
+#: Rows and leaves that are worked on at once, so that the arrays stay in the processor's cache.
+TABLE_ROWS, TABLE_LEAVES = 256, 256
 TOP_BARS, TOP_STEPS = 10, 5
 
 
@@ -102,6 +106,50 @@ def path_contributions(x: np.ndarray, leaves: list[tuple]) -> tuple[np.ndarray,
     return phi, base
 
 
+def leaf_tables(leaves: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """Leaves of few features as tables, grouped by their features, and the leaves of many features as they are.
+
+    What a leaf adds depends only on which of its features lie in their intervals. A group holds the features, the
+    intervals' ends and, per feature, its contribution for each leaf and combination of features.
+    """
+    groups: dict = {}
+    for leaf in leaves:
+        if 0 < len(leaf[2]) <= TABLE_FEATURES:
+            groups.setdefault(tuple(leaf[2].tolist()), []).append(leaf)
+    tables = []
+    parts = [(features, own[i:i + TABLE_LEAVES]) for features, own in groups.items()
+             for i in range(0, len(own), TABLE_LEAVES)]
+    for features, own in parts:
+        m = len(features)
+        value, share = np.array([leaf[0] for leaf in own]), np.array([leaf[3] for leaf in own])
+        hot = (np.arange(2 ** m)[:, None] >> np.arange(m) & 1).astype(float)
+        points, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
+        total = np.zeros((len(own), 2 ** m, m))
+        for u, w in zip((points + 1) / 2, weights / 2):
+            mixed = u * hot[None] + (1 - u) * share[:, None, :]
+            total += w * mixed.prod(axis=2, keepdims=True) / mixed
+        added = value[:, None, None] * (hot[None] - share[:, None, :]) * total
+        tables.append((features, np.array([leaf[4] for leaf in own]).T.copy(), np.array([leaf[5] for leaf in own]).T.copy(),
+                       added.reshape(-1, m).T.copy()))
+    return tables, [leaf for leaf in leaves if len(leaf[2]) > TABLE_FEATURES]
+
+
+def table_contributions(x: np.ndarray, tables: list[tuple]) -> np.ndarray:
+    """Summed contributions of grouped leaves for all rows of ``x``, block by block."""
+    phi = np.zeros(x.shape)
+    for start in range(0, len(x), TABLE_ROWS):
+        part = x[start:start + TABLE_ROWS]
+        for features, low, high, added in tables:
+            held = np.zeros((len(part), low.shape[1]), dtype=np.uint8)
+            for j, f in enumerate(features):
+                value = part[:, f, None]
+                held |= ((value > low[j]) & (value <= high[j])).view(np.uint8) << np.uint8(j)
+            at = held + np.arange(low.shape[1], dtype=np.intp) * 2 ** len(features)
+            for j, f in enumerate(features):
+                phi[start:start + TABLE_ROWS, f] += added[j].take(at).sum(axis=1)
+    return phi
+
+
 def tree_contributions(model, table: DataFrame, key: str, features: list[str], output: int = 1,
                        keep: tuple[str, ...] = ()) -> DataFrame:
     """``(key, keep..., x, phi, base, prediction)`` for a tree ensemble; ``output`` picks the class of a forest."""
@@ -112,8 +160,9 @@ def tree_contributions(model, table: DataFrame, key: str, features: list[str], o
         value = tree["value"]
         if forest_classes:
             value = tree["classes"][:, output] / tree["classes"].sum(axis=1)
-        leaves.append(leaf_paths(tree, value * weight))
-    shared = table.sparkSession.sparkContext.broadcast(leaves)
+        leaves += leaf_paths(tree, value * weight)
+    base = float(sum(leaf[0] * leaf[1] for leaf in leaves))
+    shared = table.sparkSession.sparkContext.broadcast(leaf_tables(leaves))
     carried = [key, *keep]
     out = T.StructType([*[table.schema[c] for c in carried],
                         T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("phi", T.ArrayType(T.DoubleType())),
@@ -122,11 +171,8 @@ def tree_contributions(model, table: DataFrame, key: str, features: list[str], o
     def explain(batches):
         for pdf in batches:
             x = pdf[features].to_numpy(dtype=float)
-            phi, base = np.zeros(x.shape), 0.0
-            for one in shared.value:
-                part, start = path_contributions(x, one)
-                phi += part
-                base += start
+            tables, others = shared.value
+            phi = table_contributions(x, tables) + path_contributions(x, others)[0]
             yield pdf[carried].assign(x=list(x), phi=list(phi), base=base, prediction=phi.sum(axis=1) + base)
 
     return table.select(*dict.fromkeys([*carried, *features])).mapInPandas(explain, out)

@@ -85,7 +85,7 @@ def d07_linear_contributions(spark, sf):
 def d08_tree_additivity(spark, sf):
     """Base plus contributions against the model's own prediction, for every row."""
     table = md.clean_table(_lines(spark, sf), "id", REGRESSION, "l_extendedprice", "regression")
-    model = md.fit_clean_model(table, REGRESSION, "RandomForestRegressor", "regression", trees=TREES, depth=5)
+    model = md.fit_clean_model(table, REGRESSION, "RandomForestRegressor", "regression")
     own = ex.predictions(model, table, REGRESSION).drop("features").withColumnRenamed("prediction", "own")
     found = ex.tree_contributions(model, own, "id", REGRESSION, keep=("own",))
     return found.select("id", (F.abs(F.col("own") - F.col("prediction")) < 1e-6).alias("additive"))
@@ -98,7 +98,7 @@ def d09_importance(spark, sf):
 def d09_class_importance(spark, sf):
     """A forest over the document classes: mean over both classes."""
     table = md.clean_table(_classes(spark, sf), "doc_id", CLASS_FEATURES, "quality", "classification")
-    model = md.fit_clean_model(table, CLASS_FEATURES, "RandomForestClassifier", "classification", trees=TREES, depth=5)
+    model = md.fit_clean_model(table, CLASS_FEATURES, "RandomForestClassifier", "classification")
     frames = [ex.tree_contributions(model, table, "doc_id", CLASS_FEATURES, output=i) for i in range(2)]
     return ex.mean_over_classes(frames, CLASS_FEATURES)
 
@@ -118,7 +118,7 @@ def d11_clean_refit(spark, sf):
     table = md.clean_table(_lines(spark, sf), "id", REGRESSION, "l_extendedprice", "regression")
     found = None
     for name in ("Ridge", "Lasso", "ElasticNet", "GradientBoostingRegressor"):
-        model = md.fit_clean_model(table, REGRESSION, name, "regression", trees=TREES)
+        model = md.fit_clean_model(table, REGRESSION, name, "regression")
         fitted = ex.predictions(model, table, REGRESSION)
         r2 = 1 - F.sum(F.pow(F.col("label") - F.col("prediction"), F.lit(2.0))) / (
             F.var_pop("label") * F.count(F.lit(1)))

@@ -1,5 +1,6 @@
 """Null keys, mixed folders, odd vectors, models with three classes, and shrinking error windows."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,32 @@ def test_error_windows_that_calm_down_leave(spark):
     rows = sink.run_available(st.stream_error_ratio(stream), label="windows")
     assert rows.filter("high").count() > 0
     assert sink.latest_per_key(rows, ["tick"]).filter("high").count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 2, 6])
+def test_leaf_tables_equal_the_paths(monkeypatch, most):
+    from lumenframe.operators import explain
+    monkeypatch.setattr(explain, "TABLE_FEATURES", most)
+    rng = np.random.default_rng(4)
+    leaves = [(rng.normal(), 0.1, np.zeros(0, int), np.zeros(0), np.zeros(0), np.zeros(0))]
+    for _ in range(60):
+        m = int(rng.integers(1, 8))
+        ends = np.sort(rng.normal(size=(2, m)), axis=0)
+        leaves.append((rng.normal(), 0.1, np.sort(rng.choice(9, m, replace=False)), rng.uniform(0.05, 1, m), *ends))
+    x = rng.normal(size=(1300, 9))
+    tables, others = explain.leaf_tables(leaves)
+    assert len(others) == sum(len(leaf[2]) > most for leaf in leaves)
+    found = explain.table_contributions(x, tables) + explain.path_contributions(x, others)[0]
+    np.testing.assert_allclose(found, explain.path_contributions(x, leaves)[0], atol=1e-9)
+
+
+def test_trees_walked_together_equal_single_walks():
+    from lumenframe.operators import anomaly
+    tree = {"rows": 8, "feature": np.array([0, -1, 1, -1, -1]), "cut": np.array([0.0, -1, 0.5, -1, -1]),
+            "left": np.array([1, -1, 3, -1, -1]), "right": np.array([2, -1, 4, -1, -1]),
+            "path": np.array([-1, 1.0, -1, 2.5, 3.5])}
+    stump = {"rows": 8, **{k: np.array([-1]) for k in ("feature", "cut", "left", "right")}, "path": np.array([4.0])}
+    x = np.random.default_rng(1).normal(size=(1100, 2))
+    want = np.where(x[:, 0] <= 0, 1.0, np.where(x[:, 1] <= 0.5, 2.5, 3.5))
+    np.testing.assert_allclose(anomaly.mean_depth(x, anomaly.joined_trees([tree, stump, tree])), (2 * want + 4.0) / 3)
+    assert len(anomaly.mean_depth(x[:0], anomaly.joined_trees([stump]))) == 0
