@@ -1,6 +1,7 @@
 """The operators against brute force, on odd and on ordinary rows."""
 
 import gzip
+import hashlib
 import random
 import zlib
 from array import array
@@ -215,6 +216,25 @@ def test_mixed_rows_hold_the_taken_words(odd):
     assert out.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] == taken
 
 
+@pytest.mark.parametrize("bucket_rows", [3, 10_000])
+def test_cuts_match_row_by_row_sums(spark, monkeypatch, bucket_rows):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket_rows)
+    rows = [(i % 7 if i % 3 else i, s, "w " * (i % 4)) for i in range(60) for s in ("a", "b", None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    sizes = spark.createDataFrame([(s, len(t.split())) for _, s, t in rows], "source string, size long")
+    wanted = []
+    for source, total, target in mixing.source_targets(sizes).collect():
+        rest, epochs = int(target) % total, int(target) // total
+        for _, i, size in sorted((hashlib.md5(str(i).encode()).hexdigest(), i, len(t.split()))
+                                 for i, s, t in rows if s == source):
+            wanted.append((i, size, epochs * size + max(0, min(size, rest))))
+            rest -= size
+    got = mixing.mix(df, "doc_id", "text", "source").select("doc_id", "size", "taken").collect()
+    assert sorted(map(tuple, got)) == sorted(wanted)
+    words = mixing.mixed_rows(df, "doc_id", "text", "source").select(F.sum(F.regexp_count("text", F.lit("w")))).first()[0]
+    assert words == sum(taken for *_, taken in wanted)
+
+
 def test_targets_share_the_excess(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), (None, 1000)], "source string, size long")
     t = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
