@@ -28,7 +28,7 @@ SEED = 42
 BLOCKS = 8
 #: Cost of one shuffled probe in units of one compared candidate.
 PROBE_COST = 200.0
-#: Largest bucket that one task compares; larger ones are cut into pieces that meet pairwise.
+#: Largest bucket that one task compares; larger ones are cut into a grid of such pieces.
 BUCKET_ROWS = 20_000
 SMALL_GROUP = 64
 
@@ -263,8 +263,9 @@ def link_fingerprints(classes: DataFrame, most: int = MOST_BITS, bucket_rows: in
     """``classes``: fp (distinct), node. Edges a, b that connect all nodes linked by at most ``most`` differing bits.
 
     Edges are those of trees: they keep what is connected and leave out further pairs. Statistics that come to the
-    driver are 64 x 64 counts of bit pairs, 8 x 256 counts of block values, and one row per bucket above
-    ``bucket_rows``. Such a bucket is cut into slices; each slice meets itself and, slice by slice, all others.
+    driver are 64 x 64 counts of bit pairs and 8 x 256 counts of block values. A bucket of more than ``bucket_rows``
+    rows is cut into a grid: its rows of role 0 into slices downwards, all its rows into slices across. A cell compares
+    one slice of each, about ``bucket_rows`` rows, so no task holds a bucket; every pair with a row of role 0 meets.
     """
     spark = classes.sparkSession
     both, total = np.zeros((WIDTH, WIDTH)), classes.count()
@@ -280,27 +281,28 @@ def link_fingerprints(classes: DataFrame, most: int = MOST_BITS, bucket_rows: in
         histograms[r["block"], r["value"]] = r["n"]
     plan = plan_partitions(both, histograms, blocks, total, most)
 
-    masks = [sum(1 << b for b in bits) for bits, _ in plan]
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    keys = classes.select(F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed]))
-                          .alias("part", "key"))
-    hot = (keys.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket_rows)
-           .withColumn("slices", F.ceil(F.col("n") / F.lit(bucket_rows)).cast("int")).drop("n"))
-    hot = materialise(hot, "hot-buckets")
     probes = classes.mapInPandas(_prober(plan), "part int, key long, role int, fp long, node long")
+    in_slices = lambda n: F.ceil(n / F.lit(bucket_rows)).cast("long")
+    hot = (probes.groupBy("part", "key").agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("role")).alias("firsts"))
+           .filter(F.col("n") > bucket_rows)
+           .select("part", "key", in_slices(F.col("firsts")).alias("down"), in_slices(F.col("n")).alias("across")))
+    hot = materialise(hot, "hot-buckets")
     if hot.limit(1).count():
         probes = probes.join(hot, ["part", "key"], "left")
-        own = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
-        dealt = (F.when(F.col("slices").isNull(), F.array(F.struct(F.lit(0).alias("slice"), F.col("role").alias("r"))))
-                 .otherwise(F.transform(F.sequence(F.lit(0), F.col("slices") - 1),
-                                        lambda s: F.struct(s.alias("slice"),
-                                                           F.when((F.col("role") == 0) & (s == own), 0).otherwise(1)
-                                                           .alias("r")))))
-        dealt = F.filter(dealt, lambda x: F.col("slices").isNull() | (F.col("role") == 1) | (x["slice"] <= own))
+        number = F.xxhash64("fp")
+        own = F.pmod(number, F.greatest("down", F.lit(1)))
+        cell = lambda d, a, role: F.struct((d * F.col("across") + a).alias("slice"), F.lit(role).alias("r"))
+        as_first = F.transform(F.sequence(F.lit(0).cast("long"), F.col("across") - 1), lambda a: cell(own, a, 0))
+        upto = F.when(F.col("role") == 0, own).otherwise(F.col("down"))
+        as_other = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("down")), lambda d: d < upto),
+                               lambda d: cell(d, F.pmod(number, F.col("across")), 1))
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("slice"), F.col("role").alias("r")))
+        dealt = (F.when(F.col("across").isNull(), whole)
+                 .when(F.col("role") == 0, F.concat(as_first, as_other)).otherwise(as_other))
         probes = probes.withColumn("d", F.explode(dealt)).select(
             "part", "key", F.col("d.slice").alias("slice"), F.col("d.r").alias("role"), "fp", "node")
     else:
-        probes = probes.withColumn("slice", F.lit(0))
+        probes = probes.withColumn("slice", F.lit(0).cast("long"))
     order = ["part", "key", "slice", "role"]
     return (probes.select(*order, "fp", "node").repartition(task_count(spark), "part", "key", "slice")
             .sortWithinPartitions(*order).mapInPandas(_linker(most), "a long, b long"))
