@@ -61,7 +61,8 @@ def merge_runs(rows: DataFrame, tasks: int, fan_in: int = FAN_IN) -> DataFrame:
     """``rows``: run, row, id and KEY. One row per digest: KEY, keep_id, keep_row and group_size.
 
     A target is a group of runs and a slice of the digest space. After round k a group spans base^k runs and a slice is
-    one part in base^k, so the number of targets stays the same.
+    one part in base^k, so the number of targets stays the same. Each run is merged in itself before the first exchange,
+    so copies within a run never travel.
     """
     rounds = max(1, math.ceil(math.log(max(tasks, 2), fan_in) - 1e-9))
     base = max(2, math.ceil(tasks ** (1 / rounds) - 1e-9))
@@ -70,6 +71,7 @@ def merge_runs(rows: DataFrame, tasks: int, fan_in: int = FAN_IN) -> DataFrame:
     merged = rows.select(F.pmod("run", F.lit(runs)).cast("long").alias("target"), *KEY,
                          F.col("id").isNull().alias("id_null"), F.coalesce("id", F.lit(0)).cast("long").alias("id"),
                          "row", F.lit(1).cast("long").alias("n"))
+    merged = merged.sortWithinPartitions(*ORDER).mapInPandas(_merge_sorted, RUN)
     for k in range(1, rounds + 1):
         group = F.floor(F.col("target") / F.lit(base ** k)) * F.lit(base ** k)
         part = F.floor(place / F.lit(base ** (rounds - k)))
