@@ -5,9 +5,11 @@ lines. Ranks of runs twice as long come from pairs of ranks, as in building a su
 plus the number of suffixes of the same old rank whose second half sorts lower. Suffixes of equal rank are an interval of
 the array whose common prefix is at least as long as the run; intervals of one suffix are done and leave the work.
 
-A run counts if it holds at least ``least_words`` words. Each line's shortest run of that size is a prefix of its suffix;
-the interval of that prefix shows where it stands first. All later ones are deleted, and their union is exactly the
-later copies of all maximal repeated runs of that size. Doubling therefore ends at the longest of these prefixes.
+A run counts if it holds at least ``least_words`` words. A line is deleted if it is in a run that counts and stands
+earlier as well: these are the later copies of all maximal repeated runs of that size, to their last line. Two kinds of
+runs suffice as keys, the shortest that counts from each line on and the shortest that counts up to each line: inside a
+maximal run, a line from which enough words follow is in the first kind, and any other is in the second kind that ends
+with the run. Neither has more than ``least_words`` lines, so doubling ends at the longest of them.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ SLICES = 1024
 
 
 def line_table(rows: DataFrame, least_words: int) -> DataFrame:
-    """``rows``: row, id, text. One row per line that is not blank: row, id, seq, line_no, h, start, need.
+    """``rows``: row, id, text. One row per line that is not blank: row, id, seq, line_no, h, need, back.
 
     ``need`` is the number of lines in the line's shortest run of ``least_words`` words, null if the document ends before.
+    ``back`` is the same for the shortest run that ends with the line, null also if that run is its first line's ``need``.
     """
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("line"))),
                      lambda s: s["line"].rlike(WORDS))
@@ -36,7 +39,10 @@ def line_table(rows: DataFrame, least_words: int) -> DataFrame:
     near = Window.partitionBy("row").orderBy("start").rangeBetween(0, least_words - 1)
     reach = F.max(F.col("start") + F.col("words")).over(near)
     need = F.when(reach - F.col("start") >= least_words, F.count(F.lit(1)).over(near))
-    return upto.select("row", "id", "seq", "line_no", "h", need.cast("int").alias("need"))
+    end = F.col("start") + F.col("words")
+    behind = Window.partitionBy("row").orderBy(end).rangeBetween(-(least_words - 1), 0)
+    back = F.when(F.col("start") - F.min("start").over(behind) >= least_words, F.count(F.lit(1)).over(behind))
+    return upto.select("row", "id", "seq", "line_no", "h", need.cast("int").alias("need"), back.cast("int").alias("back"))
 
 
 def first_ranks(lines: DataFrame) -> DataFrame:
@@ -87,8 +93,9 @@ def repeated_lines(rows: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     lines = materialise(line_table(rows, least_words), "lines")
     ranks = first_ranks(lines)
     positions = ranks.count()
-    wanted = lines.filter("need IS NOT NULL").select("row", "id", "seq", "need").join(ranks, ["row", "seq"])
-    wanted = materialise(wanted, "wanted-runs")
+    runs = F.array(F.struct("seq", "need"), F.struct((F.col("seq") - F.col("back") + 1).alias("seq"), F.col("back").alias("need")))
+    wanted = lines.select("row", "id", F.inline(F.filter(runs, lambda r: r["need"].isNotNull())))
+    wanted = materialise(wanted.join(ranks, ["row", "seq"]), "wanted-runs")
     longest = wanted.agg(F.max("need")).first()[0] or 0
     keys, step = None, 1
     while step <= longest:
