@@ -15,7 +15,6 @@ NUMERIC = ["l_quantity", "l_discount", "l_tax"]
 
 # Stated weights, so that the explanations can be checked by SQL.
 WEIGHTS = {"l_quantity": 1500.0, "l_discount": -900.0, "l_tax": 250.5}
-TREES = 12
 
 
 def _classes(spark, sf):
@@ -39,7 +38,7 @@ def d02_model_space(spark, sf):
     found = None
     for i in range(len(md.MODELS)):
         params = md.draw_params(i)
-        model = md.train(table, CLASS_FEATURES, params, len(classes), max_trees=TREES)
+        model = md.train(table, CLASS_FEATURES, params, len(classes))
         one = md.accuracy(model.transform(table)).select(F.lit(params["model_name"]).alias("model"), "accuracy", "rows")
         found = one if found is None else found.unionByName(one)
     return found.select("model", "rows", (F.col("accuracy") > 0.5).alias("better_than_chance"))
@@ -50,7 +49,7 @@ def d03_folds(spark, sf):
 
 
 def d04_search(spark, sf):
-    found = md.search(_classes(spark, sf), "doc_id", CLASS_FEATURES, "quality", trials=4, folds=3, max_trees=TREES)
+    found = md.search(_classes(spark, sf), "doc_id", CLASS_FEATURES, "quality")
     return found.trials.select("trial", "model_name", "score")
 
 

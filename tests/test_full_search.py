@@ -1,0 +1,44 @@
+"""d02, d04: the registered searches run the operator's own trials, folds and trees."""
+
+import inspect
+
+from lumenframe.operators import models as md
+from lumenframe.plans import models as plans
+
+SF = "/root/testdata/sf0.001"
+
+
+class Stopped(Exception):
+    pass
+
+
+def test_search_runs_all_trials_folds_and_trees(spark, monkeypatch):
+    seen, signature = [], inspect.signature(md.search)
+
+    def search(*args, **options):
+        bound = signature.bind(*args, **options)
+        bound.apply_defaults()
+        seen.append(bound.arguments)
+        raise Stopped
+
+    monkeypatch.setattr(md, "search", search)
+    try:
+        plans.d04_search(spark, SF)
+    except Stopped:
+        pass
+    assert (seen[0]["trials"], seen[0]["folds"], seen[0]["max_trees"]) == (30, 5, None)
+
+
+def test_model_space_fits_the_drawn_trees(spark, monkeypatch):
+    fitted = []
+
+    def build(params, classes=2, rows=1, seed=42, max_trees=None):
+        fitted.append((params, max_trees))
+        raise Stopped
+
+    monkeypatch.setattr(md, "build_classifier", build)
+    try:
+        plans.d02_model_space(spark, SF)
+    except Stopped:
+        pass
+    assert fitted == [(md.draw_params(0), None)]
