@@ -16,6 +16,8 @@ from lumenframe.session import scratch_path
 
 TOP_K = 5
 BLOCK_BYTES = 64 * 1024 * 1024
+# Index: the share of true neighbours to be found, and the queries that set how many cells that takes.
+AIM, TRIAL_QUERIES = 0.95, 64
 PREVIEW_CHARS = 100
 CONTEXT_CHARS = 3000
 
@@ -156,14 +158,37 @@ def build_index(vectors: DataFrame, cells: int | None = None, seed: int = 42) ->
     return model, vectors.sparkSession.read.parquet(path)
 
 
-def search_index(model: KMeansModel, index: DataFrame, queries: DataFrame, k: int = TOP_K, probes: int = 4,
+def trial_probes(model: KMeansModel, index: DataFrame, queries: DataFrame, k: int = TOP_K, aim: float = AIM) -> int:
+    """How many cells a query has to probe: as many as hold the share ``aim`` of the true neighbours of trial queries.
+
+    ``TRIAL_QUERIES`` queries, those smallest by a hash of the id, are compared with all vectors of the index.
+    """
+    centres = unit_rows([c for c in model.clusterCenters()])
+    rows = (queries.filter(F.size("embedding") == centres.shape[1]).orderBy(F.xxhash64("id"), "id")
+            .limit(TRIAL_QUERIES).select("embedding").collect())
+    if not rows:
+        return 1
+    order = np.argsort(-(unit_rows([r["embedding"] for r in rows]) @ centres.T), axis=1)
+    ranks = np.argsort(order, axis=1)
+    trial = queries.sparkSession.createDataFrame([(i, r["embedding"]) for i, r in enumerate(rows)],
+                                                 f"id long, embedding {dict(queries.dtypes)['embedding']}")
+    found = _merge(_search_local(index, trial, k), k).select("query_id", "id")
+    cells = index.select("id", "cell").join(F.broadcast(found), "id").select("query_id", "cell").collect()
+    if not cells:
+        return 1
+    at = np.sort([ranks[r["query_id"], r["cell"]] for r in cells])
+    return int(at[math.ceil(aim * len(at)) - 1]) + 1
+
+
+def search_index(model: KMeansModel, index: DataFrame, queries: DataFrame, k: int = TOP_K, probes: int | None = None,
                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Approximate top ``k``: only the ``probes`` cells nearest to a query are searched.
 
-    Large cells are cut into blocks of bounded size and the queries of a cell visit each of its blocks.
+    Unless ``probes`` is given, trial queries set it (``trial_probes``, one more pass over the index). Large cells are cut
+    into blocks of bounded size and the queries of a cell visit each of its blocks.
     """
     centres = unit_rows([c for c in model.clusterCenters()])
-    probes = min(probes, len(centres))
+    probes = min(trial_probes(model, index, queries, k) if probes is None else probes, len(centres))
     queries = queries.filter(F.size("embedding") == centres.shape[1])
     kinds = dict(queries.dtypes)
 
