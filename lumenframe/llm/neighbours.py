@@ -22,6 +22,7 @@ ROUNDS = 12
 SEED = 7
 COLUMNS = 16
 EPSILON = 2.1
+SLACK = 1e-20
 LIST_ROWS = 8_192
 QUERY_ROWS = 1_024
 TRIAL_QUERIES = 64
@@ -70,9 +71,10 @@ def scan(x: np.ndarray, q: np.ndarray, k: int, columns: int = COLUMNS, epsilon:
     """Positions in ``x`` of the candidates that stay in the race for the ``k`` nearest to ``q``; both are rotated.
 
     Chunks grow, so the bound is set early. A candidate is dropped after s of d columns if its partial squared distance
-    times d / s exceeds the bound times (1 + epsilon / sqrt(s)) squared.
+    times d / s exceeds the bound times (1 + epsilon / sqrt(s)) squared. A small slack, relative to the length of ``q``,
+    covers the rounding of the rotated values: copies of ``q`` are at a distance of about 0, not all at the same.
     """
-    d = x.shape[1]
+    d, slack = x.shape[1], SLACK * (q ** 2).sum()
     kept, distances, bound = [], np.zeros(0), np.inf
     at, size = 0, max(64, 4 * k)
     while at < len(x):
@@ -83,7 +85,7 @@ def scan(x: np.ndarray, q: np.ndarray, k: int, columns: int = COLUMNS, epsilon:
             difference = x[alive, start:end] - q[start:end]
             partial += np.einsum("ij,ij->i", difference, difference)
             if end < d and bound < np.inf:
-                stays = partial * (d / end) <= bound * (1 + epsilon / np.sqrt(end)) ** 2
+                stays = partial * (d / end) <= bound * (1 + epsilon / np.sqrt(end)) ** 2 + slack
                 if not stays.all():
                     alive, partial = alive[stays], partial[stays]
                     if not len(alive):
@@ -95,7 +97,7 @@ def scan(x: np.ndarray, q: np.ndarray, k: int, columns: int = COLUMNS, epsilon:
         at, size = at + size, size * 4
     places = np.concatenate(kept) if kept else np.zeros(0, dtype=np.int64)
     if len(places) > k:
-        places = places[distances <= bound * (1 + 1e-9) + 1e-12]
+        places = places[distances <= bound * (1 + 1e-9) + 1e-12 + slack]
     return places
 
 
