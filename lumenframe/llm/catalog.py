@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumenframe.llm import (exact_dedup, line_dedup, mixing, neighbours, packing, quality, secrets, simhash, token_counts,
-                            warc)
+from lumenframe.llm import (divergence, exact_dedup, fill_in_middle, line_dedup, mixing, neighbours, packing, quality,
+                            secrets, simhash, token_counts, warc)
 from lumenframe.llm.common import ROW_ID, read
 
 
@@ -54,6 +54,14 @@ def op10_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"), "page_id", "url", "html")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"), "text", "lang", "source")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 SPAN_SQL = r"""
 WITH base AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
 p(kind, k, pattern) AS (VALUES
@@ -147,10 +155,51 @@ SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM p"""
 
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+s AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source),
+e AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(s.n, 0) + 2 * l.v) AS p,
+    1 + (1000000000::HUGEINT * (k.n + 2)) // (l.n + 2 * l.v) AS q
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN s ON s.lang = g.lang AND s.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM e a JOIN e b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM e WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM o
+WHERE part = 'pair' OR rank <= 10"""
+
+MIDDLE_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents),
+n AS (SELECT doc_id, text, u, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS one,
+    CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS two,
+    CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain'
+      WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT doc_id, text, n, form, array_to_string(u[1:least(one, two)], '') AS a,
+    array_to_string(u[least(one, two) + 1:greatest(one, two)], '') AS b, array_to_string(u[greatest(one, two) + 1:], '') AS c
+  FROM n)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b
+    ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
 QUERIES = [op1_quality_classifier, op2_best_fit_packing, op3_secret_scans, op4_token_counts, op5_line_dedup,
-           op6_nearest_neighbours, op7_exact_dedup, op8_simhash_near_dedup, op9_source_mixing, op10_warc_normaliser]
+           op6_nearest_neighbours, op7_exact_dedup, op8_simhash_near_dedup, op9_source_mixing, op10_warc_normaliser,
+           op11_source_divergence, op13_fill_in_middle]
 SQL = {"op3_secret_scans": SPAN_SQL, "op5_line_dedup": LINE_SQL, "op7_exact_dedup": COPIES_SQL,
-       "op9_source_mixing": MIX_SQL, "op10_warc_normaliser": PAGES_SQL}
+       "op9_source_mixing": MIX_SQL, "op10_warc_normaliser": PAGES_SQL,
+       "op11_source_divergence": DIVERGENCE_SQL, "op13_fill_in_middle": MIDDLE_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
