@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumenframe.llm import (divergence, exact_dedup, fill_in_middle, line_dedup, mixing, neighbours, packing, quality,
+from lumenframe.llm import (divergence, exact_dedup, fill_in_middle, line_dedup, lm, mixing, neighbours, packing, quality,
                             secrets, simhash, token_counts, warc)
 from lumenframe.llm.common import ROW_ID, read
 
@@ -58,6 +58,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"), "text", "lang", "source")
 
 
+def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(read(spark, sf_dir, "documents"), "doc_id", "text", written=True)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(read(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -106,14 +110,12 @@ WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, text, string
 l AS (SELECT r, unnest(lines) AS line, unnest(range(len(lines))) AS line_no FROM d),
 w AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
     md5(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS h FROM l),
-q AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY line_no) - 1 AS seq,
-    sum(words) OVER (PARTITION BY r ORDER BY line_no) - words AS start FROM w WHERE words > 0),
-n AS (SELECT *, (SELECT 1) AS one, count(*) OVER near AS need, max(start + words) OVER near - start AS held,
-    list(h) OVER (PARTITION BY r ORDER BY seq ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS ahead FROM q
-  WINDOW near AS (PARTITION BY r ORDER BY start RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
-k AS (SELECT r, seq, need, md5(array_to_string(ahead[:need], ' ')) AS run FROM n WHERE held >= 50),
-f AS (SELECT *, min(r * 1000000 + seq) OVER (PARTITION BY run) AS first FROM k),
-c AS (SELECT DISTINCT r, unnest(range(seq, seq + need)) AS seq FROM f WHERE r * 1000000 + seq <> first),
+q AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY line_no) - 1 AS seq FROM w WHERE words > 0),
+e AS (SELECT a.r AS r0, b.r, b.seq, b.words, b.seq - a.seq AS shift FROM q a JOIN q b ON a.h = b.h
+    AND (a.r < b.r OR (a.r = b.r AND a.seq < b.seq))),
+m AS (SELECT *, seq - row_number() OVER (PARTITION BY r0, r, shift ORDER BY seq) AS run FROM e),
+n AS (SELECT r, min(seq) AS first, max(seq) AS last FROM m GROUP BY r0, r, shift, run HAVING sum(words) >= 50),
+c AS (SELECT DISTINCT r, unnest(range(first, last + 1)) AS seq FROM n),
 g AS (SELECT c.r, c.seq, q.line_no, c.seq - row_number() OVER (PARTITION BY c.r ORDER BY c.seq) AS island
   FROM c JOIN q USING (r, seq)),
 p AS (SELECT r, list(line_no) AS gone, count(DISTINCT island) AS n_runs FROM g GROUP BY r),
@@ -196,7 +198,7 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_c
 
 QUERIES = [op1_quality_classifier, op2_best_fit_packing, op3_secret_scans, op4_token_counts, op5_line_dedup,
            op6_nearest_neighbours, op7_exact_dedup, op8_simhash_near_dedup, op9_source_mixing, op10_warc_normaliser,
-           op11_source_divergence, op13_fill_in_middle]
+           op11_source_divergence, op12_lm_scores, op13_fill_in_middle]
 SQL = {"op3_secret_scans": SPAN_SQL, "op5_line_dedup": LINE_SQL, "op7_exact_dedup": COPIES_SQL,
        "op9_source_mixing": MIX_SQL, "op10_warc_normaliser": PAGES_SQL,
        "op11_source_divergence": DIVERGENCE_SQL, "op13_fill_in_middle": MIDDLE_SQL}

@@ -409,22 +409,24 @@ def test_ties_keep_the_earlier_start():
 # --- lines
 
 def slow_lines(docs, least):
-    """Documents as lists of (line number, normal line); later copies of runs of ``least`` words."""
-    runs, gone = {}, set()
-    for d, text in enumerate(docs):
-        lines = [(i, " ".join(x.split())) for i, x in enumerate((text or "").split("\n")) if x.strip(" \t\n\r\x0b\x0c")]
-        for s in range(len(lines)):
-            n, e = 0, s
-            while e < len(lines) and n < least:
-                n += len(lines[e][1].split(" "))
-                e += 1
-            if n < least:
-                continue
-            key = tuple(x for _, x in lines[s:e])
-            if key in runs:
-                gone |= {(d, lines[k][0]) for k in range(s, e)}
-            else:
-                runs[key] = d
+    """(document, line) of the later copies of all maximal runs of ``least`` words: every two equal lines are followed to
+    both ends of the run they stand in."""
+    lines = [[(i, " ".join(x.split())) for i, x in enumerate((text or "").split("\n")) if x.strip(" \t\n\r\x0b\x0c")]
+             for text in docs]
+    places, gone = defaultdict(list), set()
+    for d, own in enumerate(lines):
+        for s, (_, x) in enumerate(own):
+            places[x].append((d, s))
+    for found in places.values():
+        for (d, s), (e, t) in combinations(found, 2):  # the second is the later one
+            if s and t and lines[d][s - 1][1] == lines[e][t - 1][1]:
+                continue  # the run begins before these
+            n = 0
+            while s + n < len(lines[d]) and t + n < len(lines[e]) and lines[d][s + n][1] == lines[e][t + n][1]:
+                n += 1
+            run = lines[e][t:t + n]
+            if sum(len(x.split(" ")) for _, x in run) >= least:
+                gone |= {(e, i) for i, _ in run}
     return gone
 
 
