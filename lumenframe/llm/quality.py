@@ -1,13 +1,14 @@
 """Quality scores: random Fourier features of document statistics, ridge from summed normal equations, isotonic scale.
 
 The features approximate a Gaussian kernel over a fixed set of statistics of the whole text. Every partition of
-labelled rows sums its part of the normal equations; the sums meet by row of the matrix, and the driver solves a system
-whose size is the number of features. Raw scores of the rows set aside for calibration are summed per score bin and
+labelled rows sums its part of the normal equations; the sums meet by row of the matrix, in two rounds, and the driver solves
+a system whose size is the number of features. Raw scores of the rows set aside for calibration are summed per score bin and
 made monotone.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from lumenframe.llm.common import column, whole_text
+from lumenframe.llm.common import column, packed, unpacked, whole_text
 from lumenframe.session import materialise
 
 FEATURES = 256
@@ -28,6 +29,8 @@ SEED = 20_240_511
 BINS = 2_048
 ACCEPT = 0.7
 STATISTICS = 20
+#: Labelled rows per task of the normal equations, so that their sums are far smaller than the rows they come from.
+ROWS_PER_SUM = 20_000
 
 #: UTF-8 bytes by kind: upper, lower, digit, space, sentence marks, other ASCII marks, exclamation, bar, other bytes.
 _KIND = np.full(256, 8, dtype=np.intp)
@@ -111,6 +114,23 @@ def _add_rows(key: tuple, frames: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"i": [key[0]], "sums": [np.sum(np.stack(frames["sums"].to_numpy()), axis=0)]})
 
 
+def summed_equations(model: QualityModel, rows: DataFrame, rows_per_sum: int = ROWS_PER_SUM) -> np.ndarray:
+    """The normal equations of ``rows``: stats, label.
+
+    So many rows are summed by one task that the sums don't grow with the number of partitions; of n tasks' sums about the
+    square root of n meet at once.
+    """
+    tasks = max(1, -(-rows.count() // rows_per_sum))
+    parts = rows.coalesce(tasks).mapInPandas(_sums(model), "i long, sums array<double>")
+    if tasks > 4:
+        group = F.pmod(F.spark_partition_id(), F.lit(math.isqrt(tasks)))
+        parts = parts.withColumn("part", group).groupBy("i", "part").applyInPandas(_add_rows, "i long, sums array<double>")
+    system = np.zeros((FEATURES + 1, FEATURES + 2))
+    for r in parts.groupBy("i").applyInPandas(_add_rows, "i long, sums array<double>").collect():
+        system[r["i"]] = r["sums"]
+    return system
+
+
 def _binned(model: QualityModel):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -147,11 +167,7 @@ def fit(rows: DataFrame) -> QualityModel:
             return QualityModel()
         model = QualityModel(np.array([r["mean"] for r in moments]),
                              np.maximum(np.array([r["sd"] for r in moments]), 1e-6))
-        sums = (rows.filter(~F.col("calibrate")).mapInPandas(_sums(model), "i long, sums array<double>")
-                .groupBy("i").applyInPandas(_add_rows, "i long, sums array<double>").collect())
-        system = np.zeros((FEATURES + 1, FEATURES + 2))
-        for r in sums:
-            system[r["i"]] = r["sums"]
+        system = summed_equations(model, rows.filter(~F.col("calibrate")))
         n = system[-1, FEATURES]
         penalty = np.eye(FEATURES + 1) * RIDGE * n / FEATURES
         penalty[-1, -1] = 1e-9
@@ -187,15 +203,6 @@ def labelled_statistics(table: DataFrame, labels: DataFrame, id: str, label: str
             .select("stats", "label", (F.col("fold") == calibrate).alias("calibrate")))
 
 
-def text_scorer(model: QualityModel):
-    @F.pandas_udf(DoubleType())
-    def score(texts: pd.Series) -> pd.Series:
-        if not len(texts):
-            return pd.Series([], dtype=float)
-        return pd.Series(model.score(np.array([text_statistics(t) for t in texts])))
-    return score
-
-
 def statistics_scorer(model: QualityModel):
     @F.pandas_udf(DoubleType())
     def score(stats: pd.Series) -> pd.Series:
@@ -221,6 +228,9 @@ def score_documents(df: DataFrame, id: str, text: str, labels: DataFrame, label:
 
 def accepted(df: DataFrame, id: str, text: str, labels: DataFrame, label: str = "quality",
              accept: float = ACCEPT) -> DataFrame:
-    """The rows of ``df`` that score at least ``accept``."""
-    score = text_scorer(fit(labelled_statistics(_statistics_table(df, id, text), labels, id, label)))
-    return df.filter(score(whole_text(text)) >= accept)
+    """The rows of ``df`` that score at least ``accept``. The rows are written with their statistics, so that each text is
+    read once; the fit reads the statistics alone."""
+    rows = materialise(df.select(packed(df), column(id).alias("id"), fold(id).alias("fold"),
+                                 statistics(whole_text(text)).alias("stats")), "quality-rows")
+    score = statistics_scorer(fit(labelled_statistics(rows.select("id", "fold", "stats"), labels, id, label)))
+    return unpacked(rows.filter(score("stats") >= accept))
