@@ -22,7 +22,9 @@ from lumenframe.session import materialise
 
 LEAST_DOCUMENTS = 10
 TOP_TERMS = 10
-FLUSH = 1_000_000
+FLUSH = 2_000_000
+#: The kept terms are sent to all tasks while they take no more than so many bytes; beyond that they are joined by a shuffle.
+SENT_BYTES = 32 << 20
 
 #: UTF-8 bytes: letters and bytes above 127 make terms, A-Z as a-z; all others part them.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -30,8 +32,9 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else
 PARTIAL = "lang string, term string, docs long, counts array<struct<source string, n long>>"
 
 
-def text_terms(text: str) -> list[bytes]:
-    return text.encode("utf-8").translate(_FOLD).split()
+def text_terms(text: bytes) -> list[bytes]:
+    """The terms of a text in UTF-8."""
+    return text.translate(_FOLD).split()
 
 
 class _Tally:
@@ -47,7 +50,7 @@ class _Tally:
         self.parts: list[tuple[np.ndarray, np.ndarray, int, int]] = []
         self.size = 0
 
-    def add(self, lang: str, text: str, weights: list[tuple[str, int]]) -> None:
+    def add(self, lang: str, text: bytes, weights: list[tuple[str, int]]) -> None:
         found = Counter(text_terms(text))
         if not found:
             return
@@ -89,10 +92,9 @@ def _term_counter(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = _Tally()
         for batch in batches:
-            columns = [batch.column(c) for c in ("lang", "text", "weights")]
-            for i in range(batch.num_rows):
-                weights = [(w["source"], w["m"]) for w in columns[2][i].as_py()]
-                tally.add(columns[0][i].as_py(), columns[1][i].as_py(), weights)
+            texts = batch.column("text")
+            for i, (lang, weights) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lang", "weights")))):
+                tally.add(lang, texts[i].as_py(), [(w["source"], w["m"]) for w in weights])
                 if tally.size >= most:
                     yield tally.rows()
                     tally.clear()
@@ -115,9 +117,12 @@ def term_counts(rows: DataFrame, least_documents: int = LEAST_DOCUMENTS, flush:
 
     A task sends its sums on whenever it holds ``flush`` of them.
     """
-    partial = materialise(collapsed(rows).mapInArrow(_term_counter(flush), PARTIAL), "term-parts")
+    texts = collapsed(rows).withColumn("text", F.col("text").cast("binary"))
+    partial = materialise(texts.mapInArrow(_term_counter(flush), PARTIAL), "term-parts")
     kept = partial.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least_documents)
-    found = partial.join(kept.select("lang", "term"), ["lang", "term"])
+    kept = materialise(kept.select("lang", "term"), "kept-terms")
+    size = kept.agg(F.sum(F.octet_length("lang") + F.octet_length("term") + 48)).first()[0] or 0
+    found = partial.join(F.broadcast(kept) if size <= SENT_BYTES else kept.hint("shuffle_merge"), ["lang", "term"])
     return (found.select("lang", "term", F.inline("counts")).groupBy("lang", "term", "source")
             .agg(F.sum("n").alias("n")))
 
