@@ -1,8 +1,9 @@
 """Exact duplicates by a tree merge of sorted digest runs.
 
-Every partition holds a sorted run of digests. In each round the runs of a few neighbouring groups meet: the groups
-merge, and the digest space is cut once more among their members, so every round keeps the same number of tasks and
-none gathers the whole (the many-way form of a binomial exchange). A merge reads its runs in order and keeps one entry
+Every partition holds a sorted run of digests. In each round the runs of two neighbouring groups meet: the groups merge,
+and the digest space is cut once more among their members, so every round keeps the same number of tasks and none gathers
+the whole. That is a binomial exchange: n tasks take the logarithm of n to base 2 as rounds. ``fan_in`` lets more groups meet
+in one round, whose runs are then merged many ways at once. A merge reads its runs in order and keeps one entry
 per digest: the smallest identifier and the number of rows. Entries merge only if SHA-256, a second hash of the text
 and its length agree.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from lumenframe.llm.common import ROW, ROW_ID, SPACES, column, look_up, packed, task_count, unpacked, whole_text
 from lumenframe.session import materialise
 
-FAN_IN = 16
+FAN_IN = 2
 KEY = ["sha", "second", "length"]
 ORDER = ["target", *KEY, "id_null", "id", "row"]
 RUN = "target long, sha binary, second long, length long, id_null boolean, id long, row long, n long"
