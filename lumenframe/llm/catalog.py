@@ -90,14 +90,16 @@ f AS (SELECT r, doc_id, source, kind, k, v, CAST(stop - length(m) AS BIGINT) AS
   WHERE CASE k WHEN 0 THEN length(v) >= 12 WHEN 1 THEN length(v) >= 18 WHEN 2 THEN length(v) >= 16
     ELSE length(v) >= 24 AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')
       AND len(list_distinct(string_split(v, ''))) >= 10 END),
-own AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners FROM f GROUP BY v),
-w AS (SELECT f.*, owners FROM f JOIN own USING (v) WHERE k < 3 OR owners = 1),
+own AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT coalesce(source, chr(0)) || ' '
+    || coalesce(CAST(doc_id AS VARCHAR), chr(0))) AS repositories FROM f GROUP BY v),
+w AS (SELECT f.*, owners = 1 AND repositories < 10 AS live, owners >= 3 OR repositories >= 10 AS copied
+  FROM f JOIN own USING (v) WHERE k < 3 OR (owners = 1 AND repositories < 10)),
 x AS (SELECT * FROM w WHERE k < 3 OR NOT EXISTS
   (SELECT 1 FROM w b WHERE b.r = w.r AND b.k < 3 AND b.start < w.stop AND w.start < b.stop)),
 t AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) FILTER (k < 3) AS base_list,
   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans,
-  count(*) FILTER (k = 3) AS n_owned, count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (owners >= 3) AS n_copied
+  count(*) FILTER (k = 3) AS n_owned, count(*) FILTER (live) AS n_live, count(*) FILTER (copied) AS n_copied
   FROM x GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base_list, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owned, 0) AS n_owned,

@@ -1,8 +1,8 @@
 """Secrets in texts, told apart by how many owners share them. Native: DataFrame functions only.
 
 Three fixed kinds of pattern give the base spans. A fourth, wider kind (long mixed runs of credential characters) is only
-a candidate: it becomes a span if its value belongs to a single owner in the whole corpus. Values that several owners
-share are examples that were copied.
+a candidate: it becomes a span if its value looks live. Values that several owners share, or that stand in many
+repositories of whatever owners, are examples that were copied; a value of a single owner in few repositories looks live.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ PATTERNS = (ASSIGN, ACCESS, HEX, OWNED)
 LEAST_VALUE = 12
 LEAST_DISTINCT = 10
 COPIED_OWNERS = 3
+COPIED_REPOSITORIES = 10
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -75,12 +76,12 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan_secrets(df: DataFrame, id: str, text: str, repository: str, owner: str,
-                 copied_owners: int = COPIED_OWNERS) -> DataFrame:
+                 copied_owners: int = COPIED_OWNERS, copied_repositories: int = COPIED_REPOSITORIES) -> DataFrame:
     """One row per row of ``df``: id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_copied.
 
     spans lists kind:start:end by start, then kind. base_sha256 is that of the base kinds' list alone; without any it is
-    the digest of the empty text. n_live counts spans whose value a single owner has, n_copied those that at least
-    ``copied_owners`` owners share. Null texts are empty; a null repository or owner is one of its own; repeated rows
+    the digest of the empty text. n_live counts spans whose value a single owner has in fewer than ``copied_repositories``
+    repositories, n_copied those that at least ``copied_owners`` owners share or that many repositories hold. Null texts are empty; a null repository or owner is one of its own; repeated rows
     have a row each. An empty table gives an empty result.
     """
     body = whole_text(text)
@@ -92,9 +93,11 @@ def scan_secrets(df: DataFrame, id: str, text: str, repository: str, owner: str,
     found = materialise(found.select("row", "kind", "start", "end", "hash", "repository", "owner"), "secret-candidates")
     shared = materialise(ownership(found), "secret-owners")
     rated = look_up(found.select("row", "kind", "start", "end", "hash"), shared, ["hash"], "rows_held")
-    counts = rated.filter((F.col("kind") < 3) | (F.col("owners") == 1))
+    many = F.col("repositories") >= copied_repositories
+    rated = rated.withColumns({"live": (F.col("owners") == 1) & ~many, "copied": (F.col("owners") >= copied_owners) | many})
+    counts = rated.filter((F.col("kind") < 3) | F.col("live"))
     name = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1)
-    span = F.struct("start", "kind", "end", F.concat_ws(":", name, "start", "end").alias("text"), "owners")
+    span = F.struct("start", "kind", "end", F.concat_ws(":", name, "start", "end").alias("text"), "live", "copied")
     per = counts.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("all"))
     base = F.filter("all", lambda s: s["kind"] < 3)
     added = F.filter("all", lambda s: (s["kind"] == 3) & ~F.exists(
@@ -106,8 +109,8 @@ def scan_secrets(df: DataFrame, id: str, text: str, repository: str, owner: str,
         F.sha2(F.array_join(F.transform("base", lambda s: s["text"]), ","), 256).alias("base_sha256"),
         F.array_join(F.transform(listed, lambda s: s["text"]), ",").alias("spans"),
         F.size("added").cast("long").alias("n_owned"),
-        F.size(F.filter(listed, lambda s: s["owners"] == 1)).cast("long").alias("n_live"),
-        F.size(F.filter(listed, lambda s: s["owners"] >= copied_owners)).cast("long").alias("n_copied"))
+        F.size(F.filter(listed, lambda s: s["live"])).cast("long").alias("n_live"),
+        F.size(F.filter(listed, lambda s: s["copied"])).cast("long").alias("n_copied"))
     none = F.lit(0).cast("long")
     full = rows.select("row", "id").join(per, "row", "left")
     numbers = ["n_assign", "n_access", "n_hex"]

@@ -379,6 +379,17 @@ def test_shared_values_are_no_credentials(spark):
     assert got[9]["n_live"] == 3 and got[9]["n_copied"] == 0
 
 
+@pytest.mark.parametrize("documents", [9, 10])
+def test_values_of_one_owner_in_many_documents_are_copied(spark, documents):
+    key = "aB3dE5fG7hJ9kL1mN3pQ5rS7"
+    rows = [(i, f"x {key} y", "o1") for i in range(documents)] + [(0, f"{key} {key}", "o1")]  # a document twice counts once
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secrets.scan_secrets(df, "doc_id", "text", "doc_id", "source").collect()
+    live = documents < 10
+    assert {r["n_owned"] > 0 for r in got} == {live} and {r["n_live"] > 0 for r in got} == {live}
+    assert secrets.scan_secrets(df, "doc_id", "text", "doc_id", "source", copied_repositories=5).filter("n_owned > 0").count() == 0
+
+
 # --- token counts
 
 def test_counts_match_the_tokenizer(odd):
