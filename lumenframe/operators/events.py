@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenframe.operators.ordered import newest_per_group
+from lumenframe.session import materialise
 
 # Event names shown on the dashboard.
 EVENT_NAMES = {
@@ -231,6 +232,19 @@ def sort_history(items: DataFrame, by: str = "date") -> DataFrame:
     return items.orderBy(*orders[by], "id")
 
 
+def placed(ordered: DataFrame, name: str = "place") -> DataFrame:
+    """A sorted frame with each row's place, from 1. The sort deals the rows into ranges; only the sizes of these, one row
+    per range, are summed in one task."""
+    numbered = materialise(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_at", 33)
+    sizes = numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.col("_at").bitwiseAND((1 << 33) - 1)
+    return (numbered.withColumn("_part", part).join(starts, "_part")
+            .withColumn(name, F.col("_start") + inside + 1).drop("_at", "_part", "_start"))
+
+
 def history_stats(items: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     return items.agg(

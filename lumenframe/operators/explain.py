@@ -35,6 +35,8 @@ def linear_contributions(table: DataFrame, key: str, coefficients: dict[str, flo
 
 def tree_nodes(model) -> tuple[list[dict], list[float]]:
     """Nodes of every tree as arrays, and the weight of each tree. The size of a model bounds what is read."""
+    if hasattr(model, "node_arrays"):
+        return model.node_arrays, [1.0 / len(model.node_arrays)] * len(model.node_arrays)
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     path = scratch_path(spark, "trees")
@@ -150,32 +152,88 @@ def table_contributions(x: np.ndarray, tables: list[tuple]) -> np.ndarray:
     return phi
 
 
-def tree_contributions(model, table: DataFrame, key: str, features: list[str], output: int = 1,
-                       keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(key, keep..., x, phi, base, prediction)`` for a tree ensemble; ``output`` picks the class of a forest."""
+def forest_leaves(model, output: int = 1) -> list[tuple]:
+    """The leaves of all trees of an ensemble; ``output`` picks the class of a forest."""
     trees, weights = tree_nodes(model)
-    forest_classes = "RandomForestClassif" in type(model).__name__ or "DecisionTreeClassif" in type(model).__name__
+    forest_classes = ("RandomForestClassif" in type(model).__name__ or "DecisionTreeClassif" in type(model).__name__
+                      or getattr(model, "classes_", 0) > 0)
     leaves = []
     for tree, weight in zip(trees, weights):
         value = tree["value"]
         if forest_classes:
             value = tree["classes"][:, output] / tree["classes"].sum(axis=1)
         leaves += leaf_paths(tree, value * weight)
+    return leaves
+
+
+def all_cuts(leaves: list[tuple], columns: int) -> list[np.ndarray]:
+    """Per column all places at which some tree cuts it."""
+    ends: list[list] = [[] for _ in range(columns)]
+    for _, _, features, _, low, high in leaves:
+        for f, a, b in zip(features, low, high):
+            ends[f] += [a, b]
+    return [np.unique([e for e in own if np.isfinite(e)]) for own in ends]
+
+
+def tree_contributions(model, table: DataFrame, key: str, features: list[str], output: int = 1,
+                       keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, keep..., x, phi, base, prediction)`` for a tree ensemble; ``output`` picks the class of a forest."""
+    return leaf_contributions(forest_leaves(model, output), table, key, features, keep)
+
+
+def leaf_contributions(leaves: list[tuple], table: DataFrame, key: str, features: list[str], keep: tuple[str, ...] = (),
+                       cells: bool | None = None) -> DataFrame:
+    """``tree_contributions`` for the leaves of an ensemble.
+
+    Rows that lie between the same cuts in every column have the same contributions. Where cells of such rows are fewer than
+    a quarter of the rows (counted by a sketch; ``cells`` overrides it), each is explained once, and the rows get theirs by a
+    join on the cell. The number of cells depends on the cuts and not on the rows.
+    """
     base = float(sum(leaf[0] * leaf[1] for leaf in leaves))
-    shared = table.sparkSession.sparkContext.broadcast(leaf_tables(leaves))
+    context = table.sparkSession.sparkContext
+    shared = context.broadcast(leaf_tables(leaves))
     carried = [key, *keep]
-    out = T.StructType([*[table.schema[c] for c in carried],
-                        T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("phi", T.ArrayType(T.DoubleType())),
-                        T.StructField("base", T.DoubleType()), T.StructField("prediction", T.DoubleType())])
+    numbers = T.ArrayType(T.DoubleType())
+    x_field, phi_field = T.StructField("x", numbers), T.StructField("phi", numbers)
+    own = [table.schema[c] for c in carried]
+
+    def explained(x: np.ndarray) -> np.ndarray:
+        tables, others = shared.value
+        return table_contributions(x, tables) + path_contributions(x, others)[0]
 
     def explain(batches):
         for pdf in batches:
             x = pdf[features].to_numpy(dtype=float)
-            tables, others = shared.value
-            phi = table_contributions(x, tables) + path_contributions(x, others)[0]
-            yield pdf[carried].assign(x=list(x), phi=list(phi), base=base, prediction=phi.sum(axis=1) + base)
+            yield pdf[carried].assign(x=list(x), phi=list(explained(x)))
 
-    return table.select(*dict.fromkeys([*carried, *features])).mapInPandas(explain, out)
+    rows = table.select(*dict.fromkeys([*carried, *features]))
+    cuts = context.broadcast(all_cuts(leaves, len(features)))
+
+    def place(batches):
+        for pdf in batches:
+            x = pdf[features].to_numpy(dtype=float)
+            # a value that no interval holds (a gap in the data) lies in a cell of its own
+            at = [np.where(np.isnan(v), -1, np.searchsorted(c, v, side="left")) for v, c in zip(x.T, cuts.value)]
+            at = np.stack(at, axis=1).astype(np.int32) if at else np.zeros((len(x), 0), np.int32)
+            yield pdf[carried].assign(x=list(x), _cell=[r.tobytes() for r in at])
+
+    def explain_cells(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pdf[["_cell"]].assign(phi=list(explained(np.stack(pdf["_x"].to_numpy()).astype(float))))
+
+    placed = rows.mapInPandas(place, T.StructType([*own, x_field, T.StructField("_cell", T.BinaryType())]))
+    if cells is None:
+        seen = placed.agg(F.approx_count_distinct("_cell").alias("cells"), F.count(F.lit(1)).alias("rows")).first()
+        cells = seen["cells"] * 4 < seen["rows"]
+    if cells:
+        distinct = placed.groupBy("_cell").agg(F.any_value("x").alias("_x"))
+        one = distinct.mapInPandas(explain_cells, T.StructType([T.StructField("_cell", T.BinaryType()), phi_field]))
+        found = placed.join(one, "_cell").select(*carried, "x", "phi")
+    else:
+        found = rows.mapInPandas(explain, T.StructType([*own, x_field, phi_field]))
+    total = F.aggregate("phi", F.lit(base), lambda t, v: t + v)
+    return found.select(*carried, "x", "phi", F.lit(base).alias("base"), total.alias("prediction"))
 
 
 # Summaries -----------------------------------------------------------------------------------------------------

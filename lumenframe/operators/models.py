@@ -2,30 +2,32 @@
 
 from __future__ import annotations
 
-import math
-import random
 from dataclasses import dataclass, field
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier)
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lumenframe.operators.anomaly import _deviation, encode, impute
+from lumenframe.operators.boosting import CELL_BYTES, BinnedTrees, bin_edges, cells, fits, packed_cells, score_models
+from lumenframe.operators.extra_trees import ExtraTrees
 from lumenframe.operators.ordered import same, split_row_number
 from lumenframe.operators.profile import categorical_profile, string_columns
 from lumenframe.operators.quantiles import numbers, quantile_map, summarise
-from lumenframe.session import materialise
+from lumenframe.operators.tuning import BATCH, SPACE, TRIALS, TrialStore, best_trial, propose, run_trials
+from lumenframe.session import materialise, scratch_path
 
 FOLDS = 5
-TRIALS = 30
 HOLDOUT = 0.2
-MODELS = ["random_forest", "lightgbm", "xgboost", "logistic_regression"]
+MODELS = list(SPACE)
+#: Models fitted by Spark that run side by side.
+PARALLEL = 4
 
 
 # Preparation ---------------------------------------------------------------------------------------------------
@@ -141,49 +143,78 @@ def accuracy(predicted: DataFrame, label: str = "label", prediction: str = "pred
 # Model space ---------------------------------------------------------------------------------------------------
 
 def draw_params(trial: int, seed: int = 42) -> dict:
-    """Parameters of one trial, drawn from the fixed ranges."""
-    rng = random.Random(f"{seed}-{trial}")
-    log = lambda a, b: math.exp(rng.uniform(math.log(a), math.log(b)))
-    name = MODELS[trial % len(MODELS)] if trial < len(MODELS) else rng.choice(MODELS)
-    if name == "random_forest":
-        return {"model_name": name, "rf_n_estimators": rng.randint(100, 800), "rf_max_depth": rng.randint(3, 30)}
-    if name == "lightgbm":
-        return {"model_name": name, "lgbm_learning_rate": log(0.005, 0.3), "lgbm_n_estimators": rng.randint(100, 1200)}
-    if name == "xgboost":
-        return {"model_name": name, "xgb_n_estimators": rng.randint(100, 1000), "xgb_max_depth": rng.randint(3, 10),
-                "xgb_learning_rate": rng.uniform(0.01, 0.3)}
-    return {"model_name": name, "lr_c": log(0.001, 10.0)}
+    """Parameters of one trial, drawn at random from the fixed ranges; the first trials take the models in turn."""
+    return propose(trial, seed, [])
+
+
+def limited(params: dict, max_trees: int | None) -> dict:
+    """``params`` with at most ``max_trees`` trees."""
+    return {k: min(v, max_trees) if max_trees and k.endswith("n_estimators") else v for k, v in params.items()}
 
 
 def build_classifier(params: dict, classes: int = 2, rows: int = 1, seed: int = 42, max_trees: int | None = None):
-    """Estimator for drawn or stored parameters. Both boosters become Spark's gradient-boosted trees."""
+    """Estimator for drawn or stored parameters: binned trees (see ``boosting``) or a logistic regression, whose penalty
+    is that of a sum of losses over ``rows``."""
     name = str(params.get("model_name", "")).lower()
-    count = lambda n: min(int(n), max_trees) if max_trees else int(n)
-    if name == "random_forest":
-        return RandomForestClassifier(numTrees=count(params["rf_n_estimators"]), maxDepth=int(params["rf_max_depth"]),
-                                      seed=seed)
-    if name in ("lightgbm", "xgboost"):
-        if name == "lightgbm":
-            boosted = GBTClassifier(maxIter=count(params["lgbm_n_estimators"]),
-                                    stepSize=float(params["lgbm_learning_rate"]), maxDepth=5, seed=seed)
-        else:
-            boosted = GBTClassifier(maxIter=count(params["xgb_n_estimators"]), maxDepth=int(params["xgb_max_depth"]),
-                                    stepSize=float(params["xgb_learning_rate"]), seed=seed)
-        return boosted if classes <= 2 else OneVsRest(classifier=boosted)
+    if name in ("random_forest", "lightgbm", "xgboost"):
+        return BinnedTrees(limited({**params, "model_name": name}, max_trees), classes, seed)
     if name == "logistic_regression":
         return LogisticRegression(regParam=1.0 / (float(params["lr_c"]) * max(rows, 1)), maxIter=200,
                                   standardization=False)
     raise ValueError("params must include model_name as one of: " + ", ".join(repr(m) for m in MODELS))
 
 
+class PreparedFolds:
+    """A table with ``fold``, prepared once per fold: the preparation is fitted on the other folds. All models of a search
+    are tried on what is written here."""
+
+    def __init__(self, table: DataFrame, features: list[str], classes: int, folds: int = FOLDS, seed: int = 42,
+                 cell_bytes: int = CELL_BYTES):
+        self.classes, self.seed = max(2, classes), seed
+        parts = []
+        for f in range(folds):
+            ready = preparation(table, features).fit(table.filter(F.col("fold") != f)).transform(table)
+            parts.append(ready.select(F.lit(f).alias("split"), (F.col("fold") == f).alias("held"), "label", "features",
+                                      vector_to_array("features").alias("f")))
+        self.rows = materialise(reduce(DataFrame.unionByName, parts), "prepared-folds")
+        edges = bin_edges(self.rows.filter(~F.col("held")), ["split"])
+        self.widths = {k: [len(e) + 1 for e in own] for k, own in edges.items()}
+        known = self.rows.filter(F.col("split").isin([k[0] for k in edges]))  # a fold may hold all rows
+        cells_ = materialise(cells(known, ["split", "held"], edges), "fold-cells")
+        self.packed = None
+        if all(fits(cells_.filter(F.col("split") == k[0]), w, cell_bytes) for k, w in self.widths.items()):
+            self.packed = materialise(packed_cells(cells_, "split"), "packed-cells")
+
+    def _alone(self, fold: int, params: dict) -> tuple[float, float]:
+        """One model fitted by Spark over all rows of a fold."""
+        own = self.rows.filter(F.col("split") == fold)
+        learnt = own.filter(~F.col("held"))
+        model = build_classifier(params, self.classes, learnt.count(), self.seed).fit(learnt)
+        found = accuracy(model.transform(own.filter("held"))).first()
+        return (found["accuracy"] or 0.0) * found["rows"], float(found["rows"])
+
+    def evaluate(self, fold: int, models: list[tuple[int, dict]]) -> dict:
+        """``{number: (hits, rows)}`` on the held rows of a fold."""
+        if (fold,) not in self.widths:
+            return {}
+        trees = [(m, p) for m, p in models if self.packed is not None and p["model_name"] != "logistic_regression"]
+        others = [(m, p) for m, p in models if (m, p) not in trees]
+        with ThreadPool(1 + min(len(others), PARALLEL)) as pool:
+            grown = pool.apply_async(score_models, (
+                self.packed.filter(F.col("split") == fold) if trees else None, "split", [(m, fold, p) for m, p in trees],
+                self.widths, self.classes, self.seed)) if trees else None
+            found = dict(zip([m for m, _ in others], pool.map(lambda x: self._alone(fold, x[1]), others, chunksize=1)))
+            if grown:
+                found |= {m: v for (m, _), v in grown.get().items()}
+        return found
+
+
 def cross_validate(df: DataFrame, features: list[str], params: dict, classes: int, folds: int = FOLDS,
                    seed: int = 42, max_trees: int | None = None) -> float:
     """Mean accuracy over the folds of column ``fold``; preparation is fitted inside each fold."""
-    rows = df.count()
-    flow = Pipeline(stages=[preparation(df, features), build_classifier(params, classes, rows, seed, max_trees)])
-    found = CrossValidator(estimator=flow, estimatorParamMaps=[{}], numFolds=folds, foldCol="fold",
-                           evaluator=MulticlassClassificationEvaluator(metricName="accuracy")).fit(df)
-    return float(found.avgMetrics[0])
+    ready = PreparedFolds(df, features, classes, folds, seed)
+    scores = [ready.evaluate(f, [(0, limited(params, max_trees))]).get(0, (0.0, 0.0)) for f in range(folds)]
+    return sum(hits / rows if rows else 0.0 for hits, rows in scores) / folds
 
 
 @dataclass
@@ -193,27 +224,30 @@ class SearchResult:
     model: PipelineModel
     classes: list
     trials: DataFrame
+    store: TrialStore
     extras: dict = field(default_factory=dict)
 
 
 def search(df: DataFrame, key: str, features: list[str], target: str, trials: int = TRIALS, folds: int = FOLDS,
-           seed: int = 42, max_trees: int | None = None, parallel: int = 4) -> SearchResult:
-    """Seeded random search over the model space, then a refit of the winner on all rows.
+           seed: int = 42, max_trees: int | None = None, store: str | None = None, batch_size: int = BATCH) -> SearchResult:
+    """Guided search over the model space (see ``tuning``), then a refit of the winner on all rows.
 
-    Trials run side by side as Spark jobs over one written table.
+    ``store`` is a folder for the trials; given one that holds part of the same search, the search goes on from there.
     """
+    spark = df.sparkSession
     labelled, classes = with_label(df.select(key, *features, target), target)
     table = materialise(stratified_folds(labelled, key, "label", folds, seed), "folds")
-    drawn = [draw_params(i, seed) for i in range(trials)]
-    with ThreadPool(parallel) as pool:
-        scores = pool.map(lambda p: cross_validate(table, features, p, len(classes), folds, seed, max_trees), drawn)
-    best = max(range(trials), key=lambda i: (scores[i], -i))
-    rows = [(i, p["model_name"], {k: str(v) for k, v in p.items() if k != "model_name"}, s)
-            for i, (p, s) in enumerate(zip(drawn, scores))]
-    frame = df.sparkSession.createDataFrame(
-        rows, "trial int, model_name string, params map<string,string>, score double")
-    model = train(table, features, drawn[best], len(classes), seed, max_trees)
-    return SearchResult(drawn[best], scores[best], model, classes, frame)
+    kept = TrialStore(spark, store or scratch_path(spark, "trials"))
+    ready = PreparedFolds(table, features, len(classes), folds, seed)
+    done = run_trials(kept, folds, lambda fold, models: ready.evaluate(fold, [(m, limited(p, max_trees)) for m, p in models]),
+                      trials, seed, batch_size)
+    best = best_trial(done)
+    rows = [(t.number, t.params["model_name"], {k: str(v) for k, v in t.params.items() if k != "model_name"}, t.mean,
+             len(t.scores), t.stopped) for t in done]
+    frame = spark.createDataFrame(
+        rows, "trial int, model_name string, params map<string,string>, score double, folds int, stopped boolean")
+    model = train(table, features, best.params, len(classes), seed, max_trees)
+    return SearchResult(best.params, best.mean, model, classes, frame, kept)
 
 
 def train(labelled: DataFrame, features: list[str], params: dict, classes: int = 2, seed: int = 42,
@@ -230,11 +264,10 @@ def build_explained_model(name: str, problem: str, rows: int, seed: int = 42, tr
                           classes: int = 2):
     """Registry of models that can be explained; an unknown name falls back to ridge or a random forest.
 
-    Spark has no extra-trees models: their names are refused rather than given another model. Boosted trees know two
-    classes; with more there is one model per class.
+    Boosted trees know two classes; with more there is one model per class.
     """
-    if name.startswith("ExtraTrees"):
-        raise ValueError(f"{name} has no counterpart in Spark; name a random forest instead")
+    if name in ("ExtraTreesRegressor", "ExtraTreesClassifier") and name.endswith("Regressor") == (problem == "regression"):
+        return ExtraTrees(0 if problem == "regression" else classes, trees, depth, seed)
     if problem == "regression":
         if name in ("RandomForestRegressor", "random_forest"):
             return RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed)

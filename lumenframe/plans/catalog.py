@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenframe.plans.inputs import checking_sql
 
 MODULES = ["profile", "events", "documents", "privacy", "sessions", "anomalies", "drift", "alerts", "streams", "files",
-           "models"]
+           "models", "stored"]
 
 
 def _loaded():

@@ -248,7 +248,7 @@ FROM passages""",
     "f14_prompts": f"""WITH {_PASSAGES}, ctx AS (SELECT query_id, string_agg('[Source ' || position || ': ' || source
   || ', page ' || page || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY position) AS c
   FROM passages GROUP BY 1)
-SELECT query_id, CASE WHEN lang = 'en' THEN {_INSTRUCTION['en']} ELSE {_INSTRUCTION['fr']} END || chr(10) || chr(10)
+SELECT doc_id AS query_id, CASE WHEN lang = 'en' THEN {_INSTRUCTION['en']} ELSE {_INSTRUCTION['fr']} END || chr(10) || chr(10)
   || 'CONTEXTE:' || chr(10) || CASE WHEN length(c) > 3000 THEN substr(c, 1, 3000) || '...' ELSE coalesce(c, '') END || chr(10)
   || chr(10) || 'QUESTION: Passages like ' || doc_id || chr(10) || chr(10) || 'RÉPONSE:' AS prompt
 FROM (SELECT * FROM documents WHERE doc_id % 50 = 0) LEFT JOIN ctx ON doc_id = query_id""",

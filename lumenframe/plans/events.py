@@ -109,8 +109,8 @@ def g11_history_search(spark, sf):
 
 def g12_history_sort(spark, sf):
     """The whole history, with each row's place in the order."""
-    items = ev.sort_history(ev.history_items(_runs(spark, sf)), "confidence")
-    return items.select("id", "confidence", "status")
+    items = ev.placed(ev.sort_history(ev.history_items(_runs(spark, sf)), "confidence"))
+    return items.select("id", "confidence", "status", "place")
 
 
 def g13_history_stats(spark, sf):
@@ -215,8 +215,8 @@ FROM e WHERE user_id = 0 ORDER BY created_at DESC, id LIMIT 20 OFFSET 5""",
 WHERE (contains(lower(query), 'en ') OR contains(lower(result), 'en ')) AND status = 'SUCCESS'
   AND confidence <> 0 AND confidence >= 0.2
   AND timestamp >= (SELECT MAX(timestamp) FROM items) - INTERVAL 168 HOUR""",
-    "g12_history_sort": f"WITH {ITEMS_SQL} SELECT id, confidence, status FROM items "
-                        "ORDER BY confidence DESC, id LIMIT 50",
+    "g12_history_sort": f"WITH {ITEMS_SQL} SELECT id, confidence, status, "
+                        "ROW_NUMBER() OVER (ORDER BY confidence DESC, id) AS place FROM items",
     "g13_history_stats": f"""WITH {ITEMS_SQL} SELECT COUNT(*) AS total_queries,
   ROUND(100.0 * COUNT(*) FILTER (WHERE status = 'SUCCESS') / COUNT(*), 4) AS success_rate,
   ROUND(AVG(confidence), 4) AS average_confidence FROM items""",

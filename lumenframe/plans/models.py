@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -15,6 +19,10 @@ NUMERIC = ["l_quantity", "l_discount", "l_tax"]
 
 # Stated weights, so that the explanations can be checked by SQL.
 WEIGHTS = {"l_quantity": 1500.0, "l_discount": -900.0, "l_tax": 250.5}
+#: A stated tree: column (of NUMERIC), cut, left and right node, value.
+TREE = [(0, 24.0, 1, 2, 0.0), (1, 0.05, 3, 4, 0.0), (0, 40.0, 5, 6, 0.0), (2, 0.03, 7, 8, 0.0), (0, 10.0, 9, 10, 0.0),
+        (2, 0.04, 11, 12, 0.0), (0, 0.0, None, None, 90.0), (0, 0.0, None, None, 12.0), (0, 0.0, None, None, 20.5),
+        (0, 0.0, None, None, 5.0), (0, 0.0, None, None, 17.0), (0, 0.0, None, None, 48.0), (0, 0.0, None, None, 61.25)]
 
 
 def _classes(spark, sf):
@@ -33,7 +41,7 @@ def d01_prepared(spark, sf):
 
 
 def d02_model_space(spark, sf):
-    """Every model of the space fitted once on the whole table: (model, accuracy above one half)."""
+    """Every model of the space fitted once on the whole table: (model, rows, accuracy above one half)."""
     table, classes = md.with_label(_classes(spark, sf), "quality")
     found = None
     for i in range(len(md.MODELS)):
@@ -50,7 +58,7 @@ def d03_folds(spark, sf):
 
 def d04_search(spark, sf):
     found = md.search(_classes(spark, sf), "doc_id", CLASS_FEATURES, "quality")
-    return found.trials.select("trial", "model_name", "score")
+    return found.trials.select("trial", "model_name", "score", "folds", "stopped")
 
 
 def d05_refit(spark, sf):
@@ -90,6 +98,30 @@ def d08_tree_additivity(spark, sf):
     return found.select("id", (F.abs(F.col("own") - F.col("prediction")) < 1e-6).alias("additive"))
 
 
+def d08_tree_contributions(spark, sf):
+    """Contributions of a stated tree, whose covers are counted in the data."""
+    rows = _lines(spark, sf).select("id", *NUMERIC)
+    paths = [F.lit(True)]
+    nodes: list = [None] * len(TREE)
+
+    def visit(i, where):
+        nodes[i] = where
+        feature, cut, left, right, _ = TREE[i]
+        if left is not None:
+            visit(left, where & (F.col(NUMERIC[feature]) <= cut))
+            visit(right, where & (F.col(NUMERIC[feature]) > cut))
+    visit(0, paths[0])
+    cover = rows.agg(*[F.count_if(w).alias(f"c{i}") for i, w in enumerate(nodes)]).first()
+    tree = {"feature": np.array([n[0] for n in TREE]), "cut": np.array([n[1] for n in TREE]),
+            "left": np.array([-1 if n[2] is None else n[2] for n in TREE]),
+            "right": np.array([-1 if n[3] is None else n[3] for n in TREE]),
+            "cover": np.array([float(cover[f"c{i}"]) for i in range(len(TREE))])}
+    leaves = ex.leaf_paths(tree, np.array([n[4] for n in TREE]))
+    found = ex.leaf_contributions(leaves, rows, "id", NUMERIC)
+    return found.select("id", *[F.round(F.col("phi")[i], 6).alias(c) for i, c in enumerate(NUMERIC)],
+                        F.round("base", 6).alias("base"), F.round("prediction", 6).alias("prediction"))
+
+
 def d09_importance(spark, sf):
     return ex.global_importance(_linear(spark, sf), list(WEIGHTS))
 
@@ -113,10 +145,11 @@ def d10_local_explanations(spark, sf):
 
 
 def d11_clean_refit(spark, sf):
-    """Ridge, lasso, elastic net and boosted trees on the same clean table: how much variance each explains."""
+    """Ridge, lasso, elastic net, boosted and extremely randomised trees on the same clean table: how much variance each
+    explains."""
     table = md.clean_table(_lines(spark, sf), "id", REGRESSION, "l_extendedprice", "regression")
     found = None
-    for name in ("Ridge", "Lasso", "ElasticNet", "GradientBoostingRegressor"):
+    for name in ("Ridge", "Lasso", "ElasticNet", "GradientBoostingRegressor", "ExtraTreesRegressor"):
         model = md.fit_clean_model(table, REGRESSION, name, "regression")
         fitted = ex.predictions(model, table, REGRESSION)
         r2 = 1 - F.sum(F.pow(F.col("label") - F.col("prediction"), F.lit(2.0))) / (
@@ -165,6 +198,44 @@ loc AS (SELECT id, CAST(ROW_NUMBER() OVER (PARTITION BY id ORDER BY ABS(p) DESC,
   ROUND(value, 4) AS value, ROUND(p, 4) AS shap_contribution, CASE WHEN p > 0 THEN 'positive' ELSE 'negative' END
   AS direction, ROUND(prediction, 4) AS prediction, ROUND((SELECT AVG(prediction) FROM phi), 4) AS baseline FROM flat)""")
 
+
+
+def _covers() -> str:
+    """Share of the rows of each node, of its parent's."""
+    where = ["TRUE"] * len(TREE)
+    for i, (feature, cut, left, right, _) in enumerate(TREE):
+        if left is not None:
+            where[left] = f"{where[i]} AND {NUMERIC[feature]} <= {cut}"
+            where[right] = f"{where[i]} AND {NUMERIC[feature]} > {cut}"
+    return "cov AS (SELECT " + ", ".join(f"count(*) FILTER ({w})::DOUBLE AS c{i}" for i, w in enumerate(where)) + " FROM regression)"
+
+
+def _expected(i: int, known: tuple[int, ...]) -> str:
+    """Mean of the tree below node ``i`` for a row whose columns ``known`` are given."""
+    feature, cut, left, right, value = TREE[i]
+    if left is None:
+        return f"{value}::DOUBLE"
+    a, b = _expected(left, known), _expected(right, known)
+    if feature in known:
+        return f"CASE WHEN {NUMERIC[feature]} <= {cut} THEN {a} ELSE {b} END"
+    return f"(c{left} * {a} + c{right} * {b}) / c{i}"
+
+
+def _enumerated() -> str:
+    """Shapley values by enumeration of all subsets of the columns."""
+    d = len(NUMERIC)
+    subsets = [s for n in range(d + 1) for s in itertools.combinations(range(d), n)]
+    name = lambda s: "v" + "".join(map(str, s))
+    parts = []
+    for f in range(d):
+        terms = [f"{math.factorial(len(s)) * math.factorial(d - len(s) - 1) / math.factorial(d)!r} * ("
+                 f"{name(tuple(sorted((*s, f))))} - {name(s)})" for s in subsets if f not in s]
+        parts.append(f"ROUND({' + '.join(terms)}, 6) AS {NUMERIC[f]}")
+    return (f"WITH {_covers()}, e AS (SELECT id, " + ", ".join(f"{_expected(0, s)} AS {name(s)}" for s in subsets)
+            + " FROM regression, cov) SELECT id, " + ", ".join(parts)
+            + f", ROUND(v, 6) AS base, ROUND({name(tuple(range(d)))}, 6) AS prediction FROM e")
+
+
 SQL = {
     "d01_prepared": """SELECT doc_id, ROUND((n_chars - AVG(n_chars) OVER ()) / STDDEV_POP(n_chars) OVER (), 4) + 0.0
   AS n_chars_scaled, 2.0::DOUBLE AS ones FROM classification""",
@@ -176,6 +247,7 @@ SQL = {
     "d07_linear_contributions": f"WITH {_LINEAR} SELECT id, " + ", ".join(
         f"ROUND(p_{c}, 8) AS {c}" for c in WEIGHTS) + ", ROUND(prediction, 8) AS prediction FROM phi",
     "d08_tree_additivity": "SELECT id, true AS additive FROM regression",
+    "d08_tree_contributions": _enumerated(),
     "d09_importance": f"WITH {_IMP} SELECT CAST(rank AS INTEGER) AS rank, feature, importance, importance_percentage FROM imp",
     "d10_local_explanations": f"WITH {_LOC} SELECT * FROM loc",
     "d12_importance_summary": f"""WITH {_IMP} SELECT COUNT(*) AS total_features, ROUND(AVG(importance), 4) AS mean_importance,
@@ -198,5 +270,5 @@ UNION ALL SELECT id, 6, 'Prediction', 0.0, 'total', prediction, 'darkgreen' FROM
 }
 
 QUERIES = [d01_prepared, d02_model_space, d03_folds, d04_search, d05_refit, d06_holdout, d06_holdout_accuracy,
-           d07_linear_contributions, d08_tree_additivity, d09_importance, d09_class_importance, d10_local_explanations,
+           d07_linear_contributions, d08_tree_additivity, d08_tree_contributions, d09_importance, d09_class_importance, d10_local_explanations,
            d11_clean_refit, d12_importance_summary, d13_importance_bars, d14_waterfall, d15_force_data]

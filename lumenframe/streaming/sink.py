@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from lumenframe.operators.stored import StoredTable
 from lumenframe.session import scratch_path
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -51,6 +52,24 @@ def run_available(stream: DataFrame, mode: str = "update", label: str = "stream"
     return spark.read.parquet(f"{base}/rows")
 
 
+def merge_available(stream: DataFrame, table: StoredTable, fresh: Callable[[DataFrame], DataFrame],
+                    combine: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str, writer: str = "stream") -> int:
+    """Merge what is there into a stored table, a micro-batch at a time; returns the number of batches that changed it.
+
+    The table remembers the last batch of each writer, so a batch that comes again after a crash is left out.
+    """
+    changed = []
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        rows = fresh(batch)
+        if table.merge(rows, combine, writer, epoch):
+            changed.append(epoch)
+
+    (stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).foreachBatch(write).start().awaitTermination())
+    return len(changed)
+
+
 def latest_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
     """An update-mode result as a table: the last written row per key."""
     rest = [c for c in rows.columns if c not in keys and c != "epoch"]

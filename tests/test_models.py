@@ -41,12 +41,14 @@ def test_unknown_model_name_is_refused():
 
 
 @pytest.mark.parametrize("params,kind", [
-    ({"model_name": "random_forest", "rf_n_estimators": 10, "rf_max_depth": 3}, "RandomForestClassifier"),
-    ({"model_name": "lightgbm", "lgbm_learning_rate": 0.1, "lgbm_n_estimators": 10}, "GBTClassifier"),
-    ({"model_name": "xgboost", "xgb_n_estimators": 10, "xgb_max_depth": 3, "xgb_learning_rate": 0.1}, "GBTClassifier"),
+    ({"model_name": "random_forest", "rf_n_estimators": 10, "rf_max_depth": 3}, "BinnedTrees"),
+    ({"model_name": "lightgbm", "lgbm_learning_rate": 0.1, "lgbm_n_estimators": 10}, "BinnedTrees"),
+    ({"model_name": "xgboost", "xgb_n_estimators": 10, "xgb_max_depth": 3, "xgb_learning_rate": 0.1}, "BinnedTrees"),
     ({"model_name": "logistic_regression", "lr_c": 1.0}, "LogisticRegression")])
 def test_params_map_to_models(spark, params, kind):
-    assert type(md.build_classifier(params)).__name__ == kind
+    built = md.build_classifier(params)
+    assert type(built).__name__ == kind
+    assert kind != "BinnedTrees" or built.params_ == params
 
 
 def test_unseen_value_sets_no_column(spark, binary):

@@ -77,11 +77,6 @@ def test_explanations_of_three_classes(spark, name):
     assert off.filter(off.columns[0].join("``") + " > 1e-6").count() == 0
 
 
-def test_extra_trees_are_refused():
-    with pytest.raises(ValueError):
-        md.build_explained_model("ExtraTreesRegressor", "regression", 10)
-
-
 def test_error_windows_that_calm_down_leave(spark):
     """Errors arrive first, many good requests of the same windows in a later file."""
     base = scratch_path(spark, "requests")
