@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lumenframe.session import scratch_path
+
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
 ROW = "_lf_row"
@@ -14,6 +16,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A fresh scratch path with its scheme, for files that tasks write themselves: a folder without a scheme is one of Spark's
+    default file system, not of the executor's own disk."""
+    path = scratch_path(spark, label)
+    if "://" in path or path.startswith("file:"):
+        return path
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = there.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(there).toString()
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def task_count(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
