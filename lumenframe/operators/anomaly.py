@@ -296,9 +296,16 @@ def with_isolation_score(matrix: DataFrame, key: str, features: list[str], trees
 # Ensemble ------------------------------------------------------------------------------------------------------
 
 def anomaly_scores(df: DataFrame, key: str, contamination: float = CONTAMINATION, seed: int = 42,
-                   models: tuple = ("isolation", "histogram", "neighbour"), k: int = NEIGHBOURS) -> DataFrame:
-    """Per row: model scores in 0..1, their mean, the label, the robust distance and the hybrid score."""
+                   models: tuple = ("isolation", "histogram", "neighbour"), k: int = NEIGHBOURS,
+                   neighbours: str = "exact") -> DataFrame:
+    """Per row: model scores in 0..1, their mean, the label, the robust distance and the hybrid score.
+
+    ``neighbours`` is exact or approximate; the latter is for ten columns and more.
+    """
+    from lumenframe.operators.near_trees import approximate_scores
     from lumenframe.operators.neighbours import neighbour_scores
+    if neighbours not in ("exact", "approximate"):
+        raise ValueError("neighbours must be exact or approximate")
     if df.limit(MIN_ROWS).count() < MIN_ROWS:
         raise ValueError(f"at least {MIN_ROWS} rows are needed")
     features = feature_columns(df, key)
@@ -313,7 +320,8 @@ def anomaly_scores(df: DataFrame, key: str, contamination: float = CONTAMINATION
         scores = with_isolation_score(scores, key, features, seed=seed)
     scores = scores.drop(*features)
     if "neighbour" in models:
-        scores = scores.join(neighbour_scores(matrix, key, features, k), key)
+        kth = neighbour_scores if neighbours == "exact" else approximate_scores
+        scores = scores.join(kth(matrix, key, features, k), key)
     numeric = [c for c in features if c not in string_columns(df)]
     if numeric:
         scores = scores.join(distance_scores(df, key, numeric), key)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lumenframe.functions.text import fixed
+from lumenframe.operators.dates import is_blank, read_date
 from lumenframe.operators.quantiles import numbers, quantile_map, summarise
 from lumenframe.session import materialise
 
@@ -19,8 +20,6 @@ OUTLIER_PERCENT = 5
 DOMINANCE_PERCENT = 50
 STRONG, VERY_STRONG = 0.7, 0.9
 
-DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "MM/dd/yyyy", "yyyy/MM/dd"]
-
 # Words in a column name that hint at a prediction target.
 TARGET_WORDS = ["churn", "target", "label", "fraud", "default", "attrition", "survived", "outcome", "result",
                 "churned", "cancelled", "converted", "purchased", "clicked", "defaulted"]
@@ -56,12 +55,16 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("copies")))
 
 
-def parse_time(value: Column, formats: list[str] = DATE_FORMATS) -> Column:
+def parse_time(value: Column, formats: list[str]) -> Column:
     return F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in formats])
 
 
-def column_types(df: DataFrame, formats: list[str] = DATE_FORMATS) -> DataFrame:
-    """``(ordinal, column, semantic_type)``: numeric, datetime, categorical, text or unknown."""
+def column_types(df: DataFrame, formats: list[str] | None = None) -> DataFrame:
+    """``(ordinal, column, semantic_type)``: numeric, datetime, categorical, text or unknown.
+
+    A text column is datetime if every value that is not blank is a date, in any form that ``dates`` knows or, if given, in one
+    of ``formats``.
+    """
     strings = string_columns(df)
     known = {}
     for f in df.schema.fields:
@@ -79,13 +82,15 @@ def column_types(df: DataFrame, formats: list[str] = DATE_FORMATS) -> DataFrame:
         return base.select("ordinal", "column", F.col("known").alias("semantic_type"))
     shape = value_counts(df, strings).groupBy("column").agg(
         F.count(F.lit(1)).alias("distinct_values"),
-        F.count_if(parse_time(F.col("value"), formats).isNotNull()).alias("dates"))
+        F.count_if(parse_time(F.col("value"), formats).isNotNull() if formats else
+                   read_date(F.col("value"))["form"].isNotNull()).alias("dates"),
+        F.count_if(is_blank(F.col("value"))).alias("blanks"))
     distinct = F.coalesce("distinct_values", F.lit(0))
     dates = F.coalesce("dates", F.lit(0))
     few = (distinct <= CATEGORY_MAX) | ((F.col("rows") > CATEGORY_MIN_ROWS)
                                         & (F.try_divide(distinct, F.col("rows")) < CATEGORY_RATIO))
     kind = (F.when(F.col("known").isNotNull(), F.col("known"))
-            .when((dates > 0) & (dates == distinct), "datetime")
+            .when((dates > 0) & (dates + F.coalesce("blanks", F.lit(0)) == distinct), "datetime")
             .when(few, "categorical").otherwise("text"))
     return base.join(F.broadcast(shape), "column", "left").select("ordinal", "column", kind.alias("semantic_type"))
 
@@ -302,7 +307,7 @@ def insights(numeric: DataFrame, categorical: DataFrame, pairs: DataFrame, missi
     return found
 
 
-def profile_table(df: DataFrame, formats: list[str] = DATE_FORMATS) -> dict[str, DataFrame]:
+def profile_table(df: DataFrame, formats: list[str] | None = None) -> dict[str, DataFrame]:
     """Every profile frame of one table. The column types decide what counts as categorical."""
     types = materialise(column_types(df, formats), "column-types")
     kinds = {r["column"]: r["semantic_type"] for r in types.collect()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenframe.operators import anomaly as an, neighbours as nb
+from lumenframe.operators import anomaly as an, near_trees as nt, neighbours as nb
 from lumenframe.plans.inputs import table, view
 from lumenframe.plans.shape import rounded
 
@@ -62,6 +62,14 @@ def c06_neighbour_scores(spark, sf):
     return scores.select("c_custkey", rounded("neighbour_score"))
 
 
+def c06_approximate_recall(spark, sf):
+    """The approximate mode on twelve columns of the embeddings: the share of rows whose k-th distance is the true one."""
+    rows = table(spark, sf, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(12)])
+    names = [f"x{i}" for i in range(12)]
+    exact, near = nb.neighbour_scores(rows, "vec_id", names, 5), nt.approximate_scores(rows, "vec_id", names, 5, leaf_rows=128)
+    return nt.score_recall(exact, near, "vec_id")
+
+
 def c07_isolation_scores(spark, sf):
     scaled = an.scaled_matrix(_rows(spark, sf), "row_key", FEATURES)
     return an.isolation_scores(scaled, "row_key", FEATURES)
@@ -100,6 +108,19 @@ def c12_full_ensemble(spark, sf):
     return an.anomaly_totals(an.anomaly_scores(orders, "o_orderkey"))
 
 
+def c08_full_scores(spark, sf):
+    """Scores, labels and severities of all three models over the customers."""
+    found = an.anomaly_scores(_customers(spark, sf), "c_custkey")
+    names = ("isolation_score", "histogram_score", "neighbour_score", "ensemble_score", "hybrid_score")
+    return found.select("c_custkey", *[rounded(c, 8) for c in names], "label", "severity")
+
+
+def c13_full_top(spark, sf):
+    """The ten most anomalous customers of all three models."""
+    found = an.anomaly_scores(_customers(spark, sf), "c_custkey")
+    return an.top_anomalies(found, "c_custkey", 10).select("c_custkey", "severity", rounded("hybrid_score", 8))
+
+
 def c13_top_anomalies(spark, sf):
     top = an.top_anomalies(_ensemble(spark, sf), "c_custkey", 10)
     return top.select("c_custkey", "severity", rounded("hybrid_score"))
@@ -188,5 +209,5 @@ SELECT c_custkey, feature, ROUND(p, 4) AS percentile FROM pct WHERE p > 95 OR p
 }
 
 QUERIES = [c01_ordinal_codes, c01_encoded, c02_imputed, c03_scaled, c04_distance_scores, c05_histogram_scores,
-           c06_neighbour_scores, c07_isolation_scores, c08_ensemble_scores, c09_labels, c10_hybrid_scores,
-           c11_severities, c12_anomaly_totals, c12_full_ensemble, c13_top_anomalies, c14_driving_features]
+           c06_neighbour_scores, c06_approximate_recall, c07_isolation_scores, c08_ensemble_scores, c09_labels, c10_hybrid_scores,
+           c11_severities, c12_anomaly_totals, c12_full_ensemble, c08_full_scores, c13_full_top, c13_top_anomalies, c14_driving_features]

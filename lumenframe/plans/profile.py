@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenframe.operators import profile as pr
-from lumenframe.plans.inputs import view
+from lumenframe.operators import dates, profile as pr
+from lumenframe.plans.inputs import table, view
 from lumenframe.plans.shape import rounded
 
 NUMERIC = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "constant_col"]
@@ -23,6 +23,26 @@ def b01_column_types(spark, sf):
     return pr.column_types(_table(spark, sf)).select("column", "semantic_type")
 
 
+def _dated(spark, sf):
+    """Order dates as texts in one form, in several, and with a value that is no date."""
+    d, key = F.col("o_orderdate"), F.col("o_orderkey")
+    form = lambda f: F.date_format(d, f)
+    mixed = (F.when(key % 4 == 0, form("yyyy-MM-dd")).when(key % 4 == 1, form("MM/dd/yyyy"))
+             .when(key % 4 == 2, form("MMM d, yyyy")).otherwise(form("yyyy-MM-dd'T'HH:mm:ss'Z'")))
+    return table(spark, sf, "orders").select(
+        form("MM/dd/yyyy").alias("month_day"), form("dd.MM.yyyy").alias("day_month"), form("d MMM yyyy").alias("named"),
+        mixed.alias("mixed"), F.when(key % 100 == 7, "31/02/2024").otherwise(form("yyyy-MM-dd")).alias("broken"))
+
+
+def b01_date_forms(spark, sf):
+    rows = _dated(spark, sf)
+    return dates.date_forms(pr.value_counts(rows, rows.columns))
+
+
+def b01_date_columns(spark, sf):
+    return pr.column_types(_dated(spark, sf)).select("column", "semantic_type")
+
+
 def b02_missing_values(spark, sf):
     return pr.missing_values(_table(spark, sf))
 
@@ -193,7 +213,21 @@ _ALL_PARTS = ", ".join(["pairs AS (" + _correlation_sql(NUMERIC, "profile_input"
 _TOP3 = "(SELECT string_agg('- ' || insight || chr(10), '' ORDER BY priority, ordinal, step) FROM (SELECT * FROM lines ORDER BY priority, ordinal, step LIMIT 3))"
 _FACT = """f AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE l_extendedprice > 100000) AS a FROM profile_input)"""
 
+_DATED = """o AS (SELECT o_orderkey % 4 AS k, o_orderkey % 100 = 7 AS bad, o_orderdate AS d FROM orders),
+v AS (SELECT 'month_day' AS "column", strftime(d, '%m/%d/%Y') AS v, 'month_first' AS form, false AS zoned FROM o
+  UNION ALL SELECT 'day_month', strftime(d, '%d.%m.%Y'), CASE WHEN day(d) <= 12 THEN 'month_first' ELSE 'day_first' END, false FROM o
+  UNION ALL SELECT 'named', strftime(d, '%-d %b %Y'), 'named', false FROM o
+  UNION ALL SELECT 'mixed', CASE k WHEN 0 THEN strftime(d, '%Y-%m-%d') WHEN 1 THEN strftime(d, '%m/%d/%Y')
+    WHEN 2 THEN strftime(d, '%b %-d, %Y') ELSE strftime(d, '%Y-%m-%dT%H:%M:%SZ') END, CASE k WHEN 1 THEN 'month_first' WHEN 2 THEN 'named' ELSE 'year_first' END, k = 3 FROM o
+  UNION ALL SELECT 'broken', CASE WHEN bad THEN '31/02/2024' ELSE strftime(d, '%Y-%m-%d') END,
+    CASE WHEN bad THEN 'other' ELSE 'year_first' END, false FROM o)"""
+
 SQL = {
+    "b01_date_forms": f"""WITH {_DATED} SELECT "column", form, zoned, COUNT(DISTINCT v) AS distinct_values, COUNT(*) AS rows
+FROM v GROUP BY 1, 2, 3""",
+    "b01_date_columns": f"""WITH {_DATED} SELECT "column", CASE WHEN COUNT(*) FILTER (WHERE form = 'other') = 0 THEN 'datetime'
+  WHEN COUNT(DISTINCT v) <= 20 OR (COUNT(*) > 50 AND COUNT(DISTINCT v) / COUNT(*) < 0.2) THEN 'categorical' ELSE 'text' END
+  AS semantic_type FROM v GROUP BY 1""",
     "b01_column_types": _each(NUMERIC, _TYPES) + "\nUNION ALL " + _each(STRINGS, _STRING_TYPE),
     "b02_missing_values": _each(ALL, _MISSING),
     "b03_duplicate_rows": """SELECT CAST(SUM(n) AS BIGINT) AS rows, CAST(SUM(n - 1) AS BIGINT) AS duplicate_rows
@@ -240,6 +274,6 @@ UNION ALL SELECT 'fr', 'J''ai analysé le fichier **lineitem.csv** contenant ' |
 HAVING COUNT(DISTINCT quality) = 2 AND MIN(quality) = 0 AND MAX(quality) = 1""",
 }
 
-QUERIES = [b01_column_types, b02_missing_values, b03_duplicate_rows, b04_table_bytes, b05_numeric_profile, b06_outliers,
+QUERIES = [b01_column_types, b01_date_forms, b01_date_columns, b02_missing_values, b03_duplicate_rows, b04_table_bytes, b05_numeric_profile, b06_outliers,
            b07_skewness, b08_categorical_profile, b09_top_values, b10_correlation_matrix, b11_strong_pairs,
            b12_insights, b13_full_profile, b14_report, b14_narrative, b15_target_column]

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from lumenframe.operators import documents as dc, events as ev, privacy as pv
 from lumenframe.operators.stored import StoredTable
+from lumenframe.operators.vector_index import VectorIndex
 from lumenframe.plans import documents as documents_plans, events as event_plans, privacy as privacy_plans
 from lumenframe.plans.inputs import VIEWS, table, view
+from lumenframe.plans.shape import rounded
 from lumenframe.session import scratch_path
 from lumenframe.streaming import sink
 
@@ -39,13 +41,16 @@ def g02_stored_rebuild(spark, sf):
 
 
 def g03_stored_stream(spark, sf):
-    """The log as a stream of three files that come out of order, merged into a stored rollup batch by batch."""
+    """The log as a stream in three steps, each with events of all days, merged into a stored rollup batch by batch; then the
+    stream runs once more without its checkpoint, which changes nothing."""
     events = table(spark, sf, "events")
     folder = scratch_path(spark, "event-files")
-    for i in range(3):  # one file a micro-batch; every third event, so each batch has rows of all days
-        events.filter(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.sql(VIEWS["analytics_events"], events=sink.read_stream(spark, folder, events.schema, files_per_batch=1))
     stored = _rollup_table(spark, ev.daily_rollup(view(spark, sf, "analytics_events")))
+    checkpoint = scratch_path(spark, "checkpoint")
+    for i in range(3):
+        events.filter(F.col("event_id") % 3 == i).write.mode("append").parquet(folder)
+        stream = spark.sql(VIEWS["analytics_events"], events=sink.read_stream(spark, folder, events.schema))
+        sink.merge_available(stream, stored, ev.daily_rollup, ev.merge_rollups, checkpoint)
     sink.merge_available(stream, stored, ev.daily_rollup, ev.merge_rollups, scratch_path(spark, "checkpoint"))
     return event_plans.rollup_out(stored.read())
 
@@ -96,7 +101,45 @@ def h11_stored_purge(spark, sf):
     return stored.read().select("id", "user_id")
 
 
+def _index(spark, sf):
+    """An index of three quarters of the vectors, in small cells."""
+    vectors = view(spark, sf, "vectors")
+    index = VectorIndex(spark, scratch_path(spark, "stored-index"), vectors.schema, 64, cell_rows=40)
+    index.create(vectors.filter(F.col("id") % 4 != 0), cells=6)
+    return index, vectors
+
+
+def f09_stored_index(spark, sf):
+    """The last quarter is inserted in two batches, one of which comes twice; every tenth vector goes, some of these come back;
+    large cells are split. With every cell probed the search equals an exact one over what is left."""
+    index, vectors = _index(spark, sf)
+    for part, epoch in ((0, 0), (4, 1), (4, 1)):
+        index.insert(vectors.filter(F.col("id") % 8 == part), "loader", epoch)
+    index.delete_where(F.col("id") % 10 == 3)
+    index.split()
+    index.insert(vectors.filter(F.col("id") % 20 == 3))
+    index.compact()
+    questions = vectors.filter(F.col("id") % 50 == 0)
+    found = index.search(questions, 5, probes=len(index.centres().rows))
+    return found.select("query_id", "id", "position", rounded("similarity"))
+
+
+def f09_stored_recall(spark, sf):
+    """Recall of the default search before any change and after inserts, deletes and splits."""
+    index, vectors = _index(spark, sf)
+    questions = vectors.filter(F.col("id") % 50 == 0)
+    before = index.recall(questions).select(F.lit("before").alias("stage"), "expected", "recall")
+    before = spark.createDataFrame(before.collect(), before.schema)  # one row, of the index as it is now
+    index.insert(vectors.filter(F.col("id") % 4 == 0))
+    index.delete_where(F.col("id") % 10 == 3)
+    index.split()
+    return before.unionByName(index.recall(questions).select(F.lit("after").alias("stage"), "expected", "recall"))
+
+
 SQL = {
+    "f09_stored_index": f"""WITH {documents_plans._SIM}, found AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id
+  ORDER BY similarity DESC, id) AS INTEGER) AS position FROM sim WHERE id % 10 <> 3 OR id % 20 = 3)
+SELECT query_id, id, position, ROUND(similarity, 4) AS similarity FROM found WHERE position <= 5""",
     "a12_stored_upsert": event_plans.SQL["a12_upsert_rollup"],
     "g02_stored_rebuild": f"""WITH r AS ({event_plans.ROLLUP_SQL}), o AS ({event_plans.ROLLUP_SQL.replace(
         'FROM analytics_events', 'FROM analytics_events WHERE id % 3 <> 0')}),
@@ -115,4 +158,4 @@ WHERE NOT (expires_at < t - INTERVAL 7 DAY OR (revoked AND created_at < t - INTE
 }
 
 QUERIES = [a12_stored_upsert, g02_stored_rebuild, g03_stored_stream, a13_stored_delete, f12_stored_reindex,
-           h09_stored_erasure, h11_stored_purge]
+           h09_stored_erasure, h11_stored_purge, f09_stored_index, f09_stored_recall]

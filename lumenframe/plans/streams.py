@@ -1,4 +1,4 @@
-"""Registered streaming queries: each runs over the event files until they are used up and is read back as a table."""
+"""Registered streaming queries: each runs over three spans of the events, late ones among them, and is read back as a table."""
 
 from __future__ import annotations
 
@@ -12,55 +12,69 @@ from lumenframe.plans.shape import day, moment, round_columns, rounded
 from lumenframe.streaming import events as st, sink, state as ss
 
 
-def _stream(spark, sf, name):
-    # A pattern, because a stream source must not be one plain file; it matches a file or a folder of files.
-    source = f"{sf.rstrip('/')}/event[s].parquet"
-    events = sink.read_stream(spark, source, table(spark, sf, "events").schema)
-    return spark.sql(VIEWS[name], events=events)
+BATCHES = 3
+
+
+def steps(events, late_seconds=300):
+    """The events in the order in which they come: three spans of time, in which every seventh event is late and may come with
+    the span behind its own."""
+    ends = events.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    if ends["first"] is None:
+        return [events] * BATCHES
+    comes = F.col("ts") + F.when(F.col("event_id") % 7 == 0, F.expr(f"INTERVAL {late_seconds} SECONDS")).otherwise(
+        F.expr("INTERVAL 0 SECONDS"))
+    cuts = [ends["first"] + (ends["last"] - ends["first"]) * i / BATCHES for i in range(1, BATCHES)]
+    span = sum((F.when(comes >= F.lit(c).cast("timestamp_ntz"), 1).otherwise(0) for c in cuts), F.lit(0))
+    return [events.filter(span == i) for i in range(BATCHES)]
+
+
+def _run(spark, sf, name, build, late_seconds=300, **options):
+    """``build`` over the view ``name`` of the events, in three micro-batches."""
+    return sink.run_in_steps(steps(table(spark, sf, "events"), late_seconds),
+                             lambda events: build(spark.sql(VIEWS[name], events=events)), **options)
 
 
 def g03_stream_rollup(spark, sf):
-    rows = sink.run_available(st.stream_rollup(_stream(spark, sf, "analytics_events")), label="rollup")
+    rows = _run(spark, sf, "analytics_events", st.stream_rollup, label="rollup")
     found = sink.latest_per_key(rows, ["summary_date", "event_type"])
     return found.select(day("summary_date"), "event_type", "total_count", "success_count", "failure_count",
                         rounded("avg_duration_ms", 8), moment("last_event_at"))
 
 
 def g16_stream_counters(spark, sf):
-    requests = _stream(spark, sf, "http_requests").withColumn("status", F.col("status_code").cast("string"))
     labels = ["method", "path", "status"]
-    return sink.latest_per_key(sink.run_available(st.stream_counters(requests, labels), label="counters"), labels)
+    rows = _run(spark, sf, "http_requests", lambda r: st.stream_counters(
+        r.withColumn("status", F.col("status_code").cast("string")), labels), label="counters")
+    return sink.latest_per_key(rows, labels)
 
 
 def g17_stream_histogram(spark, sf):
-    counted = st.stream_histogram(_stream(spark, sf, "http_requests"), ["method", "path"], F.col("duration_seconds"),
-                                  REQUEST_BOUNDS)
-    found = sink.latest_per_key(sink.run_available(counted, label="histogram"), ["method", "path"])
-    return round_columns(found, "sum")
+    rows = _run(spark, sf, "http_requests", lambda r: st.stream_histogram(
+        r, ["method", "path"], F.col("duration_seconds"), REQUEST_BOUNDS), label="histogram")
+    return round_columns(sink.latest_per_key(rows, ["method", "path"]), "sum")
 
 
 def g18_stream_error_ratio(spark, sf):
-    rows = sink.run_available(st.stream_error_ratio(_stream(spark, sf, "http_requests")), label="error-ratio")
+    rows = _run(spark, sf, "http_requests", st.stream_error_ratio, label="error-ratio")
     return sink.latest_per_key(rows, ["tick"]).filter("high").select("tick", "errors", "total")
 
 
 def i08_stream_progress(spark, sf):
-    messages = se.normalise_progress(_stream(spark, sf, "task_progress"))
-    rows = sink.run_available(messages, "append", "progress")
+    rows = _run(spark, sf, "task_progress", se.normalise_progress, mode="append", label="progress")
     return rows.select("seq", "type", "progress_percent", "eta_seconds", "can_cancel", "token_count_total")
 
 
 def i09_stream_latest_terminal(spark, sf):
     sink.use_rocks(spark)
-    rows = sink.run_available(ss.stream_latest_terminal(_stream(spark, sf, "task_progress")), label="terminal",
-                              idle_batches=False)
+    rows = _run(spark, sf, "task_progress", ss.stream_latest_terminal, label="terminal", idle_batches=False)
     return sink.latest_per_key(rows, ["task_id"]).select("task_id", "seq", "status")
 
 
 def i13_stream_heartbeats(spark, sf):
-    """Heartbeats of the silences that ended; the last silence of a task is still open."""
+    """Heartbeats of the silences that ended; the last silence of a task is still open. Messages come in order."""
     sink.use_rocks(spark)
-    rows = sink.run_available(ss.stream_heartbeats(_stream(spark, sf, "task_progress")), "append", "heartbeats", idle_batches=False)
+    rows = _run(spark, sf, "task_progress", ss.stream_heartbeats, late_seconds=0, mode="append", label="heartbeats",
+                idle_batches=False)
     ends = table(spark, sf, "events").groupBy((F.col("event_id") % 50).cast("string").alias("task_id")).agg(
         F.max_by("event_id", F.struct("ts", "event_id")).alias("seq"))
     closed = rows.join(ends, ["task_id", "seq"], "left_anti")

@@ -24,15 +24,8 @@ def use_rocks(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
-def run_available(stream: DataFrame, mode: str = "update", label: str = "stream",
-                  transform: Callable[[DataFrame], DataFrame] | None = None, idle_batches: bool = True) -> DataFrame:
-    """Process what is there and return all written rows with their ``epoch``.
-
-    Every micro-batch replaces its own folder, so a batch that runs twice is still written once. State that lives by
-    the clock asks for batches without data for ever; ``idle_batches=False`` ends such a run with its data.
-    """
+def _run(stream: DataFrame, mode: str, base: str, transform: Callable[[DataFrame], DataFrame] | None, idle_batches: bool) -> None:
     spark = stream.sparkSession
-    base = scratch_path(spark, label)
 
     def write(batch: DataFrame, epoch: int) -> None:
         rows = transform(batch) if transform else batch
@@ -45,6 +38,10 @@ def run_available(stream: DataFrame, mode: str = "update", label: str = "stream"
              .trigger(availableNow=True).foreachBatch(write).start())
     spark.conf.set(setting, before)
     query.awaitTermination()
+
+
+def _written(stream: DataFrame, base: str, transform: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    spark = stream.sparkSession
     fields = T.StructType([*stream.schema.fields, T.StructField("epoch", T.IntegerType())])
     if transform is None:
         spark.createDataFrame([], stream.schema).write.mode("append").parquet(f"{base}/rows/epoch=-1")
@@ -52,6 +49,31 @@ def run_available(stream: DataFrame, mode: str = "update", label: str = "stream"
     return spark.read.parquet(f"{base}/rows")
 
 
+def run_available(stream: DataFrame, mode: str = "update", label: str = "stream",
+                  transform: Callable[[DataFrame], DataFrame] | None = None, idle_batches: bool = True) -> DataFrame:
+    """Process what is there and return all written rows with their ``epoch``.
+
+    Every micro-batch replaces its own folder, so a batch that runs twice is still written once. State that lives by
+    the clock asks for batches without data for ever; ``idle_batches=False`` ends such a run with its data.
+    """
+    base = scratch_path(stream.sparkSession, label)
+    _run(stream, mode, base, transform, idle_batches)
+    return _written(stream, base, transform)
+
+
+def run_in_steps(steps: list[DataFrame], build: Callable[[DataFrame], DataFrame], mode: str = "update", label: str = "stream",
+                 idle_batches: bool = True) -> DataFrame:
+    """``run_available`` over a folder that grows: the rows of each step come as new files, of whatever number, and a run that
+    goes on from the checkpoint of the one before takes them as its micro-batch."""
+    spark = steps[0].sparkSession
+    base = scratch_path(spark, label)
+    for rows in steps:
+        rows.write.mode("append").parquet(f"{base}/in")
+        stream = build(read_stream(spark, f"{base}/in", rows.schema))
+        _run(stream, mode, base, None, idle_batches)
+    return _written(stream, base, None)
+
+
 def merge_available(stream: DataFrame, table: StoredTable, fresh: Callable[[DataFrame], DataFrame],
                     combine: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str, writer: str = "stream") -> int:
     """Merge what is there into a stored table, a micro-batch at a time; returns the number of batches that changed it.

@@ -20,9 +20,9 @@ from lumenframe.plans.inputs import TABLES  # noqa: E402
 
 #: Queries without SQL, each with tests of its properties in the named file.
 PROPERTY_TESTED = {
-    "b13_full_profile": "test_profile.py", "c07_isolation_scores": "test_anomaly.py",
-    "c12_full_ensemble": "test_anomaly.py", "d04_search": "test_models.py", "d05_refit": "test_models.py",
-    "d06_holdout_accuracy": "test_models.py", "d09_class_importance": "test_models.py", "d11_clean_refit": "test_models.py",
+    "c06_approximate_recall": "test_near_trees.py", "c08_full_scores": "test_full_ensemble.py", "c13_full_top": "test_full_ensemble.py", "f09_stored_recall": "test_vector_index.py", "b13_full_profile": "test_profile.py", "c07_isolation_scores": "test_full_ensemble.py",
+    "c12_full_ensemble": "test_full_ensemble.py", "d04_search": "test_tuning.py", "d05_refit": "test_models.py",
+    "d06_holdout_accuracy": "test_models.py", "d09_class_importance": "test_models.py", "d11_clean_refit": "test_extra_trees.py",
 }
 
 
