@@ -28,6 +28,8 @@ HOLDOUT = 0.2
 MODELS = list(SPACE)
 #: Models fitted by Spark that run side by side.
 PARALLEL = 4
+#: Small tables are read by few tasks, since every step of a model is a job of its own.
+ROWS_PER_TASK = 50_000
 
 
 # Preparation ---------------------------------------------------------------------------------------------------
@@ -171,12 +173,19 @@ class PreparedFolds:
     def __init__(self, table: DataFrame, features: list[str], classes: int, folds: int = FOLDS, seed: int = 42,
                  cell_bytes: int = CELL_BYTES):
         self.classes, self.seed = max(2, classes), seed
-        parts = []
-        for f in range(folds):
+        self.learnt = {r["fold"]: r["count"] for r in table.groupBy("fold").count().collect()}
+        total = sum(self.learnt.values())
+        self.learnt = {f: total - self.learnt.get(f, 0) for f in range(folds)}
+
+        def prepared(f: int) -> DataFrame:
             ready = preparation(table, features).fit(table.filter(F.col("fold") != f)).transform(table)
-            parts.append(ready.select(F.lit(f).alias("split"), (F.col("fold") == f).alias("held"), "label", "features",
-                                      vector_to_array("features").alias("f")))
-        self.rows = materialise(reduce(DataFrame.unionByName, parts), "prepared-folds")
+            return ready.select(F.lit(f).alias("split"), (F.col("fold") == f).alias("held"), "label", "features",
+                                vector_to_array("features").alias("f"))
+
+        with ThreadPool(PARALLEL) as pool:
+            parts = pool.map(prepared, range(folds), chunksize=1)
+        self.rows = materialise(reduce(DataFrame.unionByName, parts).coalesce(max(1, folds * total // ROWS_PER_TASK)),
+                                "prepared-folds")
         edges = bin_edges(self.rows.filter(~F.col("held")), ["split"])
         self.widths = {k: [len(e) + 1 for e in own] for k, own in edges.items()}
         known = self.rows.filter(F.col("split").isin([k[0] for k in edges]))  # a fold may hold all rows
@@ -188,8 +197,8 @@ class PreparedFolds:
     def _alone(self, fold: int, params: dict) -> tuple[float, float]:
         """One model fitted by Spark over all rows of a fold."""
         own = self.rows.filter(F.col("split") == fold)
-        learnt = own.filter(~F.col("held"))
-        model = build_classifier(params, self.classes, learnt.count(), self.seed).fit(learnt)
+        learnt = own.filter(~F.col("held")).coalesce(max(1, self.learnt[fold] // ROWS_PER_TASK))
+        model = build_classifier(params, self.classes, self.learnt[fold], self.seed).fit(learnt)
         found = accuracy(model.transform(own.filter("held"))).first()
         return (found["accuracy"] or 0.0) * found["rows"], float(found["rows"])
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 TRIALS = 30
-BATCH = 6
+BATCH = 10
 #: Trials drawn at random before the sampler has enough to go by.
 STARTUP = 10
 CANDIDATES = 24
