@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ from lumenframe.session import scratch_path
 
 TOP_K = 5
 BLOCK_BYTES = 64 * 1024 * 1024
+#: Similarities a task holds at once (8 bytes each), and the vectors of a block that they are cut by.
+PAIRS, PAIR_ROWS = 1 << 20, 4_096
 # Index: the share of true neighbours to be found, and the queries that set how many cells that takes.
 AIM, TRIAL_QUERIES = 0.95, 64
 PREVIEW_CHARS = 100
@@ -59,21 +62,36 @@ def unit_rows(arrays) -> np.ndarray:
     """Stacked vectors scaled to length one; zero vectors become NaN and never match."""
     x = np.vstack(arrays).astype(np.float64)
     with np.errstate(invalid="ignore", divide="ignore"):
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x
 
 
-def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> pd.DataFrame:
-    """The ``k`` best rows of one block for every query of one block, ties at the edge included."""
-    similarity = np.round(queries @ rows.T, 9)
+def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    """The ``k`` best rows of one block for every query of one block, ``PAIRS`` similarities at a time: a query's best of all
+    rows are among its best of each part."""
+    step = max(1, PAIRS // max(1, min(PAIR_ROWS, len(rows))))
+    for start in range(0, len(queries), step):
+        parts = [_best_part(query_ids[start:start + step], queries[start:start + step], ids[at:at + PAIR_ROWS],
+                            rows[at:at + PAIR_ROWS], k) for at in range(0, len(rows), PAIR_ROWS)]
+        yield parts[0] if len(parts) == 1 else _first(pd.concat(parts), k)
+
+
+def _best_part(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> pd.DataFrame:
+    """``_best`` of a few rows, ties at the edge included."""
+    similarity = queries @ rows.T
+    np.round(similarity, 9, out=similarity)
     similarity[np.isnan(similarity)] = -np.inf
-    if similarity.shape[1] > k:
-        edge = -np.partition(-similarity, k - 1, axis=1)[:, k - 1:k]
+    if (n := similarity.shape[1]) > k:
+        edge = np.partition(similarity, n - k, axis=1)[:, n - k:n - k + 1]
     else:
         edge = np.full((len(queries), 1), -np.inf)
     where = np.nonzero((similarity >= edge) & np.isfinite(similarity))
-    out = pd.DataFrame({"query_id": query_ids[where[0]], "id": ids[where[1]], "similarity": similarity[where]})
-    out = out.sort_values(["query_id", "similarity", "id"], ascending=[True, False, True])
-    return out[out.groupby("query_id").cumcount() < k]
+    return _first(pd.DataFrame({"query_id": query_ids[where[0]], "id": ids[where[1]], "similarity": similarity[where]}), k)
+
+
+def _first(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    found = found.sort_values(["query_id", "similarity", "id"], ascending=[True, False, True])
+    return found[found.groupby("query_id").cumcount() < k]
 
 
 def _merge(found: DataFrame, k: int) -> DataFrame:
@@ -122,7 +140,7 @@ def _search_local(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         query_ids, units = shared.value
         for pdf in batches:
             if len(pdf):
-                yield _best(query_ids, units, pdf["id"].to_numpy(), unit_rows(pdf["embedding"].to_list()), k)
+                yield from _best(query_ids, units, pdf["id"].to_numpy(), unit_rows(pdf["embedding"].to_list()), k)
 
     return vectors.select("id", "embedding").mapInPandas(scan, found)
 
@@ -131,8 +149,8 @@ def _search_blocks(left: DataFrame, right: DataFrame, keys: list[str], k: int) -
     def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": a["query_id"][:0], "id": b["id"][:0], "similarity": np.zeros(0)})
-        return _best(a["query_id"].to_numpy(), unit_rows(a["embedding"].to_list()), b["id"].to_numpy(),
-                     unit_rows(b["embedding"].to_list()), k)
+        return pd.concat(_best(a["query_id"].to_numpy(), unit_rows(a["embedding"].to_list()), b["id"].to_numpy(),
+                               unit_rows(b["embedding"].to_list()), k))
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         match, _found_schema(left, right, "query_id"))
@@ -191,14 +209,17 @@ def search_index(model: KMeansModel, index: DataFrame, queries: DataFrame, k: in
     probes = min(trial_probes(model, index, queries, k) if probes is None else probes, len(centres))
     queries = queries.filter(F.size("embedding") == centres.shape[1])
     kinds = dict(queries.dtypes)
+    step = max(1, PAIRS // max(1, len(centres)))
 
     def nearest(batches):
         for pdf in batches:
-            if len(pdf):
-                order = np.argsort(-(unit_rows(pdf["embedding"].to_list()) @ centres.T), axis=1)[:, :probes]
-                yield pdf.assign(cells=[list(map(int, row)) for row in order])
+            for start in range(0, len(pdf), step):
+                own = pdf.iloc[start:start + step]
+                order = np.argsort(-(unit_rows(own["embedding"].to_list()) @ centres.T), axis=1)[:, :probes]
+                yield own.assign(cells=list(order.astype(np.int32)))
 
     row_bytes = 8 * centres.shape[1] + 16
+    parts = max(1, -(-queries.count() * row_bytes // block_bytes))  # a cell's queries are cut into blocks as well
     sizes = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) * row_bytes / block_bytes).cast("int")
                                       .alias("pieces"))
     probed = (queries.select(F.col("id").alias("query_id"), "embedding")
@@ -206,11 +227,12 @@ def search_index(model: KMeansModel, index: DataFrame, queries: DataFrame, k: in
               .select("query_id", "embedding", F.explode("cells").alias("cell"))
               .join(F.broadcast(sizes), "cell")
               .withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-              .select("query_id", "embedding", "cell", "piece"))
+              .withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+              .select("query_id", "embedding", "cell", "piece", "part"))
     rows = (index.join(F.broadcast(sizes), "cell")
             .withColumn("piece", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
-            .select("id", "embedding", "cell", "piece"))
-    return _merge(_search_blocks(probed, rows, ["cell", "piece"], k), k)
+            .select("id", "embedding", "cell", "piece", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")))
+    return _merge(_search_blocks(probed, rows, ["cell", "piece", "part"], k), k)
 
 
 def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:

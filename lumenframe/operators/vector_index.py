@@ -73,10 +73,13 @@ class VectorIndex:
         numbers = np.arange(len(units)) if cells is None else np.array(cells)
         schema = T.StructType([*vectors.schema.fields, T.StructField("cell", T.IntegerType())])
 
+        step = max(1, vs.PAIRS // max(1, len(units)))
+
         def assign(batches):
             for pdf in batches:
-                if len(pdf):
-                    yield pdf.assign(cell=numbers[np.argmax(vs.unit_rows(pdf["embedding"].to_list()) @ units.T, axis=1)])
+                for start in range(0, len(pdf), step):
+                    own = pdf.iloc[start:start + step]
+                    yield own.assign(cell=numbers[np.argmax(vs.unit_rows(own["embedding"].to_list()) @ units.T, axis=1)])
 
         return vectors.mapInPandas(assign, schema)
 

@@ -107,3 +107,33 @@ def test_language_agrees_with_given_labels(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     found = dc.detect_language(df, "doc_id").join(df.filter("lang IN ('en', 'fr') AND n_chars > 200"), "doc_id")
     assert found.agg(F.avg(F.when(F.col("lang") == F.col("language"), 1.0).otherwise(0.0))).first()[0] > 0.9
+
+
+def test_a_task_holds_few_similarities_at_once(monkeypatch):
+    """Many queries against one block: bounded arrays, and the same rows however they are cut."""
+    import tracemalloc
+    rng = np.random.default_rng(1)
+    queries, rows = vs.unit_rows(list(rng.normal(size=(3_000, 8)))), vs.unit_rows(list(rng.normal(size=(9_000, 8))))
+    rows[5_000:5_300] = rows[0]  # equal vectors on both sides of a cut
+    rows[7] = np.nan
+    ids, query_ids = np.arange(9_000)[::-1].copy(), np.arange(3_000)
+    tracemalloc.start()
+    found = pd.concat(vs._best(query_ids, queries, ids, rows, 5), ignore_index=True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20  # all pairs at once take 216 MB
+    monkeypatch.setattr(vs, "PAIRS", 1 << 40)
+    monkeypatch.setattr(vs, "PAIR_ROWS", 1 << 40)
+    whole = pd.concat(vs._best(query_ids, queries, ids, rows, 5), ignore_index=True)
+    pd.testing.assert_frame_equal(found, whole)
+
+
+def test_index_queries_in_blocks(spark):
+    """Queries beyond one block are cut as well: the same result as in one."""
+    rng = np.random.default_rng(2)
+    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 4)))],
+                                    "id long, embedding array<double>")
+    model, index = vs.build_index(vectors, 3)
+    one, many = (vs.search_index(model, index, vectors, 4, 3, block_bytes=b) for b in (1 << 26, 48 * 70))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(one) == rows(many) == rows(vs.search_many(vectors, vectors, 4))
