@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from lumenframe.session import materialise
 
-CELL_ROWS = 4_000
+#: Points of a box, by the number of columns: the more there are, the more of a box lies near its border, and the more boxes a
+#: point visits.
+CELL_ROWS, FEW_ROWS, FEW_COLUMNS = 4_000, 500, 4
 MAX_CELLS = 65_536
 SPLIT_SAMPLE = 50_000
 BLOCK = 1_024
+#: Distances a task holds at once (8 bytes each).
+PAIRS = 1 << 19
 
 
 def split_space(sample: np.ndarray, cells: int) -> list[tuple]:
@@ -99,8 +103,9 @@ def smallest(x: np.ndarray, points: np.ndarray, copies: np.ndarray, k: int) -> n
         return out
     lengths = (points * points).sum(axis=1)
     keep = min(k, len(points))
-    for start in range(0, len(x), BLOCK):
-        part = x[start:start + BLOCK]
+    block = max(1, min(BLOCK, PAIRS // len(points)))
+    for start in range(0, len(x), block):
+        part = x[start:start + block]
         square = np.maximum((part * part).sum(axis=1)[:, None] + lengths[None, :] - 2.0 * (part @ points.T), 0.0)
         best = np.argpartition(square, keep - 1, axis=1)[:, :keep]
         # The chosen few are measured again without cancellation.
@@ -108,17 +113,21 @@ def smallest(x: np.ndarray, points: np.ndarray, copies: np.ndarray, k: int) -> n
         order = np.argsort(exact, axis=1, kind="stable")
         exact, many = np.take_along_axis(exact, order, 1), np.take_along_axis(copies[best], order, 1)
         if (many == 1).all():
-            out[start:start + BLOCK, :keep] = exact
+            out[start:start + block, :keep] = exact
             continue
         reach = np.cumsum(many, axis=1)
         for j in range(k):
             first = (reach <= j).sum(axis=1)
             has = first < keep
-            out[start:start + BLOCK, j][has] = exact[np.flatnonzero(has), first[has]]
+            out[start:start + block, j][has] = exact[np.flatnonzero(has), first[has]]
     return out
 
 
-def neighbour_scores(matrix: DataFrame, key: str, features: list[str], k: int = 5, cell_rows: int = CELL_ROWS,
+def box_rows(columns: int) -> int:
+    return min(CELL_ROWS, FEW_ROWS << max(0, columns - FEW_COLUMNS))
+
+
+def neighbour_scores(matrix: DataFrame, key: str, features: list[str], k: int = 5, cell_rows: int | None = None,
                      name: str = "neighbour_score") -> DataFrame:
     """Distance of every row to its ``k``-th nearest other row, exact for any data.
 
@@ -133,7 +142,7 @@ def neighbour_scores(matrix: DataFrame, key: str, features: list[str], k: int =
     points = materialise(matrix.groupBy(*features).agg(F.count(F.lit(1)).alias("copies"))
                          .withColumn("point", F.xxhash64(*features)), "points")
     distinct = points.count()
-    cells = max(1, min(MAX_CELLS, distinct // cell_rows))
+    cells = max(1, min(MAX_CELLS, distinct // (cell_rows or box_rows(len(features)))))
     # The cuts come from a sample of bounded size; they decide the balance, never the result.
     share = min(1.0, max(SPLIT_SAMPLE, 4 * cells) / max(distinct, 1))
     sample = (points.select(*features).filter(F.pmod(F.col("point"), F.lit(1_000_003)) < max(1, int(1_000_003 * share)))

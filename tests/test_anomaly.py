@@ -70,3 +70,19 @@ def test_severity_bounds(spark):
     df = spark.createDataFrame([(0.7,), (0.4,), (0.39,)], "s double")
     from pyspark.sql import functions as F
     assert [r[0] for r in df.select(an.severity(F.col("s"))).collect()] == ["high", "medium", "low"]
+
+
+def test_distances_of_a_task_are_bounded():
+    """A box of many points holds few distances at once, and boxes of few columns are small."""
+    import tracemalloc
+    from lumenframe.operators import neighbours as nb
+    x = np.random.default_rng(3).normal(size=(6_000, 3))
+    copies = np.ones(len(x), dtype=np.int64)
+    tracemalloc.start()
+    found = nb.smallest(x, x, copies, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    want = np.sort(np.sqrt(((x[:50, None, :] - x[None]) ** 2).sum(axis=2)), axis=1)[:, :4]
+    np.testing.assert_allclose(found[:50], want, atol=1e-12)
+    assert nb.box_rows(4) == 500 < nb.box_rows(6) < nb.box_rows(12) == nb.CELL_ROWS
