@@ -58,18 +58,22 @@ def detect_encodings(spark: SparkSession, path: str, by=lambda p: p) -> DataFram
 
     The text source keeps raw bytes, so whole files are checked, in splits, without decoding.
     """
-    return (_lines(spark, path).groupBy(by(F.col("path")).alias("path"))
-            .agg(F.when(F.bool_and(F.is_valid_utf8("value")), "utf-8").otherwise("latin-1").alias("encoding")))
+    return (_lines(spark, path).groupBy("path").agg(F.bool_and(F.is_valid_utf8("value")).alias("valid"))
+            .groupBy(by(F.col("path")).alias("path"))
+            .agg(F.when(F.bool_and("valid"), "utf-8").otherwise("latin-1").alias("encoding")))
 
 
 def detect_separators(spark: SparkSession, path: str, by=lambda p: p) -> DataFrame:
     """``(path, separator)``: the candidate that occurs equally often in (nearly) all lines, else a comma."""
-    bare = F.regexp_replace("value", '"[^"]*"', "")
-    counts = [F.regexp_count("bare", F.lit(p)).alias(f"n{i}") for i, p in enumerate([",", ";", "\t", r"\|"])]
+    # Plain steps over the bytes of a line: patterns would decode each line several times.
+    bare = F.when(F.contains("value", F.lit('"')), F.regexp_replace("value", '"[^"]*"', "")).otherwise(F.col("value"))
+    counts = [(F.octet_length("bare") - F.octet_length(F.replace("bare", F.lit(s), F.lit("")))).alias(f"n{i}")
+              for i, s in enumerate(SEPARATORS)]
     # Equal lines meet as one row per task before anything is shuffled.
-    shapes = (_lines(spark, path).filter(F.col("value") != "").select(by(F.col("path")).alias("path"), bare.alias("bare"))
+    shapes = (_lines(spark, path).filter(F.col("value") != "").select("path", bare.alias("bare"))
               .select("path", *counts).groupBy("path", "n0", "n1", "n2", "n3").agg(F.count(F.lit(1)).alias("lines")))
-    spread = (shapes.select("path", "lines", F.posexplode(F.array("n0", "n1", "n2", "n3")).alias("i", "n"))
+    spread = (shapes.select(by(F.col("path")).alias("path"), "lines",
+                            F.posexplode(F.array("n0", "n1", "n2", "n3")).alias("i", "n"))
               .groupBy("path", "i", "n").agg(F.sum("lines").alias("lines")))
     usual = spread.groupBy("path", "i").agg(F.sum("lines").alias("total"),
                                             F.max_by(F.struct("n", "lines"), F.struct("lines", "n")).alias("top"))
