@@ -11,7 +11,7 @@ from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lumenframe.operators.anomaly import _deviation, encode, impute
@@ -20,6 +20,7 @@ from lumenframe.operators.extra_trees import ExtraTrees
 from lumenframe.operators.ordered import same, split_row_number
 from lumenframe.operators.profile import categorical_profile, string_columns
 from lumenframe.operators.quantiles import numbers, quantile_map, summarise
+from lumenframe.operators.regression_forest import RegressionForest
 from lumenframe.operators.tuning import BATCH, SPACE, TRIALS, TrialStore, best_trial, propose, run_trials
 from lumenframe.session import materialise, scratch_path
 
@@ -279,7 +280,7 @@ def build_explained_model(name: str, problem: str, rows: int, seed: int = 42, tr
         return ExtraTrees(0 if problem == "regression" else classes, trees, depth, seed)
     if problem == "regression":
         if name in ("RandomForestRegressor", "random_forest"):
-            return RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed)
+            return RegressionForest(trees, depth, seed)
         if name == "GradientBoostingRegressor":
             return GBTRegressor(maxIter=trees, maxDepth=3, stepSize=0.1, seed=seed)
         penalty, mix = {"Lasso": (1.0, 1.0), "ElasticNet": (1.0, 0.5)}.get(name, (1.0 / max(rows, 1), 0.0))
