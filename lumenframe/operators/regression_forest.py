@@ -71,7 +71,8 @@ def drawn_sums(coded: DataFrame, codes: np.ndarray, first: int, trees: int, seed
 
 
 def grow(bins: np.ndarray, n: np.ndarray, s: np.ndarray, edges: list[np.ndarray], depth: int, rng: np.random.Generator) -> dict:
-    """One tree, level by level: at each node the cut of least squares among a third of the columns. Nodes as lists."""
+    """One tree, level by level: at each node the cut of least squares among a third of the columns, drawn from those that
+    vary there. Nodes as lists."""
     drawn = n > 0
     bins, n, s = bins[drawn].astype(np.int64), n[drawn], s[drawn]
     widths = [len(e) + 1 for e in edges]
@@ -98,8 +99,10 @@ def grow(bins: np.ndarray, n: np.ndarray, s: np.ndarray, edges: list[np.ndarray]
         left_n, left_s = (left_sums(v, offsets) for v in both)
         all_n, all_s = np.array([tree["cover"][a] for a in active])[:, None], np.array([sums[a] for a in active])[:, None]
         right_n, right_s = all_n - left_n, all_s - left_s
-        chosen = np.argsort(rng.random((len(active), d)), axis=1) < tried
-        use = np.repeat(chosen, widths, axis=1) & (left_n > 0.5) & (right_n > 0.5)
+        use = (left_n > 0.5) & (right_n > 0.5)
+        varies = np.logical_or.reduceat(use, offsets[:-1], axis=1)
+        order = np.argsort(np.argsort(np.where(varies, rng.random((len(active), d)), 2.0), axis=1), axis=1)
+        use &= np.repeat(order < tried, widths, axis=1)
         score = np.where(use, left_s ** 2 / np.maximum(left_n, 1) + right_s ** 2 / np.maximum(right_n, 1), -np.inf)
         best = score.argmax(axis=1)
         following = []
