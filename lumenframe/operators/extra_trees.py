@@ -1,9 +1,9 @@
 """Extremely randomised trees, grown level by level over the whole table.
 
 At every node of every tree some columns get one cut each, drawn evenly between the least and the largest value of the node's
-rows, and the best of these is taken. A level takes two passes over the rows, whatever the number of trees: one for the ranges
-at all nodes, one for the sums left of all drawn cuts. Both are summed by the executors; what reaches the driver is bounded by
-the number of nodes and columns.
+rows, and the best of these is taken. Rows that agree in all columns become one, with their sums. A level takes two passes over
+these, whatever the number of trees: one for the ranges at all nodes, one for the sums left of all drawn cuts. Both are summed by
+the executors; what reaches the driver is bounded by the number of nodes and columns.
 """
 
 from __future__ import annotations
@@ -35,11 +35,16 @@ def _empty_tree() -> dict:
     return {"feature": np.zeros(1, np.int64), "cut": np.zeros(1), "left": np.full(1, -1), "right": np.full(1, -1)}
 
 
-def _row_sums(y: np.ndarray, classes: int) -> np.ndarray:
-    """Per row what nodes sum: rows, label and its square, or one column per class."""
-    if classes:
-        return (y[:, None] == np.arange(classes)).astype(float)
-    return np.stack([np.ones(len(y)), y, y * y], axis=1)
+def merged_rows(rows: DataFrame, classes: int) -> DataFrame:
+    """``(f, s0, s1...)``: equal rows of ``f`` and ``label`` as one, with what nodes sum: rows, label and its square, or one
+    column per class."""
+    y = F.col("label")
+    sums = [F.count_if(y == i) for i in range(classes)] or [F.count(F.lit(1)), F.sum(y), F.sum(y * y)]
+    return rows.groupBy("f").agg(*[x.cast("double").alias(f"s{i}") for i, x in enumerate(sums)])
+
+
+def _row_sums(batch: pd.DataFrame, classes: int) -> np.ndarray:
+    return batch[[f"s{i}" for i in range(classes or 3)]].to_numpy(dtype=float)
 
 
 def _sorted_groups(node: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,7 +66,7 @@ def node_ranges(rows: DataFrame, forest: list[dict], active: list[np.ndarray], c
             if not len(batch):
                 continue
             x = np.stack(batch["f"].to_numpy())
-            sums = _row_sums(batch["label"].to_numpy(), classes)
+            sums = _row_sums(batch, classes)
             for t, tree in enumerate(forest):
                 order, start, found = _sorted_groups(walk(tree, x), active[t])
                 if len(found):
@@ -97,7 +102,7 @@ def left_sums(rows: DataFrame, forest: list[dict], cuts: dict, classes: int) ->
             if not len(batch):
                 continue
             x = np.stack(batch["f"].to_numpy())
-            sums = _row_sums(batch["label"].to_numpy(), classes)
+            sums = _row_sums(batch, classes)
             for t, columns in by_tree.items():
                 node = walk(forest[t], x)
                 size = len(forest[t]["left"])
@@ -135,7 +140,7 @@ def _impure(sums: np.ndarray, classes: int) -> bool:
 
 
 def grow_forest(rows: DataFrame, columns: int, classes: int, trees: int, depth: int, seed: int) -> list[dict]:
-    """``rows``: f (array), label. Trees as arrays, with the sums of every node."""
+    """``rows``: see ``merged_rows``. Trees as arrays, with the sums of every node."""
     forest = [_empty_tree() for _ in range(trees)]
     sums: list[list] = [[None] for _ in range(trees)]
     active = [np.array([0]) for _ in range(trees)]
@@ -217,7 +222,8 @@ class ExtraTrees(Estimator):
         self.classes_, self.trees, self.depth, self.seed = classes, trees, depth, seed
 
     def _fit(self, df: DataFrame) -> ExtraTreesModel:
-        rows = df.select(vector_to_array("features").alias("f"), F.col("label").cast("double").alias("label")).persist()
+        rows = df.select(vector_to_array("features").alias("f"), F.col("label").cast("double").alias("label"))
+        rows = merged_rows(rows, self.classes_).persist()
         try:
             first = rows.first()
             columns = len(first["f"]) if first else 0

@@ -312,7 +312,12 @@ def clean_table(df: DataFrame, key: str, features: list[str], target: str, probl
 
 
 def fit_clean_model(table: DataFrame, features: list[str], name: str, problem: str, **options):
-    assembled = VectorAssembler(inputCols=features, outputCol="features").transform(table)
     if problem != "regression":
         options.setdefault("classes", int(table.agg(F.count_distinct("label")).first()[0]))
-    return build_explained_model(name, problem, table.count(), **options).fit(assembled)
+    model = build_explained_model(name, problem, table.count(), **options)
+    if isinstance(model, GBTRegressor):
+        # No cut parts equal rows, so their squares around their mean add the same to every cut: one weighted row is enough.
+        table = materialise(table.groupBy(*features).agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double")
+                                                         .alias("weight")), "merged")
+        model = model.setWeightCol("weight")
+    return model.fit(VectorAssembler(inputCols=features, outputCol="features").transform(table))

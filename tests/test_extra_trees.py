@@ -119,3 +119,32 @@ def test_names_and_problems():
     assert md.build_explained_model("ExtraTreesRegressor", "regression", 5).classes_ == 0
     assert md.build_explained_model("ExtraTreesClassifier", "classification", 5, classes=3).classes_ == 3
     assert type(md.build_explained_model("ExtraTreesRegressor", "classification", 5)).__name__ == "RandomForestClassifier"
+
+
+def test_equal_rows_are_one(spark):
+    """Rows that agree in all columns are read as one: the same trees as before, with the sums of all rows."""
+    from pyspark.ml.functions import vector_to_array
+    rows = frame()
+    many = pd.concat([rows, rows, rows], ignore_index=True)
+    f = assembled(spark, many).select(vector_to_array("features").alias("f"), "label")
+    merged = et.merged_rows(f, 0)
+    assert merged.count() == len(rows[NAMES].drop_duplicates()) and merged.agg({"s0": "sum"}).first()[0] == len(many)
+    one, three = (et.ExtraTrees(0, 3, 4, 5).fit(assembled(spark, r)).node_arrays for r in (rows, many))
+    for a, b in zip(one, three):
+        np.testing.assert_array_equal(a["cut"], b["cut"])
+        np.testing.assert_allclose(3 * a["cover"], b["cover"])
+        np.testing.assert_allclose(a["value"], b["value"])
+
+
+def test_boosted_trees_of_weighted_rows(spark):
+    """Boosting on one weighted row per combination of values predicts what boosting on all rows does."""
+    from pyspark.ml.feature import VectorAssembler
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 9, 600).astype(float), rng.integers(0, 4, 600).astype(float)
+    table = spark.createDataFrame(pd.DataFrame({"a": a, "b": b, "label": 5 * a - b + rng.normal(size=600)}))
+    own = md.fit_clean_model(table, ["a", "b"], "GradientBoostingRegressor", "regression", trees=6)
+    assert own.getWeightCol() == "weight"
+    ready = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(table)
+    want = md.build_explained_model("GradientBoostingRegressor", "regression", 600, trees=6).fit(ready)
+    got, expected = (m.transform(ready).orderBy("a", "b", "label").toPandas()["prediction"] for m in (own, want))
+    np.testing.assert_allclose(got, expected, rtol=1e-9)
