@@ -12,6 +12,8 @@ from __future__ import annotations
 import heapq
 import json
 import math
+import pickle
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -67,10 +69,10 @@ def cells(rows: DataFrame, keys: list[str], edges: dict, features: str = "f") ->
                 continue
             group = list(zip(*[batch[k] for k in keys[:width]])) if width else [()] * len(batch)
             out = np.empty(len(batch), dtype=object)
-            x = np.stack(batch[features].to_numpy())
-            for g in set(group):
+            x = batch[features].to_numpy()
+            for g in set(group):  # rows of two groups may differ in length
                 own = np.flatnonzero([k == g for k in group])
-                for at, row in zip(own, to_bins(x[own], edges[g])):
+                for at, row in zip(own, to_bins(np.stack(x[own]), edges[g])):
                     out[at] = row.tobytes()
             yield batch[names].assign(bins=out)
 
@@ -506,7 +508,8 @@ def advanced(margin: np.ndarray, bins: np.ndarray, rounds: list[list[dict]]) ->
 class BinnedModel(Model):
     """Trees over binned columns of the ``features`` vector. ``transform`` adds ``prediction``, the place of a class."""
 
-    def __init__(self, params: dict, edges: list[np.ndarray], rounds: list[list[dict]], start: np.ndarray, classes: int):
+    def __init__(self, params: dict, edges: list[np.ndarray], rounds: list[list[dict]] | StoredTrees, start: np.ndarray,
+                 classes: int):
         super().__init__()
         self.params_, self.edges, self.rounds, self.start, self.classes = params, edges, rounds, start, classes
 
@@ -559,22 +562,44 @@ class BinnedTrees(Estimator):
                     train, held = _unpacked(r, widths)
                     rounds, start, _ = fit_cells(train, held, params, classes, seed, int(r["first"]),
                                                  None if pd.isna(r["trees"]) else int(r["trees"]))
-                    yield pd.DataFrame({"first": [r["first"]], "trees": [dump_trees(rounds)], "start": [start]})
+                    yield pd.DataFrame({"first": [r["first"]], "trees": [[dump_trees(t) for t in rounds]], "start": [start]})
 
         found = (todo.join(packed, "split").repartition(len(parts), "first")
-                 .mapInPandas(run, "first int, trees binary, start array<double>").collect())
-        rounds = [t for r in sorted(found, key=lambda r: r["first"]) for t in load_trees(bytes(r["trees"]))]
+                 .mapInPandas(run, "first int, trees array<binary>, start array<double>").collect())
+        rounds = StoredTrees([bytes(t) for r in sorted(found, key=lambda r: r["first"]) for t in r["trees"]])
         start = np.array(found[0]["start"]) if found else np.zeros(self.classes)
         return BinnedModel(self.params_, edges, rounds, start, self.classes)
 
 
-def dump_trees(rounds: list[list[dict]]) -> bytes:
-    return json.dumps([[{k: v.tolist() for k, v in t.items()} for t in trees] for trees in rounds]).encode()
+class StoredTrees:
+    """The trees of each round or place of a forest as a few bytes, unpacked one after the other when they are walked."""
 
+    def __init__(self, data: list[bytes]):
+        self.data = data
 
-def load_trees(data: bytes) -> list[list[dict]]:
-    kinds = {"value": float}
-    return [[{k: np.array(v, dtype=kinds.get(k, np.int64)) for k, v in t.items()} for t in trees] for trees in json.loads(data)]
+    def __len__(self) -> int:
+        return len(self.data)
+
+    def __iter__(self) -> Iterator[list[dict]]:
+        return map(load_trees, self.data)
+
+    def __getitem__(self, i: int) -> list[dict]:
+        return load_trees(self.data[i])
+
+
+#: What holds the numbers of a node: there are at most 255 bins.
+NODE_TYPES = {"column": np.int32, "bin": np.uint8, "left": np.int32, "right": np.int32, "value": np.float64}
+
+
+def dump_trees(trees: list[dict]) -> bytes:
+    """The trees of a round, or of all rounds, as bytes."""
+    packed = [[{k: np.asarray(v).astype(NODE_TYPES[k]) for k, v in t.items()} for t in part] if isinstance(part, list) else
+              {k: np.asarray(v).astype(NODE_TYPES[k]) for k, v in part.items()} for part in trees]
+    return zlib.compress(pickle.dumps(packed, protocol=5), 1)
+
+
+def load_trees(data: bytes) -> list:
+    return pickle.loads(zlib.decompress(data))
 
 
 def fits(table: DataFrame, widths: list[int], most: int = CELL_BYTES) -> bool:

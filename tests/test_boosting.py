@@ -158,3 +158,19 @@ def test_one_class_and_no_columns(spark):
 
 def test_explained_names_still_map():
     assert type(md.build_explained_model("ExtraTreesClassifier", "classification", 10)).__name__ == "ExtraTrees"
+
+
+def test_trees_travel_as_few_bytes(spark):
+    """A forest of deep trees reaches the driver packed and is unpacked tree by tree."""
+    rng = np.random.default_rng(6)
+    bins = rng.integers(0, 200, (3_000, 3)).astype(np.uint8)
+    own = bo.Cells(bins, rng.integers(0, 2, 3_000), np.ones(3_000), [200] * 3)
+    rounds, _, _ = bo.fit_cells(own, own, {"model_name": "random_forest", "rf_n_estimators": 4, "rf_max_depth": 30}, 2, 1)
+    data = [bo.dump_trees(t) for t in rounds]
+    nodes = sum(len(t["column"]) for trees in rounds for t in trees)
+    assert sum(map(len, data)) < 16 * nodes
+    stored = bo.StoredTrees(data)
+    assert len(stored) == 4
+    for (a,), (b,) in zip(rounds, stored):
+        assert set(a) == set(b) and all(np.array_equal(a[k], b[k]) for k in a)
+        assert np.array_equal(bo.leaves_of(a, bins), bo.leaves_of(b, bins))
