@@ -15,6 +15,7 @@ import math
 import pickle
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,8 @@ BINS = 255
 CELL_BYTES = 64 << 20
 #: Forests are cut into blocks of so many trees, each a task of its own.
 FOREST_BLOCK = 50
+#: Sums of a level of a tree that are looked at at once.
+LEVEL_NUMBERS = 1 << 18
 #: A stored table of margins is made anew after so many trees of a training on ``SparkCells``.
 REFRESH = 20
 
@@ -86,14 +89,24 @@ class Cells:
     def __init__(self, bins: np.ndarray, label: np.ndarray, weight: np.ndarray, widths: list[int]):
         self.bins, self.label, self.weight, self.widths = bins, label.astype(np.int64), weight.astype(float), widths
         self.offsets = np.r_[0, np.cumsum(widths)].astype(np.int64)
-        self.flat = bins.astype(np.int64) + self.offsets[:-1]
         self.total = int(self.offsets[-1])
 
+    @cached_property
+    def flat(self) -> np.ndarray:
+        return self.bins.astype(np.int64) + self.offsets[:-1]
+
     def histogram(self, rows: np.ndarray, stats: np.ndarray) -> np.ndarray:
         """Sums of ``stats`` (row by statistic) over all bins of all columns."""
-        at = self.flat[rows].ravel()
-        d = self.flat.shape[1]
-        return np.stack([np.bincount(at, weights=np.repeat(s[rows], d), minlength=self.total) for s in stats.T])
+        return self.histograms(rows, stats, np.zeros(len(rows), dtype=np.int64), 1)[0]
+
+    def histograms(self, rows: np.ndarray, stats: np.ndarray, node: np.ndarray, nodes: int) -> np.ndarray:
+        """The same for many nodes at once; ``node`` holds the node of each of ``rows``."""
+        at, d = self.flat[rows], len(self.widths)
+        if nodes > 1:
+            at += (node * self.total)[:, None]
+        at = at.ravel()
+        return np.stack([np.bincount(at, weights=np.repeat(s, d), minlength=nodes * self.total).reshape(nodes, self.total)
+                         for s in stats[rows].T], axis=1)
 
 
 # Splits --------------------------------------------------------------------------------------------------------
@@ -109,24 +122,27 @@ def gain(g: np.ndarray, h: np.ndarray, penalty: float) -> np.ndarray:
     return g * g / np.maximum(h + penalty, 1e-300)
 
 
-def best_split(histogram: np.ndarray, offsets: np.ndarray, penalty: float, least_rows: float, least_hess: float,
-               first: int = 0) -> tuple[float, int, int] | None:
+def best_split(histogram: np.ndarray, offsets: np.ndarray, penalty: float, least_rows: float,
+               least_hess: float) -> tuple[float, int, int] | None:
     """Gain, column and bin of the best cut of one node by its histogram of gradient, hessian and weight. Ties go to the
-    lower column and bin. ``first``: a column whose sums give the node's totals."""
-    left = left_sums(histogram, offsets)
-    total = histogram[:, offsets[first]:offsets[first + 1]].sum(axis=1)[:, None]
-    right = total - left
-    use = (np.minimum(left[2], right[2]) >= least_rows) & (np.minimum(left[1], right[1]) >= least_hess)
-    use[offsets[1:] - 1] = False
-    if not use.any():
-        return None
-    gains = np.where(use, gain(left[0], left[1], penalty) + gain(right[0], right[1], penalty), -np.inf)
-    at = int(np.argmax(gains))
-    value = float(gains[at] - gain(total[0, 0], total[1, 0], penalty))
-    if value <= 1e-12:
-        return None
-    column = int(np.searchsorted(offsets, at, side="right") - 1)
-    return value, column, at - int(offsets[column])
+    lower column and bin."""
+    value, column, cut = best_splits(histogram[None], offsets, penalty, least_rows, least_hess)
+    return (float(value[0]), int(column[0]), int(cut[0])) if column[0] >= 0 else None
+
+
+def best_splits(histograms: np.ndarray, offsets: np.ndarray, penalty: float, least_rows: float,
+                least_hess: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for many nodes; the column of a node without a cut is -1. The first column's sums give a node's totals."""
+    left = left_sums(histograms, offsets)
+    total = histograms[..., offsets[0]:offsets[1]].sum(axis=-1)
+    right = total[..., None] - left
+    use = (np.minimum(left[:, 2], right[:, 2]) >= least_rows) & (np.minimum(left[:, 1], right[:, 1]) >= least_hess)
+    use[:, offsets[1:] - 1] = False
+    gains = np.where(use, gain(left[:, 0], left[:, 1], penalty) + gain(right[:, 0], right[:, 1], penalty), -np.inf)
+    at = gains.argmax(axis=1)
+    value = gains[np.arange(len(at)), at] - gain(total[:, 0], total[:, 1], penalty)
+    column = np.searchsorted(offsets, at, side="right") - 1
+    return value, np.where(value > 1e-12, column, -1), at - offsets[column]
 
 
 class Tree:
@@ -151,6 +167,32 @@ class Tree:
                 "value": np.array(self.value, dtype=float)}
 
 
+class Levels:
+    """A tree that grows by whole levels. A leaf has column -1."""
+
+    def __init__(self, root: np.ndarray):
+        self.parts, self.size = [], 0
+        self._add(root)
+
+    def _add(self, values: np.ndarray) -> np.ndarray:
+        n = len(values)
+        self.parts.append({"column": np.full(n, -1), "bin": np.zeros(n, np.int64), "left": np.full(n, -1),
+                           "right": np.full(n, -1), "value": values})
+        self.size += n
+        return np.arange(self.size - n, self.size)
+
+    def split(self, nodes: np.ndarray, column: np.ndarray, cut: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Cuts nodes of the last level; returns the new nodes, of each the left and the right one, which have ``values``."""
+        last, first = self.parts[-1], self.size - len(self.parts[-1]["column"])
+        new = self._add(values)
+        for name, x in (("column", column), ("bin", cut), ("left", new[::2]), ("right", new[1::2])):
+            last[name][nodes - first] = x
+        return new
+
+    def frozen(self) -> dict:
+        return {k: np.concatenate([p[k] for p in self.parts]) for k in self.parts[0]}
+
+
 def leaves_of(tree: dict, bins: np.ndarray) -> np.ndarray:
     """The leaf that each row of ``bins`` reaches."""
     at = np.zeros(len(bins), dtype=np.int64)
@@ -191,8 +233,8 @@ def derivatives(margin: np.ndarray, label: np.ndarray, k: int, classes: int, lea
     return p - (label == k), p * (1 - p) * (classes / (classes - 1) if leafwise else 2.0)
 
 
-def grow(histograms: Callable[[dict], dict], offsets: np.ndarray, p: dict, eager: bool) -> dict:
-    """One tree. ``histograms`` gives for nodes, each with its path of (column, bin, goes left), the sums of gradient,
+def grow(histograms: Callable[[dict], dict], offsets: np.ndarray, p: dict, eager: bool) -> tuple[dict, dict]:
+    """One tree, and its leaves by their paths. ``histograms`` gives for nodes, each with its path of (column, bin, goes left), the sums of gradient,
     hessian and weight; ``eager`` asks for the children of all leaves that may be split, for providers that pay per call."""
     def leaf(h: np.ndarray) -> float:
         g, hess = h[:2, offsets[0]:offsets[1]].sum(axis=1)
@@ -201,7 +243,7 @@ def grow(histograms: Callable[[dict], dict], offsets: np.ndarray, p: dict, eager
     tree, order = Tree(), 0
     root = histograms({0: ()})[0]
     tree.add(leaf(root))
-    known = {(): root}
+    known, ends = {(): root}, {(): 0}
     queue: list[tuple] = []
 
     def offer(node: int, path: tuple) -> None:
@@ -227,8 +269,42 @@ def grow(histograms: Callable[[dict], dict], offsets: np.ndarray, p: dict, eager
         leaves += 1
         offer(a, left)
         offer(b, right)
-        del known[path]
-    return tree.frozen()
+        del known[path], ends[path]
+        ends[left], ends[right] = a, b
+    return tree.frozen(), ends
+
+
+def grow_levels(learnt: Cells, bins: np.ndarray, stats: np.ndarray, p: dict) -> tuple[dict, np.ndarray]:
+    """The depth-wise tree that ``grow`` gives, level by level, and the leaf of each row of ``bins``: those of ``learnt``,
+    which have ``stats`` (gradient, hessian and weight), and behind them others that only go down."""
+    def values(h: np.ndarray) -> np.ndarray:
+        sums = h[:, :2, :learnt.offsets[1]].sum(axis=-1)
+        return -p["rate"] * sums[:, 0] / np.maximum(sums[:, 1] + p["penalty"], 1e-300)
+
+    here, at, n = np.arange(len(bins)), np.zeros(len(bins), dtype=np.int64), len(stats)  # rows that may move, their place
+    histograms = learnt.histograms(here[:n], stats, at[:n], 1)
+    tree, leaf, active = Levels(values(histograms)), np.zeros(len(here), dtype=np.int64), np.array([0])
+    for _ in range(p["depth"]):
+        step = max(1, LEVEL_NUMBERS // learnt.total)
+        parts = [best_splits(histograms[i:i + step], learnt.offsets, p["penalty"], p["least_rows"], p["least_hess"])[1:]
+                 for i in range(0, len(active), step)]
+        column, cut = (np.concatenate(x) for x in zip(*parts))
+        some = np.flatnonzero(column >= 0)
+        if not len(some):
+            break
+        part = np.full(len(active), -1, dtype=np.int64)
+        part[some] = np.arange(len(some))
+        stay = part[at] >= 0
+        here, at = here[stay], at[stay]
+        low = bins[here, column[at]] <= cut[at]
+        at = part[at]
+        own = low & (here < n)
+        left = learnt.histograms(here[own], stats, at[own], len(some))
+        histograms = np.stack([left, histograms[some] - left], axis=1).reshape(-1, *left.shape[1:])  # the sibling has the rest
+        active = tree.split(active[some], column[some], cut[some], values(histograms))
+        at = 2 * at + ~low
+        leaf[here] = active[at]
+    return tree.frozen(), leaf
 
 
 def goes(path: tuple, bins: np.ndarray) -> np.ndarray:
@@ -244,37 +320,45 @@ def boost(cells_: Cells, classes: int, params: dict, held: np.ndarray | None = N
     p = boosting_params(params)
     totals = np.bincount(cells_.label, weights=cells_.weight, minlength=classes)[:classes]
     start = start_margins(totals)
-    margin = np.tile(start, (len(cells_.label), 1))
-    out = np.tile(start, (0 if held is None else len(held), 1))
+    learnt = len(cells_.label)
+    bins = cells_.bins if held is None else np.concatenate([cells_.bins, held])
+    margin = np.tile(start, (len(bins), 1))
     rounds = []
     for _ in range(p["trees"]):
         trees, steps = [], []
         for k in range(len(start)):
-            g, h = derivatives(margin, cells_.label, k, classes, p["leafwise"])
+            g, h = derivatives(margin[:learnt], cells_.label, k, classes, p["leafwise"])
             stats = np.stack([g * cells_.weight, h * cells_.weight, cells_.weight], axis=1)
-            rows = {(): np.arange(len(margin))}
-
-            def histograms(nodes: dict) -> dict:
-                found = {}
-                for i, path in nodes.items():
-                    if path and path not in rows:
-                        own = rows[path[:-1]]
-                        low = cells_.bins[own, path[-1][0]] <= path[-1][1]
-                        rows[path], rows[(*path[:-1], (*path[-1][:2], False))] = own[low], own[~low]
-                    found[i] = cells_.histogram(rows[path], stats)
-                return found
-
-            tree = grow(histograms, cells_.offsets, p, eager=False)
+            tree, leaf = (_grow_leaves if p["leafwise"] else grow_levels)(cells_, bins, stats, p)
             trees.append(tree)
-            steps.append(tree["value"][leaves_of(tree, cells_.bins)])
-            if held is not None:
-                out[:, k] += tree["value"][leaves_of(tree, held)]
+            steps.append(tree["value"][leaf])
         for k, step in enumerate(steps):
             margin[:, k] += step
         rounds.append(trees)
         if all(len(t["column"]) == 1 and abs(t["value"][0]) < 1e-15 for t in trees):
             break  # nothing left to learn: all later trees would be the same
-    return rounds, start, out
+    return rounds, start, margin[learnt:]
+
+
+def _grow_leaves(learnt: Cells, bins: np.ndarray, stats: np.ndarray, p: dict) -> tuple[dict, np.ndarray]:
+    """A leaf-wise tree, and the leaf of each row as in ``grow_levels``."""
+    rows = {(): np.arange(len(bins))}
+
+    def histograms(nodes: dict) -> dict:
+        found = {}
+        for i, path in nodes.items():
+            if path and path not in rows:
+                own = rows[path[:-1]]
+                low = bins[own, path[-1][0]] <= path[-1][1]
+                rows[path], rows[(*path[:-1], (*path[-1][:2], False))] = own[low], own[~low]
+            found[i] = learnt.histogram(rows[path][:np.searchsorted(rows[path], len(stats))], stats)
+        return found
+
+    tree, ends = grow(histograms, learnt.offsets, p, eager=False)
+    leaf = np.zeros(len(bins), dtype=np.int64)
+    for path, node in ends.items():
+        leaf[rows[path]] = node
+    return tree, leaf
 
 
 # Forests -------------------------------------------------------------------------------------------------------
@@ -289,54 +373,104 @@ def forest_tree(cells_: Cells, classes: int, depth: int, rng: np.random.Generato
     rows = np.flatnonzero(drawn)
     if not len(rows):
         rows, drawn = np.arange(len(drawn)), cells_.weight
-    d, offsets, total = cells_.flat.shape[1], cells_.offsets, cells_.total
+    d = cells_.bins.shape[1]
     tried = max(1, int(math.sqrt(d)))
-    label, weight = cells_.label[rows], drawn[rows]
-    tree = Tree()
-    tree.add(np.bincount(label, weights=weight, minlength=classes)[:classes])
+    label, weight, bins = cells_.label[rows], drawn[rows], cells_.bins[rows]
+    level = np.bincount(label, weights=weight, minlength=classes)[:classes][None]  # class weights of the last nodes
+    tree = Levels(level / level.sum(axis=1, keepdims=True))
     node, active = np.zeros(len(rows), dtype=np.int64), np.array([0])
+    here = np.arange(len(rows))
     for _ in range(depth):
-        place = np.full(len(tree.column), -1, dtype=np.int64)
-        place[active] = np.arange(len(active))
-        here = np.flatnonzero(place[node] >= 0)
-        if not len(here):
-            break
-        at = (place[node[here]] * total)[:, None] + cells_.flat[rows[here]]
-        size = len(active) * total
-        sums = np.stack([np.bincount(at[label[here] == c].ravel(), weights=np.repeat(weight[here][label[here] == c], d),
-                                     minlength=size).reshape(len(active), total) for c in range(classes)])
-        left = left_sums(sums, offsets)
-        whole = np.array([tree.value[a] for a in active]).T[:, :, None]
-        right = whole - left
-        nl, nr = left.sum(axis=0), right.sum(axis=0)
-        score = (left ** 2).sum(axis=0) / np.maximum(nl, 1e-300) + (right ** 2).sum(axis=0) / np.maximum(nr, 1e-300)
+        whole = level
+        weight_of = whole.sum(axis=1)
+        pure = (whole ** 2).sum(axis=1) / weight_of
         chosen = np.argsort(rng.random((len(active), d)), axis=1) < tried
-        use = np.repeat(chosen, np.diff(offsets), axis=1) & (nl > 0) & (nr > 0)
-        score = np.where(use, score, -np.inf)
-        best = score.argmax(axis=1)
-        top = score[np.arange(len(active)), best]
-        pure = (whole[:, :, 0] ** 2).sum(axis=0) / whole[:, :, 0].sum(axis=0)
-        following = []
-        for i, a in enumerate(active):
-            impure = pure[i] < whole[:, i, 0].sum() - 1e-9
-            if impure and not np.isfinite(top[i]) and (nl[i] * nr[i] > 0).any():  # none of the drawn columns can cut it
-                options = np.flatnonzero((nl[i] > 0) & (nr[i] > 0))
-                best[i] = rng.choice(options)
-                top[i] = 0.0
-            if impure and np.isfinite(top[i]):
-                column = int(np.searchsorted(offsets, best[i], side="right") - 1)
-                following += tree.split(a, column, int(best[i] - offsets[column]), left[:, i, best[i]], right[:, i, best[i]])
-        if not following:
+        mixed = np.flatnonzero(pure < weight_of - 1e-9)  # places in ``active`` of nodes with more than one class
+        if not len(mixed):
+            break
+        place = np.full(tree.size, -1, dtype=np.int64)
+        place[active[mixed]] = np.arange(len(mixed))
+        here = here[place[node[here]] >= 0]
+        at = place[node[here]]
+        whole, columns = whole[mixed], np.nonzero(chosen[mixed])[1].reshape(len(mixed), tried)
+        column, cut, left = gini_cuts(bins[here], label[here], weight[here], at, whole, columns, cells_.widths)
+        lost = np.flatnonzero(column < 0)
+        if len(lost):  # none of the drawn columns can cut these: any cut of any column
+            column[lost], cut[lost] = random_cuts(bins, here, at, lost, len(mixed), rng)
+            of = np.full(len(mixed), -1, dtype=np.int64)
+            of[lost[column[lost] >= 0]] = np.flatnonzero(column[lost] >= 0)
+            own = here[of[at] >= 0]
+            to = of[place[node[own]]]
+            low = bins[own, column[lost][to]] <= cut[lost][to]
+            left[lost] = np.bincount(to[low] * classes + label[own[low]], weights=weight[own[low]],
+                                     minlength=len(lost) * classes).reshape(-1, classes)
+        some = np.flatnonzero(column >= 0)
+        if not len(some):
             break
-        column, cut = np.array(tree.column), np.array(tree.bin)
-        moved = here[column[node[here]] >= 0]
-        own = node[moved]
-        low = cells_.bins[rows[moved], column[own]] <= cut[own]
-        node[moved] = np.where(low, np.array(tree.left)[own], np.array(tree.right)[own])
-        active = np.array(following)
-    shares = np.array([v / v.sum() for v in tree.value])
-    tree.value = [0.0] * len(shares)
-    return {**tree.frozen(), "value": shares}
+        level = np.stack([left[some], whole[some] - left[some]], axis=1).reshape(-1, classes)
+        active = tree.split(active[mixed[some]], column[some], cut[some], level / level.sum(axis=1, keepdims=True))
+        part = np.full(len(mixed), -1, dtype=np.int64)
+        part[some] = np.arange(len(some))
+        here, at = here[part[at] >= 0], at[part[at] >= 0]
+        low = bins[here, column[at]] <= cut[at]
+        node[here] = active[2 * part[at] + np.where(low, 0, 1)]
+    return tree.frozen()
+
+
+def gini_cuts(bins: np.ndarray, label: np.ndarray, weight: np.ndarray, at: np.ndarray, whole: np.ndarray,
+              columns: np.ndarray, widths: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each node the best Gini cut among its ``columns`` (rising): column, bin and class weights on the left; column -1
+    where none of them varies. ``at``: the node of each row; ``whole``: class weights by node. Ties go to the lower column
+    and bin. Only bins that occur are looked at, as a cut at another one is that of the bin before it."""
+    nodes, classes = whole.shape
+    wide = np.asarray(widths, dtype=np.int64)[columns]
+    begin = (np.cumsum(wide) - wide.ravel()).reshape(wide.shape)
+    spot = (begin[at] + np.take_along_axis(bins, columns[at], axis=1)).ravel()
+    size = int(wide.sum())
+    held = np.bincount(spot, minlength=size)
+    seen = np.flatnonzero(held)
+    rank = np.zeros(size, dtype=np.int64)
+    rank[seen] = np.arange(len(seen))
+    spot = rank[spot]
+    tries = columns.shape[1]
+    sums = np.stack([np.bincount(spot, weights=np.repeat(np.where(label == c, weight, 0.0), tries), minlength=len(seen))
+                     for c in range(classes)])
+    group = np.searchsorted(begin.ravel(), seen, side="right") - 1  # node and column of each occurring bin
+    start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    left = np.cumsum(sums, axis=1)
+    before = np.concatenate([np.zeros((classes, 1)), left], axis=1)[:, start]
+    left -= np.repeat(before, np.diff(np.r_[start, len(seen)]), axis=1)
+    of = group // tries
+    right = whole.T[:, of] - left
+    nl, nr = left.sum(axis=0), right.sum(axis=0)
+    score = (left ** 2).sum(axis=0) / np.maximum(nl, 1e-300) + (right ** 2).sum(axis=0) / np.maximum(nr, 1e-300)
+    score[(nl <= 0) | (nr <= 0)] = -np.inf
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])  # every node has rows, and so bins
+    top = np.maximum.reduceat(score, first)
+    hits = np.flatnonzero(score == np.repeat(top, np.diff(np.r_[first, len(seen)])))
+    best = hits[np.flatnonzero(np.r_[True, of[hits][1:] != of[hits][:-1]])]
+    found = np.isfinite(top)
+    column = np.where(found, columns.ravel()[group[best]], -1)
+    return column, seen[best] - begin.ravel()[group[best]], np.ascontiguousarray(left[:, best].T)
+
+
+def random_cuts(bins: np.ndarray, here: np.ndarray, at: np.ndarray, asked: np.ndarray, nodes: int,
+                rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the nodes ``asked`` one cut, drawn from all that leave rows on both sides: column (-1 if there is none)
+    and bin. ``at``: the node of each row of ``here``."""
+    wanted = np.zeros(nodes, dtype=bool)
+    wanted[asked] = True
+    own = np.flatnonzero(wanted[at])
+    own = own[np.argsort(at[own], kind="stable")]
+    start = np.flatnonzero(np.r_[True, at[own][1:] != at[own][:-1]])
+    mine = bins[here[own]]
+    low = np.minimum.reduceat(mine, start, axis=0).astype(np.int64)
+    ends = np.cumsum(np.maximum.reduceat(mine, start, axis=0) - low, axis=1)
+    drawn = np.array([rng.integers(0, n) if n else -1 for n in ends[:, -1]])
+    column = (ends <= drawn[:, None]).sum(axis=1)
+    line = np.arange(len(asked))
+    cut = low[line, column] + drawn - np.where(column > 0, ends[line, column - 1], 0)
+    return np.where(drawn >= 0, column, -1), cut
 
 
 # Training many models ------------------------------------------------------------------------------------------
@@ -383,18 +517,29 @@ def blocks(params: dict) -> list[tuple[int, int | None]]:
     return [(i, min(FOREST_BLOCK, n - i)) for i in range(0, n, FOREST_BLOCK)]
 
 
+def work(params: dict, trees: int | None) -> float:
+    """About how long a part of a model takes: its trees times their levels."""
+    if params["model_name"] == "random_forest":
+        return trees * min(int(params["rf_max_depth"]), 20)
+    p = boosting_params(params)
+    return p["trees"] * min(p["depth"], 5)
+
+
+def dealt_parts(packed: DataFrame, key: str, asked: list[tuple[int, object, dict]]) -> DataFrame:
+    """The parts of the models, each with the cells of its key in a task of its own: hashes would give one task two parts
+    and another none. The longest parts start first."""
+    parts = sorted(((m, k, p, a, n) for m, k, p in asked for a, n in blocks(p)), key=lambda x: -work(x[2], x[4]))
+    rows = [(m, k, json.dumps(p), a, n, i) for i, (m, k, p, a, n) in enumerate(parts)]
+    kind = packed.schema[key].dataType.simpleString()
+    todo = packed.sparkSession.createDataFrame(rows, f"model int, {key} {kind}, params string, first int, trees int, task int")
+    return todo.join(packed, key).repartitionByRange(max(1, len(rows)), "task")
+
+
 def score_models(packed: DataFrame, key: str, asked: list[tuple[int, object, dict]], widths: dict, classes: int,
                  seed: int = 42) -> dict:
     """``{(model, key value): (right, all)}`` for models (number, key value, params) fitted on the cells of their key that are
     not held, and tried on those that are. One task per model, or per block of a forest; scores meet by model."""
-    spark = packed.sparkSession
-    rows = [(m, k, json.dumps(p), a, n) for m, k, p in asked for a, n in blocks(p)]
-    if not rows:
-        return {}
-    kind = packed.schema[key].dataType.simpleString()
-    todo = spark.createDataFrame(rows, f"model int, {key} {kind}, params string, first int, trees int")
-    todo = todo.withColumn("task", F.row_number().over(_all_by("params", "model", key, "first")))
-    joined = todo.join(packed, key).repartition(len(rows), "task")  # one row per block of trees: a bounded table
+    joined, kind = dealt_parts(packed, key, asked), packed.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -416,11 +561,6 @@ def score_models(packed: DataFrame, key: str, asked: list[tuple[int, object, dic
     return {(r["model"], r[key]): (r["hits"], r["rows"]) for r in found}
 
 
-def _all_by(*order: str):
-    from pyspark.sql import Window
-    return Window.partitionBy(F.lit(0)).orderBy(*order)
-
-
 # Cells beyond one task -----------------------------------------------------------------------------------------
 
 class SparkCells:
@@ -484,7 +624,7 @@ class SparkCells:
         p = boosting_params(params)
         rounds: list[list[dict]] = []
         for _ in range(p["trees"]):
-            rounds.append([grow(lambda nodes, k=k: self.histograms(rounds, k, nodes, p["leafwise"]), self.offsets, p, eager=True)
+            rounds.append([grow(lambda nodes, k=k: self.histograms(rounds, k, nodes, p["leafwise"]), self.offsets, p, eager=True)[0]
                            for k in range(len(self.start))])
             if len(rounds) - self.stored >= REFRESH:
                 self.keep(rounds)

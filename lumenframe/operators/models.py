@@ -205,17 +205,23 @@ class PreparedFolds:
 
     def evaluate(self, fold: int, models: list[tuple[int, dict]]) -> dict:
         """``{number: (hits, rows)}`` on the held rows of a fold."""
-        if (fold,) not in self.widths:
-            return {}
+        return self.evaluate_folds([fold], models)[fold]
+
+    def evaluate_folds(self, folds: list[int], models: list[tuple[int, dict]]) -> dict:
+        """``{fold: {number: (hits, rows)}}`` on the held rows of many folds; all models of all folds run side by side."""
+        known = [f for f in folds if (f,) in self.widths]
+        found: dict = {f: {} for f in folds}
         trees = [(m, p) for m, p in models if self.packed is not None and p["model_name"] != "logistic_regression"]
-        others = [(m, p) for m, p in models if (m, p) not in trees]
+        others = [(m, f, p) for f in known for m, p in models if (m, p) not in trees]
         with ThreadPool(1 + min(len(others), PARALLEL)) as pool:
             grown = pool.apply_async(score_models, (
-                self.packed.filter(F.col("split") == fold) if trees else None, "split", [(m, fold, p) for m, p in trees],
-                self.widths, self.classes, self.seed)) if trees else None
-            found = dict(zip([m for m, _ in others], pool.map(lambda x: self._alone(fold, x[1]), others, chunksize=1)))
+                self.packed.filter(F.col("split").isin(known)), "split", [(m, f, p) for f in known for m, p in trees],
+                self.widths, self.classes, self.seed)) if trees and known else None
+            for (m, f, _), score in zip(others, pool.map(lambda x: self._alone(x[1], x[2]), others, chunksize=1)):
+                found[f][m] = score
             if grown:
-                found |= {m: v for (m, _), v in grown.get().items()}
+                for (m, f), score in grown.get().items():
+                    found[f][m] = score
         return found
 
 
@@ -249,8 +255,11 @@ def search(df: DataFrame, key: str, features: list[str], target: str, trials: in
     table = materialise(stratified_folds(labelled, key, "label", folds, seed), "folds")
     kept = TrialStore(spark, store or scratch_path(spark, "trials"))
     ready = PreparedFolds(table, features, len(classes), folds, seed)
-    done = run_trials(kept, folds, lambda fold, models: ready.evaluate(fold, [(m, limited(p, max_trees)) for m, p in models]),
-                      trials, seed, batch_size)
+
+    def together(asked: list[int], models: list[tuple[int, dict]]) -> dict:
+        return ready.evaluate_folds(asked, [(m, limited(p, max_trees)) for m, p in models])
+
+    done = run_trials(kept, folds, lambda fold, models: together([fold], models)[fold], trials, seed, batch_size, together)
     best = best_trial(done)
     rows = [(t.number, t.params["model_name"], {k: str(v) for k, v in t.params.items() if k != "model_name"}, t.mean,
              len(t.scores), t.stopped) for t in done]

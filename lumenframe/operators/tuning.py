@@ -1,7 +1,8 @@
 """Guided model search: a tree-structured Parzen sampler, a median stop after each fold, and a store of trials.
 
-Trials run in batches, a batch fold by fold. After each fold its results are written to the store as one folder; a search
-that was cut off reads the folders that are whole and goes on behind them. What a trial draws depends only on the seed and on
+Trials run in batches, a batch fold by fold, or several folds at once: what a stopped trial found behind its stop is then
+dropped. The results of each fold are written to the store as one folder; a search that was cut off reads the folders that
+are whole and goes on behind them. What a trial draws depends only on the seed and on
 finished trials of earlier batches, so a search that goes on ends like one that was never cut off.
 """
 
@@ -188,14 +189,20 @@ class Trial:
 
 
 def run_trials(store: TrialStore, folds: int, evaluate: Callable[[int, list[tuple[int, dict]]], dict], trials: int = TRIALS,
-               seed: int = 42, batch_size: int = BATCH) -> list[Trial]:
-    """All trials. ``evaluate`` gives for a fold and the models (number, params) of a batch ``{number: (hits, rows)}``."""
+               seed: int = 42, batch_size: int = BATCH,
+               together: Callable[[list[int], list[tuple[int, dict]]], dict] | None = None) -> list[Trial]:
+    """All trials. ``evaluate`` gives for a fold and the models (number, params) of a batch ``{number: (hits, rows)}``.
+
+    ``together`` gives the same by fold for many folds. It is asked for the first fold where that may stop trials, and for
+    all others at once, so that no fold waits for the slowest model of the fold before; the result is the same.
+    """
     done: list[Trial] = []
     for batch, first in enumerate(range(0, trials, batch_size)):
         # stopped trials rank below all whole ones, by how far they came
         finished = [(t.params, t.mean if not t.stopped else len(t.scores) / folds - 2 + t.mean / 1e6) for t in done]
         own = [Trial(i, propose(i, seed, finished)) for i in range(first, min(first + batch_size, trials))]
         whole = [t.scores for t in done if not t.stopped]
+        ready: dict[int, dict] = {}
         for fold in range(folds):
             running = [t for t in own if not t.stopped]
             if not running:
@@ -208,7 +215,11 @@ def run_trials(store: TrialStore, folds: int, evaluate: Callable[[int, list[tupl
                     trial.scores.append(r["hits"] / r["rows"] if r["rows"] else 0.0)
                     trial.stopped = r["stopped"]
                 continue
-            found = evaluate(fold, [(t.number, t.params) for t in running])
+            models = [(t.number, t.params) for t in running]
+            if together and fold not in ready:
+                alone = fold == 0 and len(whole) >= LEAST_WHOLE
+                ready = together([fold] if alone else [f for f in range(fold, folds) if not store.whole(batch, f)], models)
+            found = ready.pop(fold) if together else evaluate(fold, models)
             rows = []
             for t in running:
                 hits, n = found.get(t.number, (0.0, 0.0))

@@ -174,3 +174,59 @@ def test_trees_travel_as_few_bytes(spark):
     for (a,), (b,) in zip(rounds, stored):
         assert set(a) == set(b) and all(np.array_equal(a[k], b[k]) for k in a)
         assert np.array_equal(bo.leaves_of(a, bins), bo.leaves_of(b, bins))
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_levels_give_the_tree_of_the_queue(classes):
+    x, y = made(1500, classes)
+    own, p = cells_of(x, y, classes), bo.boosting_params({**PARAMS["xgboost"], "xgb_max_depth": 7})
+    g, h = bo.derivatives(np.tile(bo.start_margins(np.bincount(own.label)), (len(y), 1)), own.label, 0, classes, False)
+    stats = np.stack([g, h, np.ones(len(y))], axis=1)
+    want, ends = bo.grow(lambda nodes: {i: own.histogram(np.flatnonzero(bo.goes(path, own.bins)), stats)
+                                        for i, path in nodes.items()}, own.offsets, p, eager=False)
+    got, leaf = bo.grow_levels(own, np.concatenate([own.bins, own.bins[::-1]]), stats, p)
+    assert set(got) == set(want) and all(np.array_equal(got[k], want[k]) for k in want) and len(got["column"]) > 40
+    assert np.array_equal(leaf, np.r_[(there := bo.leaves_of(want, own.bins)), there[::-1]])
+    assert all((there[bo.goes(path, own.bins)] == node).all() for path, node in ends.items())
+
+
+def test_gini_cuts_of_many_nodes():
+    """Against each cut of each node on its own; nodes whose columns don't vary take a cut of any column."""
+    rng = np.random.default_rng(8)
+    bins = np.c_[rng.integers(0, 30, 900), rng.integers(0, 2, (900, 3)), np.zeros(900)].astype(np.uint8)
+    label, weight, at = rng.integers(0, 3, 900), rng.integers(1, 4, 900).astype(float), rng.integers(0, 40, 900)
+    at[:900] = np.r_[np.arange(40), at[40:]]
+    whole = np.stack([np.bincount(label[at == i], weights=weight[at == i], minlength=3) for i in range(40)])
+    columns = np.sort(np.argsort(rng.random((40, 5)), axis=1)[:, :2], axis=1)
+    columns[7] = 3, 4
+    bins[at == 7, 3] = 1
+    column, cut, left = bo.gini_cuts(bins, label, weight, at, whole, columns, [30, 2, 2, 2, 1])
+    for i in range(40):
+        best = None
+        for c in columns[i]:
+            for b in range(30):
+                low = (at == i) & (bins[:, c] <= b)
+                ours = np.bincount(label[low], weights=weight[low], minlength=3)
+                rest = whole[i] - ours
+                if ours.sum() and rest.sum():
+                    score = (ours ** 2).sum() / ours.sum() + (rest ** 2).sum() / rest.sum()
+                    if best is None or score > best[0]:
+                        best = score, c, b, ours
+        assert (column[i] == -1) == (best is None)
+        if best:
+            assert (column[i], cut[i]) == best[1:3] and np.array_equal(left[i], best[3])
+    assert column[7] == -1
+    picked, place = bo.random_cuts(bins, np.arange(900), at, np.array([7, 9]), 40, np.random.default_rng(2))
+    for i, c, b in zip((7, 9), picked, place):
+        low = bins[at == i, c] <= b
+        assert low.any() and not low.all()
+
+
+def test_every_block_has_a_task_of_its_own(spark):
+    """Two blocks in one task would run one after the other while other tasks are empty."""
+    packed = spark.createDataFrame([(s, b"x") for s in range(5)], "split int, bins binary")
+    asked = [(m, s, p) for m, p in enumerate([*PARAMS.values(), {**PARAMS["random_forest"], "rf_n_estimators": 120}])
+             for s in range(5)]
+    rows = bo.dealt_parts(packed, "split", asked).select(F.spark_partition_id().alias("at"), "task", "model", "split").collect()
+    assert sorted(r["at"] for r in rows) == sorted(r["task"] for r in rows) == list(range(5 * (1 + 1 + 2 + 3)))
+    assert {(r["model"], r["split"]) for r in rows} == {(m, s) for m, s, _ in asked}

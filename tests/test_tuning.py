@@ -126,3 +126,39 @@ def test_folds_are_prepared_without_their_held_rows(spark):
                    {"model_name": "xgboost", "xgb_n_estimators": 5, "xgb_max_depth": 3, "xgb_learning_rate": 0.3}):
         hits, n = ready.evaluate(fold, [(7, params)])[7]
         assert n == 20 and 0 <= hits <= 20
+
+
+def test_folds_run_together(spark, tmp_path):
+    """All folds of trials that nothing can stop are asked for at once, and of later ones all but the first; what comes out
+    is that of one fold after the other, also in the store and when a search goes on."""
+    asked = []
+
+    def evaluate(fold, models):
+        return {m: (100 * random.Random(json.dumps([p, fold])).random(), 150.0) for m, p in models}
+
+    def together(folds, models):
+        asked.append((folds, [m for m, _ in models]))
+        return {f: evaluate(f, models) for f in folds}
+
+    kept = [tu.TrialStore(spark, f"{tmp_path}/{x}") for x in ("one", "many")]
+    want = tu.run_trials(kept[0], 3, evaluate, trials=18, batch_size=6)
+    assert tu.run_trials(kept[1], 3, None, trials=18, batch_size=6, together=together) == want
+    assert any(t.stopped for t in want)
+    assert [f for f, _ in asked] == [[0, 1, 2], [0], [1, 2], [0], [1, 2]]
+    assert asked[2][1] == [t.number for t in want[6:12] if not (t.stopped and len(t.scores) == 1)]
+    one, many = (sorted(map(tuple, k.table().collect())) for k in kept)
+    assert one == many
+    asked.clear()
+    part = tu.TrialStore(spark, f"{tmp_path}/part")
+    tu.run_trials(part, 3, evaluate, trials=6, batch_size=6)
+    assert tu.run_trials(part, 3, None, trials=18, batch_size=6, together=together) == want and len(asked) == 4
+
+
+def test_folds_of_a_table_side_by_side(spark):
+    rows = [(i, float(i % 17), "ab"[i % 2], int(i * 7 % 17 > 8)) for i in range(90)]
+    table, classes = md.with_label(spark.createDataFrame(pd.DataFrame(rows, columns=["id", "x", "t", "y"])), "y")
+    ready = md.PreparedFolds(md.stratified_folds(table, "id", "label", 3), ["x", "t"], len(classes), 3)
+    models = [(0, {"model_name": "logistic_regression", "lr_c": 1.0}),
+              (1, {"model_name": "random_forest", "rf_n_estimators": 60, "rf_max_depth": 4}),
+              (2, {"model_name": "lightgbm", "lgbm_n_estimators": 5, "lgbm_learning_rate": 0.3})]
+    assert ready.evaluate_folds([0, 1, 2], models) == {f: ready.evaluate(f, models) for f in range(3)}
