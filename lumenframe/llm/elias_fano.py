@@ -138,9 +138,11 @@ class Lists:
 
     @classmethod
     def build(cls, sizes: np.ndarray, numbers: np.ndarray) -> Lists:
-        """``sizes``: the length of each list, none empty; ``numbers``: all lists one after the other."""
+        """``sizes``: the length of each list; ``numbers``: all lists one after the other."""
         ends = np.cumsum(np.asarray(sizes, dtype=np.int64))
-        base = np.r_[0, np.cumsum(numbers[ends - 1] + 1)[:-1]] if len(ends) else np.zeros(0, np.int64)
+        base = np.zeros(len(ends), dtype=np.int64)
+        if len(numbers):
+            base[1:] = np.cumsum(np.where(sizes, numbers[ends - 1] + 1, 0))[:-1]
         return cls(EliasFano.build(np.r_[0, ends]), EliasFano.build(np.repeat(base, sizes) + numbers))
 
     def bounds(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

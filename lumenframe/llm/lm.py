@@ -15,9 +15,11 @@ discounts) and laid down as levels of a trie, one file per shard that the task m
 A query goes down by successor search relative to the list of its context, and backs off where a search fails. All shards
 work on their own tokens alone, and only sums per document travel back.
 
-A word b of very many tokens is cut into groups by the word before it (by document too, if that word is as frequent); each
-group is a context with its own estimates, so that no shard grows with its words' counts. The first token of a text has no
-context and takes the unigram probability.
+The tokens after a word b of very many tokens are cut into groups by the word w that follows, by the word a before as well
+if w is as frequent, and by document if all three are, so that no shard grows with its words' counts. Counts that such a cut
+has parted are summed over all groups before anything is estimated: each shard sends its parts of them to slices by context
+and gets the sums back, so the model doesn't depend on the cut. The first token of a text has no context and takes the
+unigram probability.
 """
 
 from __future__ import annotations
@@ -236,7 +238,7 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, 1 + np.rint(OCTAVE * np.log2(np.maximum(counts, 1))), 0).astype(np.int64)
 
 
-def _answer(shards: int):
+def _answer(shards: int, hot: int):
     """The words of a slice: their counts over all chunks and their numbers, for each chunk that asked."""
     def run(key: tuple, frames: pd.DataFrame) -> pd.DataFrame:
         parts = [unpack(d, "i8", "i8") for d in frames["data"]]
@@ -250,7 +252,8 @@ def _answer(shards: int):
         data = [pack(numbers[codes[e - len(p[0]):e]], counts[codes[e - len(p[0]):e]]) for e, p in zip(ends, parts)]
         none = [0] * (len(parts) - 1)
         return pd.DataFrame({"shard": key[0], "chunk": frames["chunk"].to_numpy(), "data": data,
-                             "tokens": [int(counts.sum())] + none, "kinds": [int((counts > 0).sum())] + none})
+                             "tokens": [int(counts.sum())] + none, "kinds": [int((counts > 0).sum())] + none,
+                             "groups": [int(_groups(numbers, hot).max())] + [1] * len(none)})
     return run
 
 
@@ -262,16 +265,27 @@ def unigram(numbers: np.ndarray, tokens: int, kinds: int) -> np.ndarray:
 
 # Tokens to shards ----------------------------------------------------------------------------------------------
 
-def _spread(a: np.ndarray, b: np.ndarray, doc: np.ndarray, count_a: np.ndarray, count_b: np.ndarray, hot: int,
+def _groups(numbers: np.ndarray, hot: int, starts: int = 0) -> np.ndarray:
+    """Into how many groups tokens are cut for a word's sake, by the level in its number. Number 0 is the start of a text,
+    which is seen ``starts`` times."""
+    level = numbers >> LEVEL_BITS
+    count = np.where(level > 0, np.exp2((np.maximum(level, 1) - 1) / OCTAVE), 0.0).astype(np.int64)
+    return 1 + np.where(numbers == 0, starts, count) // hot
+
+
+def _spread(a: np.ndarray, b: np.ndarray, w: np.ndarray, doc: np.ndarray, groups: tuple[np.ndarray, np.ndarray, np.ndarray],
             shards: int) -> np.ndarray:
-    """Shard of each token with the words a, b before it."""
-    groups_b, groups_a = 1 + count_b // hot, 1 + count_a // hot
-    group = np.where(groups_b > 1, _mix(a) % groups_b, 0)
-    both = np.where((groups_b > 1) & (groups_a > 1), _mix(doc + 1) % np.minimum(groups_a, groups_b), 0)
-    return _mix(_mix(b) + group * 0x9E3779B1 + both * 0x85EBCA6B) % shards
+    """Shard of each token w with the words a, b before it; ``groups`` of a, b and w."""
+    of_a, of_b, of_w = groups
+    first = np.where(of_b > 1, _mix(w) % of_b, 0)
+    few = np.minimum(of_b, of_w)
+    second = np.where(few > 1, _mix(a + 1) % few, 0)
+    few = np.minimum(few, of_a)
+    third = np.where(few > 1, _mix(doc + 1) % few, 0)
+    return _mix(_mix(b) + first * 0x9E3779B1 + second * 0x85EBCA6B + third * 0xC2B2AE35) % shards
 
 
-def _send(tokens: int, kinds: int, hot: int, shards: int):
+def _send(tokens: int, kinds: int, hot: int, texts: int, shards: int):
     """Chunks with the answers of all slices -> base scores (in shard rows of their own) and tokens by shard."""
     def one(chunk: str, n_words: int, docs: bytes, codes: bytes, answers: list) -> Iterator[tuple]:
         parts = [unpack(r["data"], "i8", "i8") for r in sorted(answers, key=lambda r: r["shard"])]
@@ -291,7 +305,8 @@ def _send(tokens: int, kinds: int, hot: int, shards: int):
         order = np.argsort(numbers)
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(1, len(order) + 1)
-        sorted_numbers, sorted_counts = np.r_[0, numbers[order]], np.r_[int(counts[-1]), counts[order]]  # 0: before the text
+        sorted_numbers = np.r_[0, numbers[order]]  # 0: before the text
+        groups = _groups(sorted_numbers, hot, texts)
         token = rank[codes]
         doc = np.repeat(np.arange(len(sizes)), sizes)
         inner = np.ones(len(token), dtype=bool)
@@ -303,7 +318,7 @@ def _send(tokens: int, kinds: int, hot: int, shards: int):
         a = np.r_[0, 0, token[:-2]][:len(token)]
         a = np.where(second, 0, a)[inner]
         doc = doc[inner]
-        shard = _spread(sorted_numbers[a], sorted_numbers[b], ids[doc], sorted_counts[a], sorted_counts[b], hot, shards)
+        shard = _spread(sorted_numbers[a], sorted_numbers[b], sorted_numbers[w], ids[doc], (groups[a], groups[b], groups[w]), shards)
         n = len(order) + 1
         if n < 1 << 21:
             by = np.argsort((b * n + a) * n + w, kind="stable")
@@ -344,35 +359,78 @@ def _sizes(starts: np.ndarray, n: int) -> np.ndarray:
     return np.diff(np.r_[starts, n])
 
 
-def build_levels(words: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, count: np.ndarray, lower: np.ndarray,
-                 discount: float = DISCOUNT) -> dict:
-    """Levels of the n-grams (a, b, w), sorted by b, a, w, as places in ``words``; all counts are above zero.
-
-    ``lower``: unigram probability of each of ``words``.
-    """
-    key = b * np.int64(max(len(words), 1)) + w
-    by = np.argsort(key, kind="stable")
-    start = _runs(key[by])
-    pair_b, pair_w = b[by[start]], w[by[start]]
-    pair_n = np.add.reduceat(count[by], start) if len(start) else start
-    pair_of = np.empty(len(b), dtype=np.int64)
-    pair_of[by] = np.repeat(np.arange(len(start)), _sizes(start, len(b)))
-    node = _runs(pair_b)
-    size = _sizes(node, len(pair_b))
-    total = np.add.reduceat(pair_n, node) if len(node) else node
-    weight = discount * size / np.maximum(total, 1)
-    p2 = (pair_n - discount) / np.repeat(total, size) + np.repeat(weight, size) * lower[pair_w]
-    context = _runs(b, a)
-    size2 = _sizes(context, len(b))
-    total2 = np.add.reduceat(count, context) if len(context) else context
-    weight2 = discount * size2 / np.maximum(total2, 1)
-    p3 = (count - discount) / np.repeat(total2, size2) + np.repeat(weight2, size2) * p2[pair_of]
-    first = np.repeat(node, size)  # of the list of b, for each pair
-    children = _runs(b[context])
-    return {"words": EliasFano.build(words), "nodes": EliasFano.build(pair_b[node]), "after": Lists.build(size, pair_w),
-            "before": Lists.build(_sizes(children, len(context)), a[context]),
-            "after2": Lists.build(size2, pair_of - first[pair_of]),
-            "p2": quantised(p2), "p3": quantised(p3), "back": quantised(weight), "back2": quantised(weight2)}
+class Grams:
+    """Counted n-grams (a, b, w), sorted by b, a, w as places among ``n`` words; their pairs (b, w), nodes b and contexts
+    (a, b) with total and number of kinds. An n-gram of count zero is there to be asked for."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, count: np.ndarray, n: int):
+        self.a, self.b, self.w, self.count = a, b, w, count
+        by = np.argsort(b * np.int64(max(n, 1)) + w, kind="stable")
+        start = _runs(b[by], w[by])
+        self.pair_b, self.pair_w, self.pair_n = b[by[start]], w[by[start]], _sums(count[by], start)
+        self.pair_of = np.empty(len(b), dtype=np.int64)
+        self.pair_of[by] = np.repeat(np.arange(len(start)), _sizes(start, len(b)))
+        self.node, self.context = _runs(self.pair_b), _runs(b, a)
+        self.total, self.kinds = _sums(self.pair_n, self.node), _sums(self.pair_n > 0, self.node)
+        self.total2, self.kinds2 = _sums(count, self.context), _sums(count > 0, self.context)
+
+    def parted(self, hot_a: np.ndarray, hot_b: np.ndarray, hot_w: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Nodes, pairs, contexts and n-grams of which other shards may hold a part, by what is known of each word."""
+        return (np.flatnonzero(hot_b[self.pair_b[self.node]]), np.flatnonzero(hot_b[self.pair_b] & hot_w[self.pair_w]),
+                np.flatnonzero(hot_b[self.b[self.context]]), np.flatnonzero(hot_b[self.b] & hot_w[self.w] & hot_a[self.a]))
+
+    def parts(self, words: np.ndarray, parted: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+        """What this shard knows of them: b, a (-1 for nodes and pairs), w (0 for nodes and contexts), counts and kinds. Counts
+        of nodes and contexts leave out those that stand there for themselves."""
+        nodes, pairs, contexts, grams = parted
+        rest, rest2 = self.pair_n.copy(), self.count.copy()
+        rest[pairs], rest2[grams] = 0, 0
+        none = [np.zeros(len(x), dtype=np.int64) for x in parted]
+        b = [words[self.pair_b[self.node[nodes]]], words[self.pair_b[pairs]], words[self.b[self.context[contexts]]], words[self.b[grams]]]
+        a = [none[0] - 1, none[1] - 1, words[self.a[self.context[contexts]]], words[self.a[grams]]]
+        w = [none[0], words[self.pair_w[pairs]], none[2], words[self.w[grams]]]
+        count = [_sums(rest, self.node)[nodes], self.pair_n[pairs], _sums(rest2, self.context)[contexts], self.count[grams]]
+        kinds = [_sums(rest > 0, self.node)[nodes], none[1], _sums(rest2 > 0, self.context)[contexts], none[3]]
+        return [np.concatenate(x) for x in (b, a, w, count, kinds)]
+
+    def put(self, parted: tuple[np.ndarray, ...], count: np.ndarray, kinds: np.ndarray) -> None:
+        """Takes over the sums of all shards, in the order of ``parts``."""
+        nodes, pairs, contexts, grams = parted
+        ends = np.cumsum([len(x) for x in parted])
+        self.total[nodes], self.pair_n[pairs], self.total2[contexts], self.count[grams] = np.split(count, ends[:-1])
+        self.kinds[nodes], _, self.kinds2[contexts], _ = np.split(kinds, ends[:-1])
+
+
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values.astype(np.int64), starts) if len(starts) else np.zeros(0, dtype=np.int64)
+
+
+def build_levels(words: np.ndarray, grams: Grams, lower: np.ndarray, discount: float = DISCOUNT) -> dict:
+    """Levels of what has been seen: nodes, pairs, contexts and n-grams with counts above zero, as places in those of ``words``
+    that occur in them. ``lower``: unigram probability of each of ``words``."""
+    g, length = grams, len(words)
+    pairs, triples = np.flatnonzero(g.pair_n), np.flatnonzero(g.count)
+    nodes, contexts = np.flatnonzero(g.total), np.flatnonzero(g.total2)
+    node_b, context_b, context_a = g.pair_b[g.node[nodes]], g.b[g.context[contexts]], g.a[g.context[contexts]]
+    used = np.zeros(length, dtype=bool)
+    for x in (node_b, context_a, g.pair_w[pairs]):
+        used[x] = True
+    place = np.cumsum(used) - 1
+    at = np.repeat(np.arange(len(g.node)), _sizes(g.node, len(g.pair_b)))[pairs]  # the node of each pair
+    weight = discount * g.kinds / np.maximum(g.total, 1)
+    p2 = (g.pair_n[pairs] - discount) / g.total[at] + weight[at] * lower[g.pair_w[pairs]]
+    rank = np.cumsum(g.pair_n > 0) - 1
+    pair_of = rank[g.pair_of[triples]]
+    at2 = np.repeat(np.arange(len(g.context)), _sizes(g.context, len(g.b)))[triples]  # the context of each n-gram
+    weight2 = discount * g.kinds2 / np.maximum(g.total2, 1)
+    p3 = (g.count[triples] - discount) / g.total2[at2] + weight2[at2] * p2[pair_of]
+    size, size2 = np.bincount(at, minlength=len(g.node))[nodes], np.bincount(at2, minlength=len(g.context))[contexts]
+    first = (np.cumsum(size) - size)[np.searchsorted(node_b, g.b[triples])]  # of the list of b, for each n-gram
+    children = np.bincount(np.searchsorted(node_b, context_b), minlength=len(nodes))
+    return {"words": EliasFano.build(words[used]), "nodes": EliasFano.build(place[node_b]),
+            "after": Lists.build(size, place[g.pair_w[pairs]]), "before": Lists.build(children, place[context_a]),
+            "after2": Lists.build(size2, pair_of - first),
+            "p2": quantised(p2), "p3": quantised(p3), "back": quantised(weight[nodes]), "back2": quantised(weight2[contexts])}
 
 
 def query(levels: dict, words: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, lower: np.ndarray) -> np.ndarray:
@@ -440,43 +498,116 @@ def map_file(path: str) -> mmap.mmap:
         return mmap.mmap(copy.fileno(), 0, access=mmap.ACCESS_READ)
 
 
-def _score(folder: str, keep: bool, tokens: int, kinds: int, shards: int, discount: float):
-    """A shard's tokens: build its levels from the training ones, score all, and send sums per document back. A file that is not
-    kept goes once it is mapped."""
+def _counted(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, Grams, np.ndarray, np.ndarray]:
+    """All tokens (b, a, w, mark) of a shard: its words' numbers, rising; the n-grams with their training counts; the order of
+    the tokens by n-gram, and the tokens of each."""
+    n = sum(len(p[0]) for p in parts)
+    b, a, w = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    runs = [_runs(b), _runs(b, a), np.arange(n)]  # within a chunk, b and a come in runs
+    codes, words = pd.factorize(np.concatenate([x[r] for x, r in zip((b, a, w), runs)]))
+    order = np.argsort(words)
+    rank = np.empty(len(words), dtype=np.int64)
+    rank[order] = np.arange(len(words))
+    words, codes = words[order], np.split(rank[codes], np.cumsum([len(r) for r in runs[:2]]))
+    b, a = (np.repeat(c, _sizes(r, n)) for c, r in zip(codes, runs[:2]))
+    w = codes[2]
+    del codes
+    if len(words) < 1 << 21:
+        by = np.argsort((b * len(words) + a) * len(words) + w, kind="stable")
+    else:
+        by = np.lexsort((w, a, b))
+    a, b, w = a[by], b[by], w[by]
+    start = _runs(b, a, w)
+    learnt = np.concatenate([p[3] for p in parts])[by] & 1 == 0
+    return words, Grams(a[start], b[start], w[start], _sums(learnt, start), len(words)), by, _sizes(start, n)
+
+
+def _tokens(data: bytes) -> list[np.ndarray]:
+    b, a, w, mark = unpack(data, "i8", "i8", "i8", "i4")
+    return [np.cumsum(b), np.cumsum(a), w, mark]
+
+
+def _hot(words: np.ndarray, hot: int, starts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which words are cut for: as a, as b, as w."""
+    cut = _groups(words, hot, starts) > 1
+    return cut, cut, cut
+
+
+def _slice_of(b: np.ndarray, a: np.ndarray, slices: int) -> np.ndarray:
+    return _mix(_mix(b) + a) % slices
+
+
+def _ask_sums(hot: int, starts: int, shards: int, slices: int):
+    """A shard's parts of counts that the cut of frequent words has spread over shards, by slices of their contexts."""
     def run(key: tuple, frames: pd.DataFrame) -> pd.DataFrame:
+        rows: list[tuple] = []
+        if key[0] < shards:
+            parts = []
+            for data in frames["data"]:
+                part = _tokens(data)
+                runs = _runs(part[0])
+                cut = np.repeat(_groups(part[0][runs], hot, starts) > 1, _sizes(runs, len(part[0])))
+                if cut.any():
+                    parts.append([x[cut] for x in part])
+            if parts:
+                words, grams, _, _ = _counted(parts)
+                del parts
+                found = grams.parts(words, grams.parted(*_hot(words, hot, starts)))
+                of = _slice_of(found[0], found[1], slices)
+                by = np.argsort(of, kind="stable")
+                cuts = np.flatnonzero(np.r_[True, of[by][1:] != of[by][:-1]])
+                for x in np.split(by, cuts[1:]):
+                    b, a, w, count, kinds = (f[x] for f in found)
+                    rows.append((key[0], int(of[x[0]]), pack(gaps(b), gaps(a), w, count, kinds)))
+        return pd.DataFrame(rows, columns=["shard", "slice", "data"])
+    return run
+
+
+def _sum_parts(key: tuple, frames: pd.DataFrame) -> pd.DataFrame:
+    """The sums of a slice for each shard that sent parts, in their order."""
+    parts = [unpack(d, "i8", "i8", "i8", "i8", "i8") for d in frames["data"]]
+    b, a, w, count, kinds = (np.concatenate([np.cumsum(p[k]) if k < 2 else p[k] for p in parts]) for k in range(5))
+    by = np.lexsort((w, a, b))
+    b, a, w = b[by], a[by], w[by]
+    start, context = _runs(b, a, w), _runs(b, a)
+    total, more = _sums(count[by], start), _sums(kinds[by], start)
+    more[(w[start] > 0) & (total > 0)] = 1
+    of = np.searchsorted(start, context)  # contexts begin with their own row, which every shard sends
+    whole, every = _sums(total, of), _sums(more, of)
+    total[of], more[of] = whole, every
+    place = np.empty(len(by), dtype=np.int64)
+    place[by] = np.repeat(np.arange(len(start)), _sizes(start, len(by)))
+    ends = np.cumsum([len(p[0]) for p in parts])
+    data = [pack(total[place[e - len(p[0]):e]], more[place[e - len(p[0]):e]]) for e, p in zip(ends, parts)]
+    return pd.DataFrame({"shard": frames["shard"].to_numpy(), "slice": key[0], "data": data})
+
+
+def _score(folder: str, keep: bool, tokens: int, kinds: int, hot: int, starts: int, shards: int, slices: int, discount: float):
+    """A shard's tokens: build its levels from the training ones, score all, and send sums per document back. ``sums``: of the
+    counts that it holds a part of, by slice. A file that is not kept goes once it is mapped."""
+    def run(key: tuple, frames: pd.DataFrame, sums: pd.DataFrame | None = None) -> pd.DataFrame:
         if key[0] >= shards:
             return frames[["shard", "chunk", "data"]]
-        parts = [unpack(d, "i8", "i8", "i8", "i4") for d in frames["data"]]
+        parts = [_tokens(d) for d in frames["data"]]
         sizes = np.array([len(p[0]) for p in parts])
         n = int(sizes.sum())
-        b, a, w = (np.concatenate([np.cumsum(p[k]) if k < 2 else p[k] for p in parts]) for k in range(3))
-        runs = [_runs(b), _runs(b, a), np.arange(n)]  # within a chunk, b and a come in runs
-        codes, words = pd.factorize(np.concatenate([x[r] for x, r in zip((b, a, w), runs)]))
-        order = np.argsort(words)
-        rank = np.empty(len(words), dtype=np.int64)
-        rank[order] = np.arange(len(words))
-        words, codes = words[order], np.split(rank[codes], np.cumsum([len(r) for r in runs[:2]]))
-        b, a = (np.repeat(c, _sizes(r, n)) for c, r in zip(codes, runs[:2]))
-        w = codes[2]
-        del codes
-        if len(words) < 1 << 21:
-            by = np.argsort((b * len(words) + a) * len(words) + w, kind="stable")
-        else:
-            by = np.lexsort((w, a, b))
-        a, b, w = a[by], b[by], w[by]
-        mark = np.concatenate([p[3] for p in parts])
-        start = _runs(b, a, w)
-        size = _sizes(start, n)
-        count = np.add.reduceat((mark[by] & 1 == 0).astype(np.int64), start)
-        a, b, w = a[start], b[start], w[start]
-        learnt = np.flatnonzero(count)
-        used = np.zeros(len(words), dtype=bool)
-        for x in (a, b, w):
-            used[x[learnt]] = True
-        place = np.cumsum(used) - 1
+        words, grams, by, size = _counted(parts)
+        mark = [p[3] for p in parts]
+        most = np.array([int(m.max() >> 1) + 1 for m in mark])
+        mark = np.concatenate(mark)
+        del parts
+        if sums is not None and len(sums):
+            parted = grams.parted(*_hot(words, hot, starts))
+            asked = grams.parts(words, parted)[:2]
+            back = np.argsort(_slice_of(*asked, slices), kind="stable")
+            told = [unpack(d, "i8", "i8") for d in sums.sort_values("slice")["data"]]
+            whole = np.empty((2, len(back)), dtype=np.int64)
+            whole[:, back] = np.concatenate(told, axis=1)
+            grams.put(parted, *whole)
         lower = unigram(words, tokens, kinds)
-        levels = build_levels(words[used], place[a[learnt]], place[b[learnt]], place[w[learnt]], count[learnt], lower[used],
-                              discount)
+        levels = build_levels(words, grams, lower, discount)
+        a, b, w = grams.a, grams.b, grams.w
+        del grams
         path = f"{folder}/shard-{key[0]:06d}-{uuid.uuid4().hex}.trie"  # a task that runs again has a file of its own
         store(path, dump(levels))
         del levels
@@ -484,7 +615,6 @@ def _score(folder: str, keep: bool, tokens: int, kinds: int, shards: int, discou
         if not keep:
             remove(path)
         score = query(load(mapped), words, a, b, w, np.log10(lower))
-        most = np.array([int(p[3].max() >> 1) + 1 for p in parts])
         first = np.cumsum(most) - most
         doc = (np.repeat(first, sizes) + (mark >> 1))[by]
         docs, of = (np.arange(int(most.sum())), doc) if most.sum() <= 8 * n else np.unique(doc, return_inverse=True)
@@ -531,19 +661,28 @@ def score_documents(df: DataFrame, id: str, text: str, written: bool = False, he
     rows = df.select(*without_null(id), (fold == held_out).alias("held"), whole_text(text).cast("binary").alias("text"))
     if not written:
         rows = materialise(rows, "lm-rows")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, starts = (x or 0 for x in rows.agg(F.sum(F.octet_length("text")), F.count_if(~F.col("held"))).first())
     shards = max(1, -(-size // shard_bytes))
     slices = max(1, shards // 4)
     answers = materialise(
         rows.mapInArrow(_ask(chunk_bytes, slices), PIECE).groupBy("shard")
-        .applyInPandas(_answer(slices), PIECE + ", tokens long, kinds long"), "lm-words")
-    found = answers.agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).first()
+        .applyInPandas(_answer(slices, hot_tokens), PIECE + ", tokens long, kinds long, groups long"), "lm-words")
+    found = answers.agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds"), F.max("groups").alias("groups")).first()
     tokens, kinds = found["tokens"] or 0, found["kinds"] or 0
     answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", "data")).alias("answers"))
     chunks = rows.mapInArrow(_codes(chunk_bytes), "chunk string, n_words long, docs binary, codes binary")
-    pieces = chunks.join(answers, "chunk").mapInArrow(_send(tokens, kinds, hot_tokens, shards), PIECE)
-    sums = pieces.groupBy("shard").applyInPandas(
-        _score(keep or shared_folder(spark, "lm-trie"), keep is not None, tokens, kinds, shards, discount), PIECE)
+    pieces = (chunks.join(answers, "chunk").mapInArrow(_send(tokens, kinds, hot_tokens, starts, shards), PIECE)
+              .repartition("shard"))  # read twice where a word is cut
+    score = _score(keep or shared_folder(spark, "lm-trie"), keep is not None, tokens, kinds, hot_tokens, starts, shards, slices,
+                   discount)
+    if (found["groups"] or 1) > 1:
+        parts = pieces.groupBy("shard").applyInPandas(_ask_sums(hot_tokens, starts, shards, slices),
+                                                      "shard long, slice long, data binary")
+        told = parts.groupBy("slice").applyInPandas(_sum_parts, "shard long, slice long, data binary")
+        sums = pieces.groupBy("shard").cogroup(told.groupBy("shard")).applyInPandas(
+            lambda key, frames, sums: score(key, frames, sums), PIECE)
+    else:
+        sums = pieces.groupBy("shard").applyInPandas(lambda key, frames: score(key, frames), PIECE)
     scored = sums.groupBy("chunk").applyInPandas(
         _finish(shards), "id long, no_id boolean, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(with_null(id), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),

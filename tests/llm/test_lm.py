@@ -200,3 +200,28 @@ def test_words_of_blocks():
                 assert there.setdefault(word, h) == h and back.setdefault(h, word) == word
         n += len(sizes)
     assert n == len(texts) - 3
+
+
+@pytest.mark.parametrize("hot", [1, 7, 100])
+def test_cut_words_have_the_estimates_of_whole_ones(spark, hot):
+    """However few tokens a group holds, the scores are those of the plain model: on texts, and on rows where each of a, b and w
+    is frequent, where contexts are known to other shards alone, and where texts begin with a frequent word."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    options = {"chunk_bytes": 50_000, "shard_bytes": 20_000, "hot_tokens": hot}
+    cut = {r["doc_id"]: r["score"] for r in check_scores(df, written=True, **options)}
+    whole = {r["doc_id"]: r["score"] for r in lm.score_documents(df, "doc_id", "text", written=True).collect()}
+    assert cut.keys() == whole.keys() and all(abs(cut[i] - whole[i]) < 1e-6 * abs(whole[i]) for i in whole)
+    rng = np.random.default_rng(hot)
+    words = ["a", "b", "c", *(f"w{i}" for i in range(30))]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 40), p=[.3, .2, .2] + [.01] * 30))) for i in range(200)]
+    rows += [(200 + i, f"a b new{i} a b") for i in range(40)]
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    check_scores(made, chunk_bytes=500, shard_bytes=300, hot_tokens=hot)
+
+
+def test_empty_lists():
+    kept = load(b"".join(dump({"l": Lists.build(np.array([0, 2, 0, 0, 1, 0]), np.array([3, 5, 0]))})))["l"]
+    for k, own in enumerate([[], [3, 5], [], [], [0], []]):
+        assert list(kept.find(kept.bounds(np.full(9, k)), np.arange(9))[1]) == [i in own for i in range(9)]
+    none = Lists.build(np.array([0, 0]), np.zeros(0, np.int64))
+    assert not none.find(none.bounds(np.array([0, 1])), np.array([0, 0]))[1].any()
