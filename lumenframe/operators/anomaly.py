@@ -76,8 +76,11 @@ def encoded_matrix(df: DataFrame, key: str, features: list[str] | None = None) -
 
 
 def impute(matrix: DataFrame, features: list[str], medians: dict | None = None) -> DataFrame:
-    """Nulls replaced by the exact median of their column."""
-    medians = medians or {c: q[0.5] for c, q in quantile_map(matrix, features, [0.5]).items()}
+    """Nulls replaced by the exact median of their column. A column without gaps needs none."""
+    if not medians:
+        s = summarise(matrix, features) if features else {}
+        gaps = [c for c in features if s[c]["n"] < s[None]["rows"]]
+        medians = {c: q[0.5] for c, q in quantile_map(matrix, gaps, [0.5], summary=s).items()} if gaps else {}
     kept = [c for c in matrix.columns if c not in features]
     return matrix.select(*kept, *[F.coalesce(F.col(c), F.lit(medians.get(c, 0.0))).alias(c) for c in features])
 

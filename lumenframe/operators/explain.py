@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegressionModel, OneVsRestModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from lumenframe.operators.models import clean_table, fit_clean_model
-from lumenframe.session import scratch_path
+from lumenframe.operators.quantiles import number
+from lumenframe.operators.tree_cells import NUMBERS, cell_count, cell_numbers, cell_places
+from lumenframe.session import materialise, scratch_path
 
 LOCAL_ROWS = 3
 #: Leaves of up to so many features get a table of contributions; one has ``2 ** TABLE_FEATURES`` rows at most.
 TABLE_FEATURES = 6
 #: Rows and leaves that are worked on at once, so that the arrays stay in the processor's cache.
 TABLE_ROWS, TABLE_LEAVES = 256, 256
+#: Cells are sent to all tasks if their contributions can't be more numbers than this (32 MB).
+SENT_NUMBERS = 1 << 22
 TOP_BARS, TOP_STEPS = 10, 5
 
 
@@ -175,6 +181,26 @@ def all_cuts(leaves: list[tuple], columns: int) -> list[np.ndarray]:
     return [np.unique([e for e in own if np.isfinite(e)]) for own in ends]
 
 
+def _without_nan(table: DataFrame, name: str) -> Column:
+    """The column with NaN read as null."""
+    kind = table.schema[name].dataType
+    return (F.nanvl(F.col(name), F.lit(None).cast(kind)) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(name)).alias(name)
+
+
+def cell_column(cuts, numbered: bool) -> Callable[..., Column]:
+    """A function of columns: the number of a row's cell between the shared ``cuts``, or its places as bytes if the cells are too
+    many to be numbered."""
+    @F.arrow_udf(T.LongType() if numbered else T.BinaryType())
+    def cell(*columns: pa.Array) -> pa.Array:
+        values = [c.to_numpy(zero_copy_only=False) for c in columns]
+        if numbered:
+            return pa.array(cell_numbers(values, cuts.value, len(columns[0])))
+        places = np.stack(cell_places(values, cuts.value), axis=1).astype(np.int32)
+        return pa.array([p.tobytes() for p in places], pa.binary())
+
+    return cell
+
+
 def tree_contributions(model, table: DataFrame, key: str, features: list[str], output: int = 1,
                        keep: tuple[str, ...] = ()) -> DataFrame:
     """``(key, keep..., x, phi, base, prediction)`` for a tree ensemble; ``output`` picks the class of a forest."""
@@ -185,55 +211,43 @@ def leaf_contributions(leaves: list[tuple], table: DataFrame, key: str, features
                        cells: bool | None = None) -> DataFrame:
     """``tree_contributions`` for the leaves of an ensemble.
 
-    Rows that lie between the same cuts in every column have the same contributions. Where cells of such rows are fewer than
-    a quarter of the rows (counted by a sketch; ``cells`` overrides it), each is explained once, and the rows get theirs by a
-    join on the cell. The number of cells depends on the cuts and not on the rows.
+    Rows that lie between the same cuts in every column have the same contributions. Where the cuts make few cells, or cells
+    of such rows are fewer than a quarter of the rows (counted by a sketch; ``cells`` overrides it), each is explained once, and
+    the rows get theirs by a join on the cell. Few cells are written and sent to the rows; more meet them by a shuffle.
     """
     base = float(sum(leaf[0] * leaf[1] for leaf in leaves))
     context = table.sparkSession.sparkContext
-    shared = context.broadcast(leaf_tables(leaves))
-    carried = [key, *keep]
+    shared, ends = context.broadcast(leaf_tables(leaves)), all_cuts(leaves, len(features))
+    carried, names = [key, *keep], [f"_x{i}" for i in range(len(features))]
     numbers = T.ArrayType(T.DoubleType())
-    x_field, phi_field = T.StructField("x", numbers), T.StructField("phi", numbers)
-    own = [table.schema[c] for c in carried]
-
-    def explained(x: np.ndarray) -> np.ndarray:
-        tables, others = shared.value
-        return table_contributions(x, tables) + path_contributions(x, others)[0]
+    phi_field = T.StructField("phi", numbers)
 
     def explain(batches):
-        for pdf in batches:
-            x = pdf[features].to_numpy(dtype=float)
-            yield pdf[carried].assign(x=list(x), phi=list(explained(x)))
-
-    rows = table.select(*dict.fromkeys([*carried, *features]))
-    cuts = context.broadcast(all_cuts(leaves, len(features)))
-
-    def place(batches):
-        for pdf in batches:
-            x = pdf[features].to_numpy(dtype=float)
-            # a value that no interval holds (a gap in the data) lies in a cell of its own
-            at = [np.where(np.isnan(v), -1, np.searchsorted(c, v, side="left")) for v, c in zip(x.T, cuts.value)]
-            at = np.stack(at, axis=1).astype(np.int32) if at else np.zeros((len(x), 0), np.int32)
-            yield pdf[carried].assign(x=list(x), _cell=[r.tobytes() for r in at])
-
-    def explain_cells(batches):
         for pdf in batches:
             if len(pdf):
-                yield pdf[["_cell"]].assign(phi=list(explained(np.stack(pdf["_x"].to_numpy()).astype(float))))
-
-    placed = rows.mapInPandas(place, T.StructType([*own, x_field, T.StructField("_cell", T.BinaryType())]))
-    if cells is None:
+                tables, others = shared.value
+                x = np.zeros((len(pdf), len(names)))
+                for i, n in enumerate(names):
+                    x[:, i] = pdf.pop(n)
+                yield pdf.assign(phi=list(table_contributions(x, tables) + path_contributions(x, others)[0]))
+
+    rows = table.select(*[_without_nan(table, c) for c in carried], *[number(c).alias(n) for c, n in zip(features, names)])
+    cell = cell_column(context.broadcast(ends), cell_count(ends) < NUMBERS)(*names) if names else F.lit(0)
+    placed = rows.withColumn("_cell", cell)
+    few = cell_count(ends) * (len(features) + 4) <= SENT_NUMBERS
+    if cells is None and not few:
         seen = placed.agg(F.approx_count_distinct("_cell").alias("cells"), F.count(F.lit(1)).alias("rows")).first()
         cells = seen["cells"] * 4 < seen["rows"]
-    if cells:
-        distinct = placed.groupBy("_cell").agg(F.any_value("x").alias("_x"))
-        one = distinct.mapInPandas(explain_cells, T.StructType([T.StructField("_cell", T.BinaryType()), phi_field]))
-        found = placed.join(one, "_cell").select(*carried, "x", "phi")
-    else:
-        found = rows.mapInPandas(explain, T.StructType([*own, x_field, phi_field]))
-    total = F.aggregate("phi", F.lit(base), lambda t, v: t + v)
-    return found.select(*carried, "x", "phi", F.lit(base).alias("base"), total.alias("prediction"))
+    total = F.aggregate("phi", F.lit(base), lambda t, v: t + v).alias("prediction")
+    x = F.array(*names).cast(numbers).alias("x")
+    if cells or cells is None:
+        distinct = placed.select("_cell", *names).dropDuplicates(["_cell"]).repartition(context.defaultParallelism, "_cell")
+        one = distinct.mapInPandas(explain, T.StructType([placed.schema["_cell"], phi_field])).select("_cell", "phi", total)
+        found = placed.join(F.broadcast(materialise(one, "explained-cells")) if few else one, "_cell")
+        return found.select(*carried, x, "phi", F.lit(base).alias("base"), "prediction")
+    shape = T.StructType([*[table.schema[c] for c in carried], T.StructField("x", numbers), phi_field])
+    found = rows.select("*", x).mapInPandas(explain, shape)
+    return found.select(*carried, "x", "phi", F.lit(base).alias("base"), total)
 
 
 # Summaries -----------------------------------------------------------------------------------------------------

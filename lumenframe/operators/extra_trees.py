@@ -12,10 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from lumenframe.operators.tree_cells import CellValues
+
 LEAST_SPLIT = 2
 
 
@@ -202,16 +205,21 @@ class ExtraTreesModel(Model):
         shares = [t["classes"] / np.maximum(t["classes"].sum(axis=1, keepdims=True), 1e-300) for t in self.node_arrays]
         return sum(s[walk(t, x)] for s, t in zip(shares, self.node_arrays)).argmax(axis=1).astype(float)
 
+    def cuts(self) -> list[np.ndarray]:
+        """Per column, up to the last one that is cut, all places at which some tree cuts it."""
+        feature, cut = (np.concatenate([t[k][t["left"] >= 0] for t in self.node_arrays]) for k in ("feature", "cut"))
+        return [np.unique(cut[feature == j]) for j in range(feature.max(initial=0) + 1)]
+
     def _transform(self, df: DataFrame) -> DataFrame:
-        shared = df.sparkSession.sparkContext.broadcast((self.node_arrays, self.classes_))
+        shared, cuts = df.sparkSession.sparkContext.broadcast((self.node_arrays, self.classes_)), self.cuts()
+        ahead = CellValues(cuts, lambda x: ExtraTreesModel(*shared.value).predict(x))  # a copy per task
 
-        @F.pandas_udf(T.DoubleType())
-        def predicted(x: pd.Series) -> pd.Series:
-            if not len(x):
-                return pd.Series([], dtype=float)
-            return pd.Series(ExtraTreesModel(*shared.value).predict(np.stack(x.to_numpy())))
+        @F.arrow_udf(T.DoubleType())
+        def predicted(*columns: pa.Array) -> pa.Array:
+            return pa.array(ahead(np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1)))
 
-        return df.withColumn("prediction", predicted(vector_to_array("features")))
+        x = vector_to_array("features")
+        return df.withColumn("prediction", predicted(*[F.get(x, F.lit(j)) for j in range(len(cuts))]))
 
 
 class ExtraTrees(Estimator):

@@ -303,7 +303,8 @@ def build_explained_model(name: str, problem: str, rows: int, seed: int = 42, tr
 
 
 def clean_table(df: DataFrame, key: str, features: list[str], target: str, problem: str) -> DataFrame:
-    """Rows with a target: scaled numbers, sorted codes for texts, and ``label``. Written once."""
+    """Rows with a target: scaled numbers, sorted codes for texts, and ``label``. The codes are written once; gaps and scales
+    are worked out where rows are read."""
     known = df.select(key, *features, target).filter(F.col(target).isNotNull())
     if problem == "regression":
         known = known.withColumn("label", F.col(target).cast("double"))
@@ -317,7 +318,7 @@ def clean_table(df: DataFrame, key: str, features: list[str], target: str, probl
     filled = impute(coded, features)
     s = summarise(filled, numeric) if numeric else {}
     scaled = [((F.col(c) - s[c]["mean"]) / _deviation(s[c])).alias(c) if c in numeric else F.col(c) for c in features]
-    return materialise(filled.select(key, "label", *scaled), "clean")
+    return filled.select(key, "label", *scaled)
 
 
 def fit_clean_model(table: DataFrame, features: list[str], name: str, problem: str, **options):

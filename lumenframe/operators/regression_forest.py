@@ -12,62 +12,113 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml import Estimator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
-from lumenframe.operators.boosting import bin_edges, left_sums, to_bins
+from lumenframe.operators.boosting import BINS, bin_edges, left_sums, to_bins
 from lumenframe.operators.extra_trees import ExtraTreesModel
-from lumenframe.session import materialise
 
 #: Cells beyond which trees are grown by Spark.
 MOST_CELLS = 1 << 18
 #: Sums that a task holds at once while it draws (8 bytes each), and the cells of a piece of them.
 SUMS, PIECE = 1 << 23, 1 << 12
+#: Rows that a task sorts by cell at once, and those that it draws for at once: a number of 16 bits picks one of them.
+CHUNK, BLOCK = 1 << 19, 1 << 16
 NODE = ("feature", "cut", "left", "right", "cover", "value")
 
 
-def cell_codes(rows: DataFrame, edges: list[np.ndarray]) -> DataFrame:
-    """``(code, label)``: the number that stands for the bins of a row."""
-    steps = np.r_[1, np.cumprod([len(e) + 1 for e in edges])][:-1].astype(np.int64)
+def met_rows(rows: DataFrame, columns: list[str], most: int) -> tuple[list[np.ndarray], np.ndarray] | None:
+    """The distinct rows of ``columns``, column by column, and how often each occurs; none if they are more than ``most``, which
+    a sketch tells before any meet."""
+    if rows.agg(F.approx_count_distinct(F.xxhash64(*columns))).first()[0] > most:
+        return None
+    found = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    return [found[c].to_numpy() for c in columns], found["n"].to_numpy()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def weighted_edges(values: np.ndarray, weight: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """``bin_edges`` of a column whose values occur ``weight`` times."""
+    found, place = np.unique(values, return_inverse=True)
+    upto = np.cumsum(np.bincount(place, weights=weight))
+    at = np.unique(np.searchsorted(upto, np.arange(1, bins) / bins * upto[-1], side="left"))
+    return found[at[at < len(found) - 1]]
+
+
+def cell_codes(columns: list[np.ndarray], edges: list[np.ndarray]) -> np.ndarray:
+    """The number that stands for the bins of a row."""
+    return to_bins(np.stack(columns, axis=1), edges).astype(np.int64) @ np.r_[1, np.cumprod([len(e) + 1 for e in edges])][:-1]
+
+
+def met_codes(rows: DataFrame, columns: list[str], edges: list[np.ndarray], most: int) -> np.ndarray:
+    """The codes that occur, or ``most`` of them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                bins = to_bins(np.stack(batch["f"].to_numpy()), edges).astype(np.int64)
-                yield pd.DataFrame({"code": bins @ steps, "label": batch["label"]})
+                own = np.unique(cell_codes([batch.column(c).to_numpy(zero_copy_only=False) for c in columns], edges))
+                yield pa.RecordBatch.from_arrays([pa.array(own)], ["code"])
 
-    return rows.mapInPandas(run, "code long, label double")
+    return rows.select(*columns).mapInArrow(run, "code long").distinct().limit(most).toArrow()["code"].to_numpy()
 
 
-def drawn_sums(coded: DataFrame, codes: np.ndarray, first: int, trees: int, seed: int) -> DataFrame:
+def poisson_numbers(rng: np.random.Generator, rows: int) -> np.ndarray:
+    """Poisson numbers of mean 1 for up to ``BLOCK`` rows: a Poisson number of draws of one of ``BLOCK`` places, counted by
+    place."""
+    draws = int(rng.poisson(BLOCK))
+    drawn = rng.integers(0, 1 << 64, -(-draws // 4), dtype=np.uint64).view(np.uint16)[:draws]
+    return np.bincount(drawn, minlength=BLOCK)[:rows]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches put together to ``rows`` or some more."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+        if sum(map(len, held)) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def drawn_sums(rows: DataFrame, columns: list[str], edges: list[np.ndarray], codes: np.ndarray, first: int, trees: int,
+               seed: int) -> DataFrame:
     """``(tree, piece, n, s)``: rows drawn and the sum of their labels by cell, for trees ``first`` and following. A row is drawn
     a Poisson number of mean 1 of times."""
-    shared = coded.sparkSession.sparkContext.broadcast(codes)
+    shared = rows.sparkSession.sparkContext.broadcast(codes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng([seed, first, TaskContext.get().partitionId()])
         places = shared.value
-        n, s = np.zeros((trees, len(places))), np.zeros((trees, len(places)))
-        for batch in batches:
-            at, cell = np.unique(np.searchsorted(places, batch["code"].to_numpy()), return_inverse=True)
-            y = batch["label"].to_numpy()
-            for t in range(trees):
-                drawn = rng.poisson(1.0, len(y)).astype(float)
-                n[t, at] += np.bincount(cell, weights=drawn, minlength=len(at))
-                s[t, at] += np.bincount(cell, weights=drawn * y, minlength=len(at))
+        n, s = np.zeros((len(places), trees)), np.zeros((len(places), trees))
+        for chunk in _chunks(batches, CHUNK):
+            cells = np.searchsorted(places, cell_codes([chunk[c].to_numpy() for c in columns], edges))
+            order = np.argsort(cells, kind="stable")
+            cells, labels = cells[order], chunk["label"].to_numpy()[order]
+            for i in range(0, len(cells), BLOCK):
+                cell, y = cells[i:i + BLOCK], labels[i:i + BLOCK]
+                starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+                own_n, own_s = np.empty((trees, len(starts))), np.empty((trees, len(starts)))
+                for t in range(trees):
+                    drawn = poisson_numbers(rng, len(cell))
+                    own_n[t], own_s[t] = np.add.reduceat(drawn, starts), np.add.reduceat(drawn * y, starts)
+                n[cell[starts]] += own_n.T
+                s[cell[starts]] += own_s.T
+        pieces = range(0, len(places), PIECE)
         for t in range(trees):
-            starts = range(0, len(places), PIECE)
-            yield pd.DataFrame({"tree": first + t, "piece": list(starts), "n": [n[t, i:i + PIECE] for i in starts],
-                                "s": [s[t, i:i + PIECE] for i in starts]})
+            parts = [pa.array([v[i:i + PIECE, t] for i in pieces], pa.list_(pa.float64())) for v in (n, s)]
+            yield pa.RecordBatch.from_arrays([pa.array([first + t] * len(pieces), pa.int32()), pa.array(list(pieces), pa.int32()),
+                                              *parts], ["tree", "piece", "n", "s"])
 
     def add(group: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"tree": [group[0]], "piece": [group[1]], "n": [frame["n"].sum()], "s": [frame["s"].sum()]})
 
     shape = "tree int, piece int, n array<double>, s array<double>"
-    return coded.mapInPandas(run, shape).groupBy("tree", "piece").applyInPandas(add, shape)
+    return rows.mapInArrow(run, shape).groupBy("tree", "piece").applyInPandas(add, shape)
 
 
 def grow(bins: np.ndarray, n: np.ndarray, s: np.ndarray, edges: list[np.ndarray], depth: int, rng: np.random.Generator) -> dict:
@@ -133,19 +184,27 @@ class RegressionForest(Estimator):
         self.trees, self.depth, self.seed, self.most_cells = trees, depth, seed, most_cells
 
     def _fit(self, df: DataFrame):
-        rows = df.select(vector_to_array("features").alias("f"), F.col("label").cast("double").alias("label"))
-        edges = bin_edges(rows).get((), [])
+        x = vector_to_array("features")
+        width = df.select(F.size(x)).first()
+        columns = [f"f{i}" for i in range(width[0] if width else 0)]
+        rows = df.select(*[F.get(x, F.lit(i)).alias(c) for i, c in enumerate(columns)], F.col("label").cast("double").alias("label"))
+        met = met_rows(rows, columns, self.most_cells) if columns else None
+        if met:
+            edges = [weighted_edges(v, met[1]) for v in met[0]]
+        else:
+            edges = bin_edges(rows.select(F.array(*columns).alias("f"))).get((), []) if columns else []
         widths = [len(e) + 1 for e in edges]
-        coded = codes = None
-        if math.prod(widths) < 1 << 62:
-            coded = materialise(cell_codes(rows, edges), "coded-rows")
-            codes = np.array([r["code"] for r in coded.select("code").distinct().limit(self.most_cells + 1).collect()], np.int64)
+        codes = None
+        if met:
+            codes = np.unique(cell_codes(met[0], edges))
+        elif edges and math.prod(widths) < 1 << 62:
+            codes = met_codes(rows, columns, edges, self.most_cells + 1)
         if codes is None or not 0 < len(codes) <= self.most_cells:
             return RandomForestRegressor(numTrees=self.trees, maxDepth=self.depth, seed=self.seed).fit(df)
         codes = np.sort(codes)
         bins = np.stack(np.unravel_index(codes, widths[::-1])[::-1], axis=1).astype(np.uint8)
         shared = df.sparkSession.sparkContext.broadcast(bins)
-        mean, rows_, depth, seed = *coded.agg(F.avg("label"), F.count("label")).first(), self.depth, self.seed
+        mean, rows_, depth, seed = *rows.agg(F.avg("label"), F.count("label")).first(), self.depth, self.seed
         trees = []
         step = max(1, SUMS // (2 * len(codes)))
 
@@ -161,7 +220,7 @@ class RegressionForest(Estimator):
         shape = ("tree int, feature array<long>, cut array<double>, left array<long>, right array<long>, cover array<double>, "
                  "value array<double>")
         for first in range(0, self.trees, step):
-            sums = drawn_sums(coded, codes, first, min(step, self.trees - first), seed)
+            sums = drawn_sums(rows, columns, edges, codes, first, min(step, self.trees - first), seed)
             trees += sums.groupBy("tree").applyInPandas(whole, shape).collect()
         arrays = [{k: np.array(r[k]) for k in NODE} for r in sorted(trees, key=lambda r: r["tree"])]
         return ExtraTreesModel([{**a, "classes": np.zeros((len(a["left"]), 0))} for a in arrays], 0)
